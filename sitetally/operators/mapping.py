@@ -167,7 +167,7 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
     Every check is a distributed aggregation; nothing is collected.
     """
     keys, labels = list(keys), list(labels)
-    key_text = F.to_json(F.struct(*keys))
+    key_text = F.concat_ws(" | ", *[F.col(k).cast("string") for k in keys])
     null_any = F.lit(False)
     blank_any = F.lit(False)
     for k in keys:
