@@ -31,9 +31,21 @@ LABELS = ("facility", "section")
 DEFAULT_BROADCAST_ROWS = 200_000
 
 
+_CHECKED: dict[tuple, bool] = {}
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """Bounded size check: counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Bounded size check: counts at most ``max_rows + 1`` rows.
+
+    Meant for configuration tables (mappings, rules).  The answer is memoised
+    per (plan, input files), so a report that joins the same mapping several
+    times checks it once.
+    """
+    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    hit = _CHECKED.get(key)
+    if hit is None:
+        hit = _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
+    return hit
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitetally.sources.literal import literal_table
+
 # Fixed values for the test roles (invented labels).
 FACILITIES = ("Brevard", "Broward", "Ocala", "Tampa")
 SECTIONS = ("Distribution", "Equipment Services", "Fleet", "Sales", "Warehouse")
@@ -69,23 +71,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def exempt_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(EXEMPT_MAP),
+    return literal_table(
+        spark, EXEMPT_MAP,
         "l4_org_unit string, personnel_area string, facility string, section string")
 
 
 def nonexempt_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(nonexempt_map_rows(),
-                                 "cost_center string, facility string, section string")
+    return literal_table(spark, nonexempt_map_rows(),
+                         "cost_center string, facility string, section string")
 
 
 def location_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(location_map_rows(),
-                                 "location string, facility string, section string")
+    return literal_table(spark, location_map_rows(),
+                         "location string, facility string, section string")
 
 
 def alert_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ALERT_RULES), "location string, message string")
+    return literal_table(spark, ALERT_RULES, "location string, message string")
 
 
 def exempt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

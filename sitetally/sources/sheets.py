@@ -3,9 +3,13 @@
 Raw rows are ``path, sheet, row_index, cells array<string>`` with a 0-based,
 contiguous ``row_index`` per (path, sheet), written at ingest.  Every
 positional operation works per file through a small per-file aggregate
-(one row per file) joined back to the rows; the aggregate is broadcast when
-its size is within bounds, so a file holding most rows never lands in one
-task and no window sorts a whole file.
+(one row per file, partially aggregated before its shuffle) joined back to
+the rows.  The join carries no hint: the aggregate's size is only known at
+run time, and adaptive execution measures it and turns the join into a
+broadcast join when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+(otherwise it stays a sort-merge join whose skewed partitions AQE splits).
+So a file holding most rows never lands in one task and no window sorts a
+whole file.
 """
 
 from __future__ import annotations
@@ -15,8 +19,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitetally.operators.mapping import DEFAULT_BROADCAST_ROWS, sized_broadcast
-
 FILE_KEYS = ("path", "sheet")
 
 
@@ -26,17 +28,15 @@ def skip_rows(rows: DataFrame, k: int) -> DataFrame:
     return rows.filter(F.col("row_index") >= F.lit(k))
 
 
-def drop_footer(rows: DataFrame, k: int,
-                broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def drop_footer(rows: DataFrame, k: int) -> DataFrame:
     """Drop the last ``k`` rows of every file (``head(-k)``)."""
     last = rows.groupBy(*FILE_KEYS).agg(F.max("row_index").alias("_last"))
-    return (rows.join(sized_broadcast(last, broadcast_rows), on=list(FILE_KEYS))
+    return (rows.join(last, on=list(FILE_KEYS))
             .filter(F.col("row_index") <= F.col("_last") - F.lit(k))
             .drop("_last"))
 
 
-def promote_header(rows: DataFrame,
-                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def promote_header(rows: DataFrame) -> DataFrame:
     """Use the first remaining row of each file as its header.
 
     Returns the rows after it with ``fields map<header, cell>``; each file may
@@ -45,7 +45,7 @@ def promote_header(rows: DataFrame,
     headers = rows.groupBy(*FILE_KEYS).agg(
         F.min("row_index").alias("_hdr_index"),
         F.min_by("cells", "row_index").alias("_header"))
-    data = (rows.join(sized_broadcast(headers, broadcast_rows), on=list(FILE_KEYS))
+    data = (rows.join(headers, on=list(FILE_KEYS))
             .filter(F.col("row_index") > F.col("_hdr_index")))
     pairs = F.arrays_zip(F.col("_header").alias("k"), F.col("cells").alias("v"))
     named = F.filter(pairs, lambda e: F.nullif(F.trim(e["k"]), F.lit("")).isNotNull())
