@@ -63,3 +63,15 @@ def project_fields(rows: DataFrame, columns: Mapping[str, str] | Sequence[str],
         columns = {snake(h): h for h in columns}
     return rows.select(*keep, *[F.col("fields").getItem(h).alias(out)
                                 for out, h in columns.items()])
+
+
+def sheet_table(rows: DataFrame, columns: Mapping[str, str] | Sequence[str], skip: int = 0,
+                footer: int = 0, sheet: str | None = None) -> DataFrame:
+    """Raw rows -> a table: keep one sheet, skip ``skip`` rows, use the next row
+    as header, drop ``footer`` trailing rows, select ``columns``."""
+    if sheet is not None:
+        rows = rows.filter(F.col("sheet") == F.lit(sheet))
+    body = promote_header(skip_rows(rows, skip) if skip else rows)
+    if footer:
+        body = drop_footer(body, footer)
+    return project_fields(body, columns)
