@@ -55,6 +55,13 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def require_columns(df: DataFrame, columns: Sequence[str], what: str = "input") -> None:
+    """Input guard: fail before planning when a needed column is absent."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{what} lacks column(s) {missing}; has {df.columns}")
+
+
 def _partials(measures: Sequence[Measure]) -> list[Column]:
     return [agg.alias(name) for m in measures for name, agg in m.partials]
 
@@ -77,6 +84,8 @@ def section_states(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
         raise ValueError(f"unmapped must be 'keep' or 'drop', not {unmapped!r}")
     how = "left" if unmapped == "keep" else "inner"
     keys, by, labels = list(keys), list(by), list(labels)
+    require_columns(facts, [*by, *keys], "facts")
+    require_columns(mapping, [*keys, *labels], "mapping")
     m = mapping.select(*keys, *labels)
     if fits_broadcast(m, broadcast_rows):
         joined = facts.join(F.broadcast(m), on=keys, how=how)

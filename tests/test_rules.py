@@ -247,3 +247,9 @@ def test_exempt_scaffold_by_period(spark):
     rep = exempt_report(ex, exm, by=["yr"])
     got = table(rep.filter("row_kind = 'section'"), "yr", "section", "hours")
     assert got == [(1, "S1", 3.0), (1, "S2", None), (2, "S1", 4.0), (2, "S2", None)]
+
+
+def test_v4_input_guard(spark):
+    f = frames(spark)
+    with pytest.raises(ValueError, match="lacks column"):
+        nonexempt_report(f["exempt"], f["nonexempt_map"])
