@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sitetally.functions.measures import cents_to_hours, hours_measure, zero_to_null
 from sitetally.operators.levels import label_levels, three_level
 from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, finish_states,
-                                         scaffold_states, section_states)
+                                         require_columns, scaffold_states, section_states)
 
 # Wage types left out of non-exempt hours by default.
 EXCLUDED_WAGE_TYPES = ("3C Sick Pay", "3C Vacation Pay", "3C Vac Payout SupTx")
@@ -48,6 +48,7 @@ def nonexempt_sections(facts: DataFrame, mapping: DataFrame,
                        wage_col: str = "wage_type", hours_col: str = "hours",
                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Section hours in cents (strict sum; NULL facility for unmapped keys)."""
+    require_columns(facts, [*by, key, wage_col, hours_col], "non-exempt hours")
     measure = hours_measure("hours", hours_col, mode="strict")
     kept = exclude_wage_types(facts, excluded_wage_types, wage_col)
     states = section_states(kept, mapping, [key], [measure], by, unmapped="keep",
@@ -67,6 +68,7 @@ def exempt_sections(facts: DataFrame, mapping: DataFrame, by: Sequence[str] = ()
     adds further periods (e.g. those of the other population).
     """
     by = list(by)
+    require_columns(facts, [*by, *keys, hours_col], "exempt hours")
     measure = hours_measure("hours", hours_col, mode="lenient")
     states = section_states(facts, mapping, keys, [measure], by, unmapped="keep",
                             broadcast_rows=broadcast_rows)

@@ -19,7 +19,7 @@ from sitetally.functions.dates import in_period
 from sitetally.functions.measures import cents_to_hours, count_measure, zero_to_null
 from sitetally.operators.levels import label_levels, three_level
 from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, finish_states,
-                                         section_states)
+                                         require_columns, section_states)
 from sitetally.plans.hours import EXCLUDED_WAGE_TYPES, combined_hour_sections
 
 INCIDENT_KEY = "location"
@@ -48,6 +48,8 @@ def incident_sections(incidents: DataFrame, location_map: DataFrame,
                       date_col: str = "loss_date", lost_col: str = "lost_days",
                       broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``or_cases`` and ``lt_cases`` per (by, facility, section), one pass."""
+    require_columns(incidents, [*by, key, lost_col] + ([date_col] if year is not None else []),
+                    "incidents")
     measures = incident_measures(lost_col)
     inc = period_incidents(incidents, year, month, date_col)
     states = section_states(inc, location_map, [key], measures, by, unmapped="keep",
