@@ -23,8 +23,10 @@ from sitetally.plans.hours import (EXEMPT_KEYS, combined_hour_sections, exclude_
                                    nonexempt_report, nonexempt_sections)
 from sitetally.plans.incidents import combined_report, incident_report, incident_sections
 from sitetally.sources import roles as R
-from sitetally.sources.sheets import drop_footer, project_fields, promote_header, skip_rows
-from sitetally.sources.tables import typed_incidents
+from sitetally.sources.sheets import (drop_footer, project_fields, promote_header, sheet_table,
+                                      skip_rows)
+from sitetally.sinks import display_view
+from sitetally.sources.tables import rejected_cells, typed_incidents
 
 YEAR, MONTH = R.PERIOD
 EXCL = R.EXCLUDED_FLAGS
@@ -129,6 +131,12 @@ def expenditure_by_center(spark, d):
 
 
 def sheet_header_footer(spark, d):
+    return sheet_table(R.sheet_rows(spark, d),
+                       {"priority": "Priority", "status": "Status", "customer": "Customer"},
+                       skip=2, footer=3)
+
+
+def sheet_header_footer_steps(spark, d):
     body = drop_footer(promote_header(skip_rows(R.sheet_rows(spark, d), 2)), 3)
     return project_fields(body, {"priority": "Priority", "status": "Status",
                                  "customer": "Customer"})
@@ -153,6 +161,27 @@ def incident_report_by_period(spark, d):
                            by=["period_year", "period_month"])
 
 
+def nonexempt_report_preaggregated(spark, d):
+    """Same report through the fallback strategy used when a mapping is too
+    large to broadcast: facts pre-aggregated by key, then a shuffle join."""
+    return nonexempt_report(R.nonexempt_facts(spark, d), R.nonexempt_map(spark), EXCL,
+                            broadcast_rows=0)
+
+
+def exempt_report_by_period(spark, d):
+    return exempt_report(R.exempt_facts(spark, d), R.exempt_map(spark), by=["period_year"])
+
+
+def rejected_cells_q(spark, d):
+    return rejected_cells(R.incidents_text(spark, d),
+                          {"loss_date_raw": "serial_date", "lost_days_raw": "double"})
+
+
+def hours_display(spark, d):
+    rep = hours_report(*_hours_inputs(spark, d), EXCL, labels=False, keep_rank=True)
+    return display_view(rep, rank_col="src_rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nonexempt_report": nonexempt_report_q,
     "nonexempt_sections_strict": nonexempt_sections_strict,
@@ -173,8 +202,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_alerts": label_alerts_q,
     "expenditure_by_center": expenditure_by_center,
     "sheet_header_footer": sheet_header_footer,
+    "sheet_header_footer_steps": sheet_header_footer_steps,
     "mapping_violations": mapping_violations,
     "report_order": report_order,
     "hours_report_by_period": hours_report_by_period,
     "incident_report_by_period": incident_report_by_period,
+    "nonexempt_report_preaggregated": nonexempt_report_preaggregated,
+    "exempt_report_by_period": exempt_report_by_period,
+    "rejected_cells": rejected_cells_q,
+    "hours_display": hours_display,
 }

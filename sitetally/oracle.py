@@ -373,6 +373,51 @@ def incident_report_by_period() -> str:
 SELECT period_year, period_month, {LABELS}, {COUNT_COLS} FROM lv"""
 
 
+def exempt_report_by_period() -> str:
+    return _with(MAP_A, EX_FACTS, """ex_all AS (
+  SELECT f.period_year, m.facility, m.section, sum(CAST(f.hours AS DECIMAL(18,2))) AS h
+  FROM ex_facts f LEFT JOIN map_a m
+    ON f.l4_org_unit = m.l4_org_unit AND f.personnel_area = m.personnel_area
+  GROUP BY f.period_year, m.facility, m.section)""", """ex_sec AS (
+  SELECT p.period_year, g.facility, g.section, coalesce(x.h, 0) AS h
+  FROM (SELECT DISTINCT period_year FROM ex_all) p
+  CROSS JOIN (SELECT DISTINCT facility, section FROM map_a) g
+  LEFT JOIN ex_all x ON x.period_year = p.period_year AND x.facility = g.facility
+                    AND x.section = g.section)""", """lv AS (
+  SELECT period_year, facility, section, 'section' AS row_kind, h FROM ex_sec
+  UNION ALL
+  SELECT period_year, facility, NULL, 'facility', coalesce(sum(h), 0) FROM ex_sec
+  GROUP BY period_year, facility
+  UNION ALL
+  SELECT period_year, NULL, NULL, 'grand', coalesce(sum(h), 0) FROM ex_sec GROUP BY period_year)""") + f"""
+SELECT period_year, {LABELS}, CAST(nullif(h, 0) AS DOUBLE) AS hours FROM lv"""
+
+
+def rejected_cells() -> str:
+    return _with(INC_TEXT) + """
+SELECT CAST(count(*) FILTER (WHERE NULLIF(trim(r.loss_date_raw), '') IS NOT NULL
+                               AND t.loss_date IS NULL) AS BIGINT) AS loss_date_raw_rejected,
+       CAST(count(*) FILTER (WHERE NULLIF(trim(r.lost_days_raw), '') IS NOT NULL
+                               AND t.lost_days IS NULL) AS BIGINT) AS lost_days_raw_rejected
+FROM inc_raw r JOIN inc_typed t ON r.o_orderkey = t.o_orderkey"""
+
+
+def hours_display() -> str:
+    return _with(*_hours_ctes(), """lvs AS (
+  SELECT facility, section, 'section' AS row_kind, h, src FROM hours_sec
+  UNION ALL
+  SELECT facility, NULL, 'facility', coalesce(sum(h), 0), min(src) FROM hours_sec GROUP BY facility
+  UNION ALL
+  SELECT NULL, NULL, 'grand', coalesce(sum(h), 0), 0 FROM hours_sec)""") + f"""
+SELECT {LABELS}, printf('%.2f', CAST(h AS DOUBLE)) AS hours,
+       CAST(row_number() OVER (ORDER BY (facility IS NULL AND row_kind <> 'grand'),
+                                        (row_kind = 'grand'), facility NULLS LAST, src,
+                                        (row_kind = 'section'), section NULLS LAST) AS INTEGER)
+         AS report_rank,
+       CASE row_kind WHEN 'grand' THEN 'grand' WHEN 'facility' THEN 'total' ELSE '' END AS emphasis
+FROM lvs"""
+
+
 SQL = {
     "nonexempt_report": nonexempt_report(),
     "nonexempt_sections_strict": nonexempt_sections_strict(),
@@ -393,8 +438,13 @@ SQL = {
     "label_alerts": label_alerts(),
     "expenditure_by_center": expenditure_by_center(),
     "sheet_header_footer": sheet_header_footer(),
+    "sheet_header_footer_steps": sheet_header_footer(),
     "mapping_violations": mapping_violations(),
     "report_order": report_order(),
     "hours_report_by_period": hours_report_by_period(),
     "incident_report_by_period": incident_report_by_period(),
+    "nonexempt_report_preaggregated": nonexempt_report(),
+    "exempt_report_by_period": exempt_report_by_period(),
+    "rejected_cells": rejected_cells(),
+    "hours_display": hours_display(),
 }

@@ -36,22 +36,31 @@ def drop_footer(rows: DataFrame, k: int) -> DataFrame:
             .drop("_last"))
 
 
+def _fields(header, cells):
+    """``map<header cell, cell>`` ignoring blank header cells."""
+    pairs = F.arrays_zip(header.alias("k"), cells.alias("v"))
+    named = F.filter(pairs, lambda e: F.nullif(F.trim(e["k"]), F.lit("")).isNotNull())
+    return F.map_from_entries(F.transform(
+        named, lambda e: F.struct(F.trim(e["k"]).alias("k"), e["v"].alias("v"))))
+
+
+def _file_bounds(rows: DataFrame) -> DataFrame:
+    """One row per file: header cells (first row), first and last index."""
+    return rows.groupBy(*FILE_KEYS).agg(
+        F.min("row_index").alias("_first"),
+        F.max("row_index").alias("_last"),
+        F.min_by("cells", "row_index").alias("_header"))
+
+
 def promote_header(rows: DataFrame) -> DataFrame:
     """Use the first remaining row of each file as its header.
 
     Returns the rows after it with ``fields map<header, cell>``; each file may
     order its columns differently.  Blank header cells are ignored.
     """
-    headers = rows.groupBy(*FILE_KEYS).agg(
-        F.min("row_index").alias("_hdr_index"),
-        F.min_by("cells", "row_index").alias("_header"))
-    data = (rows.join(headers, on=list(FILE_KEYS))
-            .filter(F.col("row_index") > F.col("_hdr_index")))
-    pairs = F.arrays_zip(F.col("_header").alias("k"), F.col("cells").alias("v"))
-    named = F.filter(pairs, lambda e: F.nullif(F.trim(e["k"]), F.lit("")).isNotNull())
-    fields = F.map_from_entries(F.transform(
-        named, lambda e: F.struct(F.trim(e["k"]).alias("k"), e["v"].alias("v"))))
-    return data.select(*FILE_KEYS, "row_index", fields.alias("fields"))
+    data = (rows.join(_file_bounds(rows), on=list(FILE_KEYS))
+            .filter(F.col("row_index") > F.col("_first")))
+    return data.select(*FILE_KEYS, "row_index", _fields(F.col("_header"), F.col("cells")).alias("fields"))
 
 
 def project_fields(rows: DataFrame, columns: Mapping[str, str] | Sequence[str],
@@ -68,10 +77,19 @@ def project_fields(rows: DataFrame, columns: Mapping[str, str] | Sequence[str],
 def sheet_table(rows: DataFrame, columns: Mapping[str, str] | Sequence[str], skip: int = 0,
                 footer: int = 0, sheet: str | None = None) -> DataFrame:
     """Raw rows -> a table: keep one sheet, skip ``skip`` rows, use the next row
-    as header, drop ``footer`` trailing rows, select ``columns``."""
+    as header, drop ``footer`` trailing rows, select ``columns``.
+
+    Header and footer positions come from a single per-file aggregate joined
+    once to the rows (same result as ``skip_rows`` -> ``promote_header`` ->
+    ``drop_footer``, one pass instead of two).
+    """
     if sheet is not None:
         rows = rows.filter(F.col("sheet") == F.lit(sheet))
-    body = promote_header(skip_rows(rows, skip) if skip else rows)
-    if footer:
-        body = drop_footer(body, footer)
+    if skip:
+        rows = skip_rows(rows, skip)
+    body = (rows.join(_file_bounds(rows), on=list(FILE_KEYS))
+            .filter((F.col("row_index") > F.col("_first"))
+                    & (F.col("row_index") <= F.col("_last") - F.lit(footer)))
+            .select(*FILE_KEYS, "row_index",
+                    _fields(F.col("_header"), F.col("cells")).alias("fields")))
     return project_fields(body, columns)
