@@ -66,8 +66,22 @@ def location_map_rows() -> list[tuple[str, str, str]]:
     return rows
 
 
+# Declared input schemas (columns the roles use, as Spark reads the files):
+# no schema inference at plan time, and only these columns are ever read.
+TABLE_SCHEMAS = {
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+               "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+                 "l_returnflag string, l_shipdate timestamp_ntz"),
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def exempt_map(spark: SparkSession) -> DataFrame:
