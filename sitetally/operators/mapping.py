@@ -161,7 +161,7 @@ def unmapped_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
     aggregates partially before its shuffle.
     """
     keys = list(keys)
-    m = mapping.select(*keys).distinct()
+    m = mapping.select(*keys)  # an anti join needs no distinct build side
     present = facts.select(*keys).dropna(how="any", subset=keys)
     return present.join(sized_broadcast(m, broadcast_rows), on=keys,
                         how="left_anti").distinct()
