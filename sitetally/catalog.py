@@ -68,7 +68,7 @@ def hours_report_q(spark, d):
 
 def serial_dates(spark, d):
     t = typed_incidents(R.incidents_text(spark, d))
-    return t.select("o_orderkey", "loss_date",
+    return t.select("o_orderkey", F.date_format("loss_date", "yyyy-MM-dd").alias("loss_date"),
                     month_name("loss_date").alias("loss_month"),
                     F.year("loss_date").alias("loss_year"))
 

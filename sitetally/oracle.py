@@ -172,7 +172,8 @@ SELECT {LABELS}, CAST(h AS DOUBLE) AS hours FROM lv"""
 
 def serial_dates() -> str:
     return _with(INC_TEXT) + """
-SELECT o_orderkey, loss_date, strftime(loss_date, '%B') AS loss_month,
+SELECT o_orderkey, strftime(loss_date, '%Y-%m-%d') AS loss_date,
+       strftime(loss_date, '%B') AS loss_month,
        CAST(year(loss_date) AS INTEGER) AS loss_year
 FROM inc_typed"""
 
