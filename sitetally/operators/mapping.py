@@ -182,6 +182,9 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
     * ``blank_key``: a key column is empty or only spaces (a blank cell read as
       text would match every blank fact cell and fan out);
     * ``duplicate_key``: one key maps to more than one row;
+    * ``key_variant``: keys that differ only in case or spacing (e.g.
+      ``"X - SALES"`` and ``"X- SALES"``); keys are matched exactly, so a fact
+      spelled the other way stays unmapped;
     * ``label_variant``: two spellings of one label (e.g. ``Equipment Service``
       and ``Equipment Services``).
 
@@ -204,7 +207,15 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
             .filter(F.col("n") > 1)
             .select(F.lit("duplicate_key").alias("issue"), key_text.alias("key"),
                     F.format_string("%d rows", F.col("n")).alias("detail")))
-    out = nulls.unionByName(blanks).unionByName(dups)
+    squashed = F.regexp_replace(F.lower(key_text), r"\s+", "")
+    key_variants = (mapping.filter(~null_any & ~blank_any)
+                    .select(squashed.alias("fp"), key_text.alias("key")).distinct()
+                    .groupBy("fp").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+                    .filter(F.size("keys") > 1)
+                    .select(F.lit("key_variant").alias("issue"),
+                            F.col("keys")[0].alias("key"),
+                            F.array_join("keys", " | ").alias("detail")))
+    out = nulls.unionByName(blanks).unionByName(dups).unionByName(key_variants)
     for label in labels:
         variants = (mapping.select(F.col(label).alias("label"))
                     .filter(F.col("label").isNotNull())
@@ -218,3 +229,32 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
                                      F.array_join("spellings", " | ")).alias("detail")))
         out = out.unionByName(variants)
     return out
+
+
+def label_drift(mappings: dict[str, DataFrame], label: str = "facility") -> DataFrame:
+    """Labels that will not line up when reports of several populations are
+    combined: ``fingerprint, spellings, sources, issue``.
+
+    * ``spelling``: one label written in more than one way across the
+      mappings (same fingerprint, different text);
+    * ``missing``: a label used by some mappings but not all of them.
+
+    Works on the (small) distinct labels of each mapping; nothing is collected.
+    """
+    names = list(mappings)
+    if not names:
+        raise ValueError("no mappings given")
+    labels = None
+    for name in names:
+        part = (mappings[name].select(F.col(label).alias("label"))
+                .filter(F.col("label").isNotNull()).distinct()
+                .withColumn("source", F.lit(name)))
+        labels = part if labels is None else labels.unionByName(part)
+    grouped = (labels.groupBy(_norm_label(F.col("label")).alias("fingerprint"))
+               .agg(F.sort_array(F.collect_set("label")).alias("spellings"),
+                    F.sort_array(F.collect_set("source")).alias("sources")))
+    issue = (F.when(F.size("spellings") > 1, F.lit("spelling"))
+             .when(F.size("sources") < F.lit(len(names)), F.lit("missing")))
+    return (grouped.withColumn("issue", issue).filter(F.col("issue").isNotNull())
+            .select("fingerprint", F.array_join("spellings", " | ").alias("spellings"),
+                    F.array_join("sources", " | ").alias("sources"), "issue"))

@@ -280,7 +280,9 @@ FROM orders"""
 
 
 PART_MAP = """pm AS (
-  SELECT CASE WHEN p_size = 1 THEN '' WHEN p_size = 49 THEN NULL ELSE p_name END AS cost_center,
+  SELECT CASE WHEN p_size = 1 THEN '' WHEN p_size = 49 THEN NULL
+              WHEN p_size = 48 THEN upper(p_name) WHEN p_size = 47 THEN replace(p_name, ' ', '  ')
+              ELSE p_name END AS cost_center,
          p_brand AS facility,
          CASE WHEN p_size = 50 THEN lower(p_type) || 's' ELSE p_type END AS section
   FROM part)"""
@@ -306,6 +308,11 @@ FROM pm WHERE trim(cost_center) = ''
 UNION ALL
 SELECT 'duplicate_key', coalesce(cost_center, ''), CAST(count(*) AS VARCHAR) || ' rows'
 FROM pm GROUP BY cost_center HAVING count(*) > 1
+UNION ALL
+SELECT 'key_variant', min(k), array_to_string(list_sort(list(k)), ' | ')
+FROM (SELECT DISTINCT regexp_replace(lower(cost_center), '\s+', '', 'g') AS fp, cost_center AS k
+      FROM pm WHERE cost_center IS NOT NULL AND trim(cost_center) <> '') v
+GROUP BY fp HAVING count(*) > 1
 UNION ALL {_variants('facility')}
 UNION ALL {_variants('section')}"""
 

@@ -160,11 +160,13 @@ def incidents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part catalogue read as a cost-centre mapping, with the defects a
-    hand-kept mapping has: blank and NULL keys, duplicate keys, and label
-    spelling variants."""
+    hand-kept mapping has: blank and NULL keys, duplicate keys, keys differing
+    only in case or spacing, and label spelling variants."""
     p = table(spark, sf_dir, "part")
     key = (F.when(F.col("p_size") == 1, F.lit(""))
            .when(F.col("p_size") == 49, F.lit(None))
+           .when(F.col("p_size") == 48, F.upper("p_name"))
+           .when(F.col("p_size") == 47, F.replace(F.col("p_name"), F.lit(" "), F.lit("  ")))
            .otherwise(F.col("p_name")))
     section = (F.when(F.col("p_size") == 50, F.concat(F.lower("p_type"), F.lit("s")))
                .otherwise(F.col("p_type")))

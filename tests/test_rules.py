@@ -253,3 +253,23 @@ def test_v4_input_guard(spark):
     f = frames(spark)
     with pytest.raises(ValueError, match="lacks column"):
         nonexempt_report(f["exempt"], f["nonexempt_map"])
+
+
+def test_label_drift_across_mappings(spark):
+    from sitetally.operators.mapping import label_drift
+    a = spark.createDataFrame([("k1", "Miami Dade", "Sales"), ("k2", "Ocala", "Sales"),
+                               ("k3", "Brevard", "Fleet")], NEM)
+    b = spark.createDataFrame([("k1", "South Dade", "Sales"), ("k2", "OCALA ", "Sales"),
+                               ("k3", "Brevard", "Fleet")], NEM)
+    got = {(r.spellings, r.issue) for r in label_drift({"exempt": a, "incidents": b}).collect()}
+    assert ("OCALA  | Ocala", "spelling") in got
+    assert ("Miami Dade", "missing") in got and ("South Dade", "missing") in got
+    assert not any("Brevard" in s for s, _ in got)
+
+
+def test_key_spacing_variants_are_reported(spark):
+    m = spark.createDataFrame([("OCALA - SALES", "Ocala", "Sales"), ("OCALA- SALES", "Ocala", "Sales"),
+                               ("TAMPA - DIST", "Tampa", "Distribution")], NEM)
+    got = [(r.key, r.detail) for r in validate_mapping(m, ["cost_center"]).collect()
+           if r.issue == "key_variant"]
+    assert got == [("OCALA - SALES", "OCALA - SALES | OCALA- SALES")]
