@@ -26,13 +26,16 @@ TOTAL_LABEL = "Total"
 ROLLUPS = ("lenient", "sum")
 
 
-def _rollup(name: str, rule: str, level: str) -> Column:
-    s = F.sum(F.col(name))
-    if rule == "lenient" or level == GRAND:
-        s = F.coalesce(s, F.lit(0).cast("long"))
-    elif rule != "sum":
+def _level_value(name: str, rule: str, kind: Column) -> Column:
+    """Value of a measure on a section, facility or grand row of the
+    grouping-sets aggregate (which holds plain sums)."""
+    if rule not in ROLLUPS:
         raise ValueError(f"unknown roll-up rule {rule!r}")
-    return s.alias(name)
+    s = F.col(name)
+    zero = F.coalesce(s, F.lit(0).cast("long"))
+    if rule == "lenient":
+        return F.when(kind == SECTION, s).otherwise(zero).alias(name)
+    return F.when(kind == GRAND, zero).otherwise(s).alias(name)
 
 
 def three_level(sections: DataFrame, measures: Sequence[str] | Mapping[str, str],
@@ -41,32 +44,41 @@ def three_level(sections: DataFrame, measures: Sequence[str] | Mapping[str, str]
     """Hand-written ROLLUP of section rows into facility and grand rows.
 
     Totals are sums of *section values* (never of raw facts), so a strict
-    NULL section contributes nothing to its facility.  The grand row comes
-    from a global aggregate, so it exists even for empty input.  The three
-    branches read the same (small) section frame; Spark reuses its exchange.
-
-    ``rank_col``, if given, is an integer column rolled up with ``min`` (the
-    source rank used by ``order_report``).
+    NULL section contributes nothing to its facility.  One ``groupingSets``
+    aggregate (a single Expand and exchange over the small section frame)
+    yields all three levels.  A grouping-sets aggregate returns no grand row
+    for empty input, so without ``by`` one marker row is added that only
+    the grand set sees: the report always has exactly one grand row.
+
+    ``sections`` holds one row per (by, facility, section).  ``rank_col``, if
+    given, is an integer column rolled up with ``min`` (the source rank used
+    by ``order_report``); the grand row gets 0.
     """
     rules = dict(measures) if isinstance(measures, Mapping) else {m: "lenient" for m in measures}
     by = list(by)
     names = list(rules)
     extra = [rank_col] if rank_col else []
-    null_str = F.lit(None).cast("string")
-
-    sec = sections.select(*by, facility, section, F.lit(SECTION).alias("row_kind"),
-                          *names, *extra)
-    fac = (sections.groupBy(*by, facility)
-           .agg(*[_rollup(n, r, FACILITY) for n, r in rules.items()],
-                *[F.min(c).alias(c) for c in extra])
-           .select(*by, facility, null_str.alias(section), F.lit(FACILITY).alias("row_kind"),
-                   *names, *extra))
-    grand = (sections.groupBy(*by)
-             .agg(*[_rollup(n, r, GRAND) for n, r in rules.items()],
-                  *[F.lit(0).alias(c) for c in extra])
-             .select(*by, null_str.alias(facility), null_str.alias(section),
-                     F.lit(GRAND).alias("row_kind"), *names, *extra))
-    return sec.unionByName(fac).unionByName(grand)
+    cols = [facility, section, *names, *extra]
+    base = sections.select(*by, *cols, F.lit(False).alias("_pad"))
+    if not by:
+        types = {f.name: f.dataType for f in base.schema.fields}
+        pad = base.sparkSession.range(1).select(
+            *[F.lit(None).cast(types[c]).alias(c) for c in cols], F.lit(True).alias("_pad"))
+        base = base.unionByName(pad)
+    sets = [[*by, facility, section, "_pad"], [*by, facility, "_pad"], list(by)]
+    agg = base.groupingSets(sets, *by, facility, section, "_pad").agg(
+        *[F.sum(n).alias(n) for n in names],
+        *[F.min(c).alias(c) for c in extra],
+        F.grouping(section).alias("_gs"),
+        F.grouping(facility).alias("_gf"))
+    kind = (F.when(F.col("_gs") == 0, F.lit(SECTION))
+            .when(F.col("_gf") == 0, F.lit(FACILITY)).otherwise(F.lit(GRAND)))
+    kept = agg.filter((F.col("_gf") == 1) | ~F.col("_pad")).withColumn("row_kind", kind)
+    k = F.col("row_kind")
+    return kept.select(
+        *by, facility, section, "row_kind",
+        *[_level_value(n, r, k) for n, r in rules.items()],
+        *[F.when(k == GRAND, F.lit(0)).otherwise(F.col(c)).alias(c) for c in extra])
 
 
 def label_levels(report: DataFrame, facility: str = "facility",

@@ -53,7 +53,9 @@ def test_sheet_ops_use_no_window(spark):
     assert "Window" not in text
 
 
-def test_section_exchange_is_reused(spark):
+def test_levels_come_from_one_expand_over_one_fact_scan(spark):
     df = QUERIES["nonexempt_report"](spark, SF)
     df.collect()
-    assert "ReusedExchange" in plan(df, "simple")
+    text = plan(df, "simple").split("== Initial Plan ==")[0]
+    assert text.count("Expand") == 1
+    assert text.count("lineitem.parquet") == 1
