@@ -145,3 +145,21 @@ def test_serial_dates(spark):
     got = [r.d for r in df.select(serial_to_date("s").alias("d")).collect()]
     import datetime as dt
     assert got == [dt.date(2019, 11, 1), dt.date(2019, 11, 21), None, None, None]
+
+
+def test_monthly_reports_share_one_hours_computation(spark):
+    from sitetally.plans.monthly import monthly_reports
+    f = frames(spark)
+    inc = typed_incidents(f["incidents_raw"])
+    rules = spark.createDataFrame([(HQ_LOCATION, HQ_MESSAGE)], "location string, message string")
+    m = monthly_reports(f["exempt"], f["exempt_map"], f["nonexempt"], f["nonexempt_map"],
+                        inc, f["location_map"], 2019, "November", alert_rules=rules)
+    got = rows(m.combined, "facility", "section", "row_kind", "hours", "or_cases", "lt_cases")
+    assert got == sorted(EXPECTED, key=lambda t: tuple((x is None, x) for x in t))
+    hours = rows(m.hours, "facility", "section", "row_kind", "hours")
+    assert hours == sorted([e[:4] for e in EXPECTED], key=lambda t: tuple((x is None, x) for x in t))
+    inc_rows = rows(m.incidents, "facility", "section", "or_cases", "lt_cases")
+    assert len(inc_rows) == len(EXPECTED)
+    assert m.status.collect()[0].unmapped_count == 1
+    assert m.alerts.count() == 1
+    m.release()
