@@ -77,31 +77,47 @@ TABLE_SCHEMAS = {
 }
 
 
+_REGISTERED: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Build an input DataFrame once per Spark application (as an application
+    registers its tables once): no repeated file listing or plan building."""
+    full = (spark.sparkContext.applicationId, *key)
+    df = _REGISTERED.get(full)
+    if df is None:
+        df = _REGISTERED[full] = build()
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reader = spark.read
-    if name in TABLE_SCHEMAS:
-        reader = reader.schema(TABLE_SCHEMAS[name])
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    def build():
+        reader = spark.read
+        if name in TABLE_SCHEMAS:
+            reader = reader.schema(TABLE_SCHEMAS[name])
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return _once(spark, ("table", sf_dir, name), build)
 
 
 def exempt_map(spark: SparkSession) -> DataFrame:
-    return literal_table(
+    return _once(spark, ("exempt_map",), lambda: literal_table(
         spark, EXEMPT_MAP,
-        "l4_org_unit string, personnel_area string, facility string, section string")
+        "l4_org_unit string, personnel_area string, facility string, section string"))
 
 
 def nonexempt_map(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, nonexempt_map_rows(),
-                         "cost_center string, facility string, section string")
+    return _once(spark, ("nonexempt_map",), lambda: literal_table(
+        spark, nonexempt_map_rows(), "cost_center string, facility string, section string"))
 
 
 def location_map(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, location_map_rows(),
-                         "location string, facility string, section string")
+    return _once(spark, ("location_map",), lambda: literal_table(
+        spark, location_map_rows(), "location string, facility string, section string"))
 
 
 def alert_rules(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, ALERT_RULES, "location string, message string")
+    return _once(spark, ("alert_rules",), lambda: literal_table(
+        spark, ALERT_RULES, "location string, message string"))
 
 
 def exempt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
