@@ -3,7 +3,7 @@
 Runs each query at $BENCH_SF_DIR (default /root/testdata/sf0.1) on
 local[$BENCH_CPUS]; every run executes the whole plan through the ``noop``
 sink (nothing is collected).  One warm-up run, then the median of
-$BENCH_REPS timed runs.  Prints one JSON line.
+$BENCH_REPS (default 5) timed runs.  Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    reps = int(os.environ.get("BENCH_REPS", "3"))
+    reps = int(os.environ.get("BENCH_REPS", "5"))
     names = sys.argv[1:] or list(HEADLINE)
     from sitetally.catalog import QUERIES
     from sitetally.session import build_session
