@@ -47,7 +47,7 @@ def zero_to_null(col: Column | str) -> Column:
 def null_to_zero(col: Column | str) -> Column:
     """``replace(is.na(.), 0)`` on a measure column (keys are never touched)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c, F.lit(0))
+    return F.coalesce(c, F.lit(0).cast("long"))
 
 
 @dataclass(frozen=True)

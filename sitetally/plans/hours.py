@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitetally.functions.measures import cents_to_hours, hours_measure, zero_to_null
+from sitetally.functions.measures import cents_to_hours, hours_measure, null_to_zero, zero_to_null
 from sitetally.operators.levels import label_levels, three_level
 from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, finish_states,
                                          require_columns, scaffold_states, section_states)
@@ -125,7 +125,7 @@ def combined_hour_sections(exempt: DataFrame, exempt_map: DataFrame,
     both = (ne.withColumn("src_rank", F.lit(0))
             .unionByName(ex.withColumn("src_rank", F.lit(1))))
     return (both.groupBy(*by, *LABELS)
-            .agg(F.coalesce(F.sum("hours"), F.lit(0).cast("long")).alias("hours"),
+            .agg(null_to_zero(F.sum("hours")).alias("hours"),
                  F.min("src_rank").alias("src_rank")))
 
 

@@ -273,3 +273,12 @@ def test_key_spacing_variants_are_reported(spark):
     got = [(r.key, r.detail) for r in validate_mapping(m, ["cost_center"]).collect()
            if r.issue == "key_variant"]
     assert got == [("OCALA - SALES", "OCALA - SALES | OCALA- SALES")]
+
+
+def test_previous_period_column(spark):
+    import datetime as dt
+    from sitetally.functions.dates import previous_period_col
+    got = spark.range(1).select(previous_period_col().alias("p"), F.current_date().alias("t")).collect()[0]
+    first = got.t.replace(day=1)
+    want = (first - dt.timedelta(days=1)).replace(day=1)
+    assert got.p == want
