@@ -310,7 +310,7 @@ SELECT 'duplicate_key', coalesce(cost_center, ''), CAST(count(*) AS VARCHAR) ||
 FROM pm GROUP BY cost_center HAVING count(*) > 1
 UNION ALL
 SELECT 'key_variant', min(k), array_to_string(list_sort(list(k)), ' | ')
-FROM (SELECT DISTINCT regexp_replace(lower(cost_center), '\s+', '', 'g') AS fp, cost_center AS k
+FROM (SELECT DISTINCT regexp_replace(lower(cost_center), '\\s+', '', 'g') AS fp, cost_center AS k
       FROM pm WHERE cost_center IS NOT NULL AND trim(cost_center) <> '') v
 GROUP BY fp HAVING count(*) > 1
 UNION ALL {_variants('facility')}
