@@ -29,22 +29,29 @@ LABELS = ("facility", "section")
 
 # Mapping tables larger than this are joined without a broadcast.
 DEFAULT_BROADCAST_ROWS = 200_000
-
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 _CHECKED: dict[tuple, bool] = {}
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """Bounded size check: counts at most ``max_rows + 1`` rows.
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """Bounded size check for configuration tables (mappings, rules).
 
-    Meant for configuration tables (mappings, rules).  The answer is memoised
-    per (plan, input files), so a report that joins the same mapping several
-    times checks it once.
+    One aggregation over at most ``max_rows + 1`` rows measures the row count
+    and the data size (UTF-8 bytes of every value as text); both must be
+    within bounds.  The answer is memoised per (plan, input files), so a
+    report that joins the same mapping several times checks it once.
     """
-    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows, max_bytes)
     hit = _CHECKED.get(key)
     if hit is None:
-        hit = _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
+        width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+                 for c in df.columns] or [F.lit(0)]
+        size = sum(width[1:], width[0]) + F.lit(8 * len(df.columns))
+        m = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                       F.sum(size).alias("b")).collect()[0]
+        hit = _CHECKED[key] = m["n"] <= max_rows and (m["b"] or 0) <= max_bytes
     return hit
 
 
@@ -156,15 +163,18 @@ def unmapped_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Distinct non-NULL fact keys that have no mapping row.
 
-    ``full_join + is.na(Facility) + unique + drop_na`` is an anti join; an
-    anti join against a broadcast mapping runs map-side, and ``distinct``
-    aggregates partially before its shuffle.
+    ``full_join + is.na(Facility) + unique + drop_na`` is an anti join.  With
+    a broadcastable mapping the anti join runs map-side and only unmapped
+    keys reach the (partially aggregated) ``distinct``.  Otherwise the fact
+    keys are made distinct first, so a hot key collapses map-side before the
+    shuffle join with the mapping.
     """
     keys = list(keys)
     m = mapping.select(*keys)  # an anti join needs no distinct build side
     present = facts.select(*keys).dropna(how="any", subset=keys)
-    return present.join(sized_broadcast(m, broadcast_rows), on=keys,
-                        how="left_anti").distinct()
+    if fits_broadcast(m, broadcast_rows):
+        return present.join(F.broadcast(m), on=keys, how="left_anti").distinct()
+    return present.distinct().join(m, on=keys, how="left_anti")
 
 
 def _norm_label(c: Column) -> Column:

@@ -282,3 +282,18 @@ def test_previous_period_column(spark):
     first = got.t.replace(day=1)
     want = (first - dt.timedelta(days=1)).replace(day=1)
     assert got.p == want
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from sitetally.operators.mapping import fits_broadcast
+    m = spark.createDataFrame([("k%d" % i, "x" * 100) for i in range(50)], "k string, v string")
+    assert fits_broadcast(m, max_rows=50, max_bytes=10_000)
+    assert not fits_broadcast(m, max_rows=49, max_bytes=10_000)
+    assert not fits_broadcast(m, max_rows=50, max_bytes=1_000)
+
+
+def test_unmapped_keys_fallback_matches_broadcast(spark):
+    f = frames(spark)
+    a = unmapped_keys(f["exempt"], f["exempt_map"], EXEMPT_KEYS)
+    b = unmapped_keys(f["exempt"], f["exempt_map"], EXEMPT_KEYS, broadcast_rows=0)
+    assert table(a, *EXEMPT_KEYS) == table(b, *EXEMPT_KEYS) == [("New Unit", "Brevard, FL")]
