@@ -70,7 +70,7 @@ def serial_dates(spark, d):
     t = typed_incidents(R.incidents_text(spark, d))
     return t.select("o_orderkey", F.date_format("loss_date", "yyyy-MM-dd").alias("loss_date"),
                     month_name("loss_date").alias("loss_month"),
-                    F.year("loss_date").alias("loss_year"))
+                    F.year("loss_date").cast("string").alias("loss_year"))
 
 
 def month_filter(spark, d):

@@ -174,7 +174,7 @@ def serial_dates() -> str:
     return _with(INC_TEXT) + """
 SELECT o_orderkey, strftime(loss_date, '%Y-%m-%d') AS loss_date,
        strftime(loss_date, '%B') AS loss_month,
-       CAST(year(loss_date) AS INTEGER) AS loss_year
+       CAST(year(loss_date) AS VARCHAR) AS loss_year
 FROM inc_typed"""
 
 
