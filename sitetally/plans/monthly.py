@@ -42,8 +42,10 @@ def monthly_reports(exempt: DataFrame, exempt_map: DataFrame, nonexempt: DataFra
                     year: int | None = None, month: str | int | None = None,
                     excluded_wage_types: Sequence[str] = EXCLUDED_WAGE_TYPES,
                     alert_rules: DataFrame | None = None, by: Sequence[str] = (),
-                    labels: bool = True) -> MonthlyReports:
+                    labels: bool = True, keep_rank: bool = False) -> MonthlyReports:
+    """``keep_rank`` keeps ``src_rank`` for ``display_view``/``order_report``."""
     by = list(by)
+    extra = ["src_rank"] if keep_rank else []
     hours = combined_hour_sections(exempt, exempt_map, nonexempt, nonexempt_map,
                                    excluded_wage_types, by)
     inc = incident_sections(incidents, location_map, year, month, by)
@@ -56,9 +58,9 @@ def monthly_reports(exempt: DataFrame, exempt_map: DataFrame, nonexempt: DataFra
                                       "lt_cases": "lenient"}, by, rank_col="src_rank")
     unmapped = unmapped_report(exempt, exempt_map, EXEMPT_KEYS)
     return MonthlyReports(
-        hours=finish_hours(hours_levels, by, zero_as_null=False, labels=labels),
-        incidents=finish_counts(all_levels, by, labels),
-        combined=finish_counts(all_levels, by, labels,
+        hours=finish_hours(hours_levels, by, zero_as_null=False, labels=labels, extra=extra),
+        incidents=finish_counts(all_levels, by, labels, extra=extra),
+        combined=finish_counts(all_levels, by, labels, extra=extra,
                                lead=[cents_to_hours("hours").alias("hours")]),
         unmapped=unmapped,
         status=coding_status(unmapped),

@@ -9,6 +9,7 @@ from sitetally.plans.incidents import incident_report
 from sitetally.sources import layouts
 from sitetally.sources.workbook import ingest_workbooks, sheet_rows
 from tests import fixtures as fx
+from tests.test_golden import EXPECTED
 from tests.xlsx import write_xlsx
 
 
@@ -66,3 +67,42 @@ def test_ingest_and_reports(spark):
     exp = expenditure_report(layouts.expenditures(rows.filter(rows.path.endswith("expend.xlsx"))))
     got = {r.cost_center: r.hours for r in exp.collect()}
     assert got == {"CC1": 4.0, "CC2": 4.0, "CC3": None}
+
+
+def test_command_line_run(spark):
+    import csv
+    import glob
+    from sitetally.__main__ import parser, run
+    folder = tempfile.mkdtemp(prefix="sitetally-cli-")
+    _books(folder)
+
+    def write_csv(name, header, rows):
+        path = os.path.join(folder, name)
+        with open(path, "w", newline="", encoding="utf-8") as fh:
+            w = csv.writer(fh)
+            w.writerow(header)
+            w.writerows(rows)
+        return path
+
+    em = write_csv("exempt_map.csv", ["L4 Org Unit Name", "Personnel Area Desc", "Facility", "Section"],
+                   fx.EXEMPT_MAP)
+    nm = write_csv("nonexempt_map.csv", ["Cost Center Desc.", "Facility", "Section"], fx.NONEXEMPT_MAP)
+    lm = write_csv("location_map.csv", ["Location", "Facility", "Section"], fx.LOCATION_MAP)
+    rules = write_csv("rules.csv", ["Location", "Message"], [("HEADQUARTERS - HQ", "recode HQ")])
+    out = os.path.join(folder, "out")
+    args = parser().parse_args([
+        "--exempt", os.path.join(folder, "exempt.xlsx"),
+        "--nonexempt", os.path.join(folder, "nonexempt.xlsx"),
+        "--incidents", os.path.join(folder, "osha.xlsx"),
+        "--exempt-map", em, "--nonexempt-map", nm, "--location-map", lm,
+        "--alert-rules", rules, "--year", "2019", "--month", "November", "--out", out])
+    written = run(spark, args)
+    assert set(written) == {"hours", "incidents", "combined", "unmapped", "status", "alerts"}
+    with open(glob.glob(os.path.join(written["combined"], "*.csv"))[0], encoding="utf-8") as fh:
+        rows = list(csv.DictReader(fh))
+    got = [(r["facility"], r["section"], r["hours"], r["or_cases"], r["lt_cases"]) for r in rows]
+    want = [(f or "", s or "", "%.2f" % h, "" if o is None else str(o), "" if t is None else str(t))
+            for f, s, _, h, o, t in EXPECTED]
+    assert got == want
+    with open(glob.glob(os.path.join(written["alerts"], "*.csv"))[0], encoding="utf-8") as fh:
+        assert "HEADQUARTERS - HQ" in fh.read()
