@@ -297,3 +297,14 @@ def test_unmapped_keys_fallback_matches_broadcast(spark):
     a = unmapped_keys(f["exempt"], f["exempt_map"], EXEMPT_KEYS)
     b = unmapped_keys(f["exempt"], f["exempt_map"], EXEMPT_KEYS, broadcast_rows=0)
     assert table(a, *EXEMPT_KEYS) == table(b, *EXEMPT_KEYS) == [("New Unit", "Brevard, FL")]
+
+
+def test_cents_round_half_away_from_zero(spark):
+    from sitetally.functions.measures import to_cents
+    df = spark.createDataFrame([(0.125,), (-0.125,), (2.5,), (1.0,), (None,), (12345678.91,)],
+                               "x double")
+    got = [r.c for r in df.select(to_cents("x").alias("c")).collect()]
+    assert got == [13, -13, 250, 100, None, 1234567891]
+    dec = spark.createDataFrame([(Decimal("1.01"),), (Decimal("99999999999.99"),)],
+                                "x decimal(18,2)")
+    assert [r.c for r in dec.select(to_cents("x").alias("c")).collect()] == [101, 9999999999999]
