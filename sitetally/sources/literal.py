@@ -36,7 +36,7 @@ def sql_literal(v) -> str:
 def literal_table(spark: SparkSession, rows: Sequence[Sequence],
                   schema: T.StructType | str) -> DataFrame:
     if isinstance(schema, str):
-        schema = T._parse_datatype_string(schema)
+        schema = T.StructType.fromDDL(schema)
     fields = schema.fields
     if not rows:
         return spark.createDataFrame([], schema)
