@@ -182,6 +182,11 @@ def hours_display(spark, d):
     return display_view(rep, rank_col="src_rank")
 
 
+def combined_report_by_period(spark, d):
+    return combined_report(*_hours_inputs(spark, d), R.incidents(spark, d),
+                           R.location_map(spark), excluded_wage_types=EXCL, by=["period_year"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nonexempt_report": nonexempt_report_q,
     "nonexempt_sections_strict": nonexempt_sections_strict,
@@ -211,4 +216,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exempt_report_by_period": exempt_report_by_period,
     "rejected_cells": rejected_cells_q,
     "hours_display": hours_display,
+    "combined_report_by_period": combined_report_by_period,
 }

@@ -426,6 +426,58 @@ SELECT {LABELS}, printf('%.2f', CAST(h AS DOUBLE)) AS hours,
 FROM lvs"""
 
 
+def _levels_by(sec: str, measures: dict[str, str], by: str) -> str:
+    """``_levels`` with a leading period column."""
+    def fac(c, rule):
+        return f"coalesce(sum({c}), 0) AS {c}" if rule == "lenient" else f"sum({c}) AS {c}"
+    cols = ", ".join(measures)
+    fac_cols = ", ".join(fac(c, r) for c, r in measures.items())
+    grand_cols = ", ".join(f"coalesce(sum({c}), 0) AS {c}" for c in measures)
+    return f"""lv AS (
+  SELECT {by}, facility, section, 'section' AS row_kind, {cols} FROM {sec}
+  UNION ALL
+  SELECT {by}, facility, NULL AS section, 'facility' AS row_kind, {fac_cols} FROM {sec}
+  GROUP BY {by}, facility
+  UNION ALL
+  SELECT {by}, NULL AS facility, NULL AS section, 'grand' AS row_kind, {grand_cols} FROM {sec}
+  GROUP BY {by})"""
+
+
+def combined_report_by_period() -> str:
+    return _with(MAP_A, MAP_B, MAP_C, EX_FACTS, NE_FACTS, INC, f"""ne_sec AS (
+  SELECT f.period_year, m.facility, m.section,
+         CASE WHEN count(*) = count(f.hours)
+              THEN coalesce(sum(CAST(f.hours AS DECIMAL(18,2))), 0) END AS h
+  FROM ne_facts f LEFT JOIN map_b m ON f.cost_center = m.cost_center
+  WHERE f.wage_type NOT IN ({EXCL})
+  GROUP BY f.period_year, m.facility, m.section)""", """ex_all AS (
+  SELECT f.period_year, m.facility, m.section, sum(CAST(f.hours AS DECIMAL(18,2))) AS h
+  FROM ex_facts f LEFT JOIN map_a m
+    ON f.l4_org_unit = m.l4_org_unit AND f.personnel_area = m.personnel_area
+  GROUP BY f.period_year, m.facility, m.section)""", """periods AS (
+  SELECT period_year FROM ex_all UNION SELECT period_year FROM ne_sec)""", """ex_sec AS (
+  SELECT p.period_year, g.facility, g.section, coalesce(x.h, 0) AS h
+  FROM periods p CROSS JOIN (SELECT DISTINCT facility, section FROM map_a) g
+  LEFT JOIN ex_all x ON x.period_year = p.period_year AND x.facility = g.facility
+                    AND x.section = g.section)""", """hours_sec AS (
+  SELECT period_year, facility, section, coalesce(sum(h), 0) AS h, min(src) AS src
+  FROM (SELECT period_year, facility, section, h, 0 AS src FROM ne_sec
+        UNION ALL SELECT period_year, facility, section, h, 1 AS src FROM ex_sec) u
+  GROUP BY period_year, facility, section)""", """inc_sec AS (
+  SELECT i.period_year, m.facility, m.section, count(*) AS or_cases,
+         nullif(count(*) FILTER (WHERE i.lost_days > 0), 0) AS lt_cases
+  FROM inc i LEFT JOIN map_c m ON i.location = m.location
+  GROUP BY i.period_year, m.facility, m.section)""", """all_sec AS (
+  SELECT period_year, facility, section, sum(h) AS h, sum(or_cases) AS or_cases,
+         sum(lt_cases) AS lt_cases
+  FROM (SELECT period_year, facility, section, h, NULL AS or_cases, NULL AS lt_cases
+        FROM hours_sec
+        UNION ALL
+        SELECT period_year, facility, section, NULL AS h, or_cases, lt_cases FROM inc_sec) u
+  GROUP BY period_year, facility, section)""", _levels_by("all_sec", ALL_RULES, "period_year")) + f"""
+SELECT period_year, {LABELS}, CAST(h AS DOUBLE) AS hours, {COUNT_COLS} FROM lv"""
+
+
 SQL = {
     "nonexempt_report": nonexempt_report(),
     "nonexempt_sections_strict": nonexempt_sections_strict(),
@@ -455,4 +507,5 @@ SQL = {
     "exempt_report_by_period": exempt_report_by_period(),
     "rejected_cells": rejected_cells(),
     "hours_display": hours_display(),
+    "combined_report_by_period": combined_report_by_period(),
 }
