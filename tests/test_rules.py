@@ -308,3 +308,29 @@ def test_cents_round_half_away_from_zero(spark):
     dec = spark.createDataFrame([(Decimal("1.01"),), (Decimal("99999999999.99"),)],
                                 "x decimal(18,2)")
     assert [r.c for r in dec.select(to_cents("x").alias("c")).collect()] == [101, 9999999999999]
+
+
+def test_edge_fixtures(spark):
+    """FIXTURES.md edge list: all wage types excluded; en dash in a key; a
+    key that differs only in spacing around its hyphen; malformed serials."""
+    m = spark.createDataFrame([("Ops – North", "F", "S"), ("OCALA - SALES", "F", "T")], NEM)
+    facts = spark.createDataFrame(
+        [("Ops – North", "R", Decimal(2)), ("OCALA- SALES", "R", Decimal(3)),
+         ("Ops – North", "3C Sick Pay", Decimal(5))], NE)
+    rep = nonexempt_report(facts, m, ["3C Sick Pay"], labels=False)
+    got = table(rep, "facility", "section", "row_kind", "hours")
+    # the en dash key matches exactly; the respaced key does not (kept unmapped)
+    assert ("F", "S", "section", 2.0) in got and (None, None, "section", 3.0) in got
+    everything = nonexempt_report(facts, m, ["R", "3C Sick Pay"], labels=False)
+    assert table(everything, "row_kind", "hours") == [("grand", None)]
+    issues = {r.issue for r in validate_mapping(
+        m.unionByName(spark.createDataFrame([("OCALA- SALES", "F", "T")], NEM)),
+        ["cost_center"]).collect()}
+    assert "key_variant" in issues
+    from sitetally.sources.tables import typed_incidents
+    lm = spark.createDataFrame([("L", "F", "S")], "location string, facility string, section string")
+    raw = spark.createDataFrame([("L", "43770", "1"), ("L", "", "1"), ("L", "x", "1"),
+                                 ("L", None, "1"), ("L", "43790.9", "0")],
+                                "location string, loss_date_raw string, lost_days_raw string")
+    inc = incident_report(typed_incidents(raw), lm, 2019, "November", labels=False)
+    assert table(inc.filter("row_kind = 'grand'"), "or_cases", "lt_cases") == [(2, 1)]
