@@ -2,14 +2,17 @@
 
 The reference recomputes its reports whenever a new monthly file is
 uploaded.  The streaming form watches a landing folder of fact files laid
-out by period (``<landing>/<period col>=<value>/...``).  Each upload is a
-complete period, so every micro-batch computes the reports of the periods it
-contains (grouped by the period column) and overwrites just those period
-partitions of the output.  A corrected re-upload replaces its period.
+out by period (``<landing>/<period col>=<value>/...``).  A micro-batch only
+says *which* periods changed: each of them is recomputed from the whole
+landing table (a semi join on the period column, which dynamic partition
+pruning turns into reading just those period folders), and just those
+period partitions of the output are overwritten.  So an upload split over
+several files or batches still gives a complete report, and a corrected
+re-upload (the period folder overwritten) replaces its period.
 
 Recovery: the stream's offsets live in a checkpoint folder under the
 cluster's shared ``spark.checkpoint.dir``; a replayed batch rewrites the
-same partitions, so the sink is idempotent.
+same partitions from the same files, so the sink is idempotent.
 """
 
 from __future__ import annotations
@@ -25,6 +28,21 @@ from sitetally.session import checkpoint_dir
 from sitetally.sinks import write_report
 
 
+def _period_in(by: Sequence[str], values: list[tuple]):
+    """Filter on partition columns that Spark prunes statically."""
+    from pyspark.sql import functions as F
+    if len(by) == 1:
+        return F.col(by[0]).isin([v[0] for v in values])
+    cond = None
+    for v in values:
+        term = None
+        for c, x in zip(by, v):
+            t = F.col(c).eqNullSafe(F.lit(x))
+            term = t if term is None else term & t
+        cond = term if cond is None else cond | term
+    return cond
+
+
 def report_on_arrival(spark: SparkSession, landing: str, schema: T.StructType | str,
                       build_report: Callable[[DataFrame, Sequence[str]], DataFrame],
                       out: str, by: Sequence[str] = ("period",), name: str = "report",
@@ -41,7 +59,12 @@ def report_on_arrival(spark: SparkSession, landing: str, schema: T.StructType |
     by = list(by)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_report(build_report(batch, by), out, by)
+        changed = [tuple(r) for r in batch.select(*by).distinct().collect()]
+        if not changed:
+            return
+        landed = spark.read.schema(schema).format(fmt).load(landing)
+        current = landed.filter(_period_in(by, changed))
+        write_report(build_report(current, by), out, by)
 
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), f"stream-{name}")
     w = facts.writeStream.foreachBatch(handle).option("checkpointLocation", ckpt)

@@ -12,10 +12,10 @@ from tests.fixtures import NONEXEMPT, frames
 SCHEMA = "cost_center string, wage_type string, hours decimal(18,2), period string"
 
 
-def _land(spark, landing, period, rows):
+def _land(spark, landing, period, rows, mode="overwrite"):
     df = spark.createDataFrame([(a, b, None if h is None else Decimal(h)) for a, b, h in rows],
                                "cost_center string, wage_type string, hours decimal(18,2)")
-    df.write.mode("overwrite").parquet(os.path.join(landing, f"period={period}"))
+    df.write.mode(mode).parquet(os.path.join(landing, f"period={period}"))
 
 
 def test_reports_on_arrival_and_reupload(spark):
@@ -42,6 +42,13 @@ def test_reports_on_arrival_and_reupload(spark):
     grand = {r.period: r.hours for r in spark.read.parquet(out).filter("row_kind = 'grand'").collect()}
     assert grand == {"2019-11": 231.0, "2019-12": 7.0}
 
+    # a second file for November arrives later: November is recomputed whole
+    _land(spark, landing, "2019-11", [("Brevard SC Delv", "Regular", 9)], mode="append")
+    q = report_on_arrival(spark, landing, SCHEMA, build, out, checkpoint=ckpt, name="ne3")
+    q.awaitTermination(120)
+    grand = {r.period: r.hours for r in spark.read.parquet(out).filter("row_kind = 'grand'").collect()}
+    assert grand == {"2019-11": 240.0, "2019-12": 7.0}
+
 
 def test_display_view_and_csv(spark):
     f = frames(spark)
