@@ -8,7 +8,9 @@ Workbook arguments are files or folders of ``.xlsx`` files; mapping files are
 CSV with a header row (source or snake_case column names).  Without a period
 the previous calendar month is reported.  Output folders under ``OUT``:
 ``hours``, ``incidents``, ``combined`` (single CSV files with the display
-columns), ``unmapped``, ``status`` and, with ``--alert-rules``, ``alerts``.
+columns), ``unmapped``, ``status`` and, with ``--alert-rules``, ``alerts``;
+``_raw`` holds the decoded workbook rows (Parquet), written once and read by
+every report.
 """
 
 from __future__ import annotations
@@ -47,7 +49,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
     year, month = args.year, args.month
     if year is None or month is None:
         year, month = previous_period()
-    raw = {k: ingest_workbooks(spark, getattr(args, k)) for k in ("exempt", "nonexempt", "incidents")}
+    raw = {}
+    for k in ("exempt", "nonexempt", "incidents"):
+        # decode each workbook once; every report reads the written raw rows
+        landed = os.path.join(args.out, "_raw", k)
+        ingest_workbooks(spark, getattr(args, k)).write.mode("overwrite").parquet(landed)
+        raw[k] = spark.read.parquet(landed)
     m = monthly_reports(
         layouts.exempt_hours(raw["exempt"]), read_mapping(spark, args.exempt_map, "exempt"),
         layouts.nonexempt_hours(raw["nonexempt"]),
