@@ -135,14 +135,16 @@ def scaffold_states(states: DataFrame, mapping: DataFrame, measures: Sequence[Me
     """
     by, labels = list(by), list(labels)
     names = _partial_names(measures)
-    g = grid(mapping, labels)
     zero = [F.lit(None).cast("long").alias(n) for n in names]
     if not by:
-        empty = g.select(*labels, *zero)
+        # duplicate pairs merge in the aggregation below, so no distinct is needed
+        empty = mapping.select(*labels, *zero)
     else:
-        if not fits_broadcast(g, broadcast_rows):
+        m = mapping.select(*labels)
+        if not fits_broadcast(m, broadcast_rows):
             raise ValueError("mapping grid too large to attach to every period")
-        pairs = g.agg(F.collect_list(F.struct(*labels)).alias("pairs")).scalar()
+        # one global aggregate over the (checked) mapping; no distinct stage needed
+        pairs = m.agg(F.array_distinct(F.collect_list(F.struct(*labels))).alias("pairs")).scalar()
         per = periods if periods is not None else states.select(*by)
         empty = (per.select(*by).distinct()
                  .select(*by, F.explode(pairs).alias("_pair"))
