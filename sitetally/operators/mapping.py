@@ -136,11 +136,13 @@ def scaffold_states(states: DataFrame, mapping: DataFrame, measures: Sequence[Me
     by, labels = list(by), list(labels)
     names = _partial_names(measures)
     zero = [F.lit(None).cast("long").alias(n) for n in names]
+    # a pair with a NULL label is never reported (drop_na), so it gets no scaffold row
+    pairs_df = mapping.select(*labels).dropna(how="any", subset=labels)
     if not by:
         # duplicate pairs merge in the aggregation below, so no distinct is needed
-        empty = mapping.select(*labels, *zero)
+        empty = pairs_df.select(*labels, *zero)
     else:
-        m = mapping.select(*labels)
+        m = pairs_df
         if not fits_broadcast(m, broadcast_rows):
             raise ValueError("mapping grid too large to attach to every period")
         # one global aggregate over the (checked) mapping; no distinct stage needed
