@@ -62,6 +62,27 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+_UNIQUE: dict[tuple, bool] = {}
+
+
+def assert_unique_keys(mapping: DataFrame, keys: Sequence[str]) -> None:
+    """Refuse a mapping in which one key has several rows: the join would
+    repeat every fact of that key and silently inflate its totals.  One
+    aggregation over the mapping, memoised per (plan, input files)."""
+    keys = list(keys)
+    memo = (mapping.semanticHash(), tuple(sorted(mapping.inputFiles())), tuple(keys))
+    ok = _UNIQUE.get(memo)
+    if ok is None:
+        dup = (mapping.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+               .filter(F.col("n") > 1).limit(1).collect())
+        ok = _UNIQUE[memo] = not dup
+        if dup:
+            raise ValueError(f"mapping has several rows for key {dup[0].asDict()}; "
+                             "run validate_mapping() and fix the mapping")
+    elif not ok:
+        raise ValueError("mapping has duplicate keys; run validate_mapping()")
+
+
 def require_columns(df: DataFrame, columns: Sequence[str], what: str = "input") -> None:
     """Input guard: fail before planning when a needed column is absent."""
     missing = [c for c in columns if c not in df.columns]
@@ -80,12 +101,13 @@ def _partial_names(measures: Sequence[Measure]) -> list[str]:
 def section_states(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
                    measures: Sequence[Measure], by: Sequence[str] = (),
                    unmapped: str = "keep", labels: Sequence[str] = LABELS,
-                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                   check_keys: bool = True) -> DataFrame:
     """Partial measure states per (by, facility, section).
 
     Returns columns ``[*by, *labels, *partials]``.  Fact rows whose key has no
     mapping get NULL labels (``keep``) or are excluded (``drop``).  A NULL key
-    never matches.
+    never matches.  A mapping with duplicate keys is refused (``check_keys``).
     """
     if unmapped not in ("keep", "drop"):
         raise ValueError(f"unmapped must be 'keep' or 'drop', not {unmapped!r}")
@@ -94,6 +116,8 @@ def section_states(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
     require_columns(facts, [*by, *keys], "facts")
     require_columns(mapping, [*keys, *labels], "mapping")
     m = mapping.select(*keys, *labels)
+    if check_keys:
+        assert_unique_keys(m, keys)
     if fits_broadcast(m, broadcast_rows):
         joined = facts.join(F.broadcast(m), on=keys, how=how)
         return joined.groupBy(*by, *labels).agg(*_partials(measures))

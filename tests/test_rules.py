@@ -334,3 +334,10 @@ def test_edge_fixtures(spark):
                                 "location string, loss_date_raw string, lost_days_raw string")
     inc = incident_report(typed_incidents(raw), lm, 2019, "November", labels=False)
     assert table(inc.filter("row_kind = 'grand'"), "or_cases", "lt_cases") == [(2, 1)]
+
+
+def test_duplicate_mapping_keys_are_refused(spark):
+    m = spark.createDataFrame([("k", "F", "S"), ("k", "G", "S")], NEM)
+    facts = spark.createDataFrame([("k", "R", Decimal(1))], NE)
+    with pytest.raises(ValueError, match="several rows for key"):
+        nonexempt_report(facts, m, [])
