@@ -212,6 +212,13 @@ def _norm_label(c: Column) -> Column:
     return F.regexp_replace(squashed, r"s$", "")
 
 
+def _shared_fingerprints(spelled: DataFrame) -> DataFrame:
+    """Fingerprints written in more than one way (a partial count per
+    fingerprint; no group is gathered into one value)."""
+    return (spelled.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > 1).select("fp"))
+
+
 def validate_mapping(mapping: DataFrame, keys: Sequence[str],
                      labels: Sequence[str] = LABELS) -> DataFrame:
     """Mapping problems as rows: ``issue, key, detail``.
@@ -221,10 +228,11 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
       text would match every blank fact cell and fan out);
     * ``duplicate_key``: one key maps to more than one row;
     * ``key_variant``: keys that differ only in case or spacing (e.g.
-      ``"X - SALES"`` and ``"X- SALES"``); keys are matched exactly, so a fact
-      spelled the other way stays unmapped;
-    * ``label_variant``: two spellings of one label (e.g. ``Equipment Service``
-      and ``Equipment Services``).
+      ``"X - SALES"`` and ``"X- SALES"``), one row per spelling with the shared
+      fingerprint as detail; keys are matched exactly, so a fact spelled the
+      other way stays unmapped;
+    * ``label_variant``: labels written in more than one way (e.g. ``Equipment
+      Service`` and ``Equipment Services``), one row per spelling.
 
     Every check is a distributed aggregation; nothing is collected.
     """
@@ -246,38 +254,34 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
             .select(F.lit("duplicate_key").alias("issue"), key_text.alias("key"),
                     F.format_string("%d rows", F.col("n")).alias("detail")))
     squashed = F.regexp_replace(F.lower(key_text), r"\s+", "")
-    key_variants = (mapping.filter(~null_any & ~blank_any)
-                    .select(squashed.alias("fp"), key_text.alias("key")).distinct()
-                    .groupBy("fp").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-                    .filter(F.size("keys") > 1)
-                    .select(F.lit("key_variant").alias("issue"),
-                            F.col("keys")[0].alias("key"),
-                            F.array_join("keys", " | ").alias("detail")))
+    spelled = (mapping.filter(~null_any & ~blank_any)
+               .select(squashed.alias("fp"), key_text.alias("key")).distinct())
+    key_variants = (spelled.join(_shared_fingerprints(spelled), on="fp")
+                    .select(F.lit("key_variant").alias("issue"), "key",
+                            F.col("fp").alias("detail")))
     out = nulls.unionByName(blanks).unionByName(dups).unionByName(key_variants)
     for label in labels:
-        variants = (mapping.select(F.col(label).alias("label"))
-                    .filter(F.col("label").isNotNull())
-                    .select(_norm_label(F.col("label")).alias("fp"), "label").distinct()
-                    .groupBy("fp")
-                    .agg(F.sort_array(F.collect_list("label")).alias("spellings"))
-                    .filter(F.size("spellings") > 1)
+        spelled = (mapping.select(F.col(label).alias("label"))
+                   .filter(F.col("label").isNotNull())
+                   .select(_norm_label(F.col("label")).alias("fp"), "label").distinct())
+        variants = (spelled.join(_shared_fingerprints(spelled), on="fp")
                     .select(F.lit("label_variant").alias("issue"),
                             F.lit(None).cast("string").alias("key"),
-                            F.concat(F.lit(label + ": "),
-                                     F.array_join("spellings", " | ")).alias("detail")))
+                            F.concat(F.lit(label + ": "), F.col("label")).alias("detail")))
         out = out.unionByName(variants)
     return out
 
 
 def label_drift(mappings: dict[str, DataFrame], label: str = "facility") -> DataFrame:
     """Labels that will not line up when reports of several populations are
-    combined: ``fingerprint, spellings, sources, issue``.
+    combined: ``fingerprint, label, sources, issue``, one row per spelling.
 
-    * ``spelling``: one label written in more than one way across the
-      mappings (same fingerprint, different text);
-    * ``missing``: a label used by some mappings but not all of them.
+    * ``spelling``: the label's fingerprint is written in more than one way
+      across the mappings;
+    * ``missing``: the label is used by some mappings but not all of them.
 
-    Works on the (small) distinct labels of each mapping; nothing is collected.
+    Works on the distinct labels of each mapping with count aggregates; the
+    only gathered list is a label's sources (at most one per mapping given).
     """
     names = list(mappings)
     if not names:
@@ -288,11 +292,14 @@ def label_drift(mappings: dict[str, DataFrame], label: str = "facility") -> Data
                 .filter(F.col("label").isNotNull()).distinct()
                 .withColumn("source", F.lit(name)))
         labels = part if labels is None else labels.unionByName(part)
-    grouped = (labels.groupBy(_norm_label(F.col("label")).alias("fingerprint"))
-               .agg(F.sort_array(F.collect_set("label")).alias("spellings"),
-                    F.sort_array(F.collect_set("source")).alias("sources")))
-    issue = (F.when(F.size("spellings") > 1, F.lit("spelling"))
-             .when(F.size("sources") < F.lit(len(names)), F.lit("missing")))
-    return (grouped.withColumn("issue", issue).filter(F.col("issue").isNotNull())
-            .select("fingerprint", F.array_join("spellings", " | ").alias("spellings"),
-                    F.array_join("sources", " | ").alias("sources"), "issue"))
+    labels = labels.withColumn("fingerprint", _norm_label(F.col("label")))
+    per_fp = labels.groupBy("fingerprint").agg(
+        F.count_distinct("label").alias("_spellings"),
+        F.count_distinct("source").alias("_sources"))
+    per_label = labels.groupBy("fingerprint", "label").agg(
+        F.array_join(F.sort_array(F.collect_set("source")), " | ").alias("sources"))
+    issue = (F.when(F.col("_spellings") > 1, F.lit("spelling"))
+             .when(F.col("_sources") < F.lit(len(names)), F.lit("missing")))
+    return (per_label.join(per_fp, on="fingerprint").withColumn("issue", issue)
+            .filter(F.col("issue").isNotNull())
+            .select("fingerprint", "label", "sources", "issue"))

@@ -292,10 +292,10 @@ def _variants(label: str) -> str:
     fp = (f"regexp_replace(regexp_replace(lower(trim({label})), '[^0-9a-z]+', '', 'g'), "
           f"'s$', '')")
     return f"""
-SELECT 'label_variant' AS issue, CAST(NULL AS VARCHAR) AS key,
-       '{label}: ' || array_to_string(list_sort(list(lbl)), ' | ') AS detail
+SELECT 'label_variant' AS issue, CAST(NULL AS VARCHAR) AS key, '{label}: ' || v.lbl AS detail
 FROM (SELECT DISTINCT {fp} AS fp, {label} AS lbl FROM pm WHERE {label} IS NOT NULL) v
-GROUP BY fp HAVING count(*) > 1"""
+WHERE v.fp IN (SELECT {fp} FROM pm WHERE {label} IS NOT NULL
+               GROUP BY 1 HAVING count(DISTINCT {label}) > 1)"""
 
 
 def mapping_violations() -> str:
@@ -309,10 +309,12 @@ UNION ALL
 SELECT 'duplicate_key', coalesce(cost_center, ''), CAST(count(*) AS VARCHAR) || ' rows'
 FROM pm GROUP BY cost_center HAVING count(*) > 1
 UNION ALL
-SELECT 'key_variant', min(k), array_to_string(list_sort(list(k)), ' | ')
+SELECT 'key_variant', v.k, v.fp
 FROM (SELECT DISTINCT regexp_replace(lower(cost_center), '\\s+', '', 'g') AS fp, cost_center AS k
       FROM pm WHERE cost_center IS NOT NULL AND trim(cost_center) <> '') v
-GROUP BY fp HAVING count(*) > 1
+WHERE v.fp IN (SELECT regexp_replace(lower(cost_center), '\\s+', '', 'g') FROM pm
+               WHERE cost_center IS NOT NULL AND trim(cost_center) <> ''
+               GROUP BY 1 HAVING count(DISTINCT cost_center) > 1)
 UNION ALL {_variants('facility')}
 UNION ALL {_variants('section')}"""
 
