@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitetally.functions.measures import Measure
@@ -145,37 +145,68 @@ def grid(mapping: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     return mapping.select(*labels).distinct()
 
 
+def mapping_pairs(mapping: DataFrame, labels: Sequence[str] = LABELS,
+                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Column:
+    """The distinct (facility, section) pairs of a checked-size mapping as one
+    array value (a scalar subquery; pairs with a NULL label are left out)."""
+    labels = list(labels)
+    m = mapping.select(*labels).dropna(how="any", subset=labels)
+    if not fits_broadcast(m, broadcast_rows):
+        raise ValueError("mapping grid too large to attach to every period")
+    return m.agg(F.array_distinct(F.collect_list(F.struct(*labels))).alias("pairs")).scalar()
+
+
+def attach_pairs(frame: DataFrame, pairs: Column, by: Sequence[str],
+                 fill: dict[str, Column], labels: Sequence[str] = LABELS) -> DataFrame:
+    """Add, for every period of ``frame``, one row per mapping pair.
+
+    The first row of each period (a window partitioned by the period, so one
+    period's rows, at most one per pair plus the unmapped group) carries the
+    pair list and is exploded into itself plus one row per pair, with the
+    other columns set from ``fill`` (NULL when absent).  The frame is read in
+    a single pass: no second branch re-derives its periods.
+    """
+    by, labels = list(by), list(labels)
+    rest = [c for c in frame.columns if c not in by]
+    types = {f.name: f.dataType for f in frame.schema.fields}
+    own = F.struct(*[F.col(c) for c in rest])
+
+    def pair_row(p):
+        return F.struct(*[(p[c] if c in labels else fill.get(c, F.lit(None))).cast(types[c]).alias(c)
+                          for c in rest])
+
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_first() for c in labels])
+    first = F.row_number().over(w) == 1
+    # the subquery value is projected first: a higher-order function may not hold one
+    marked = frame.select("*", F.when(first, pairs).alias("_pairs"))
+    rows = F.when(F.col("_pairs").isNotNull(),
+                  F.concat(F.array(own), F.transform(F.col("_pairs"), pair_row))
+                  ).otherwise(F.array(own))
+    return marked.select(*by, F.explode(rows).alias("_row")).select(*by, "_row.*")
+
+
 def scaffold_states(states: DataFrame, mapping: DataFrame, measures: Sequence[Measure],
-                    by: Sequence[str] = (), periods: DataFrame | None = None,
-                    labels: Sequence[str] = LABELS,
+                    by: Sequence[str] = (), labels: Sequence[str] = LABELS,
                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Add every mapping pair with empty states, so each pair is reported.
 
-    Without ``by`` the grid is unioned once.  With ``by`` every period in
-    ``periods`` (default: the periods in ``states``) gets every pair: the
-    bounded pair list is attached to each period row as one array value (a
-    scalar subquery, size-checked like a broadcast) and exploded, so no join
-    is needed.  The result is re-merged per (by, labels).
+    Without ``by`` the mapping's pairs are unioned once.  With ``by`` every
+    period present in ``states`` gets every pair (``attach_pairs``).  The
+    result is re-merged per (by, labels); rows of the unmapped (NULL facility)
+    group are dropped after the pairs are attached, so a period whose facts
+    are all unmapped still gets its zero rows.
     """
     by, labels = list(by), list(labels)
     names = _partial_names(measures)
-    zero = [F.lit(None).cast("long").alias(n) for n in names]
-    # a pair with a NULL label is never reported (drop_na), so it gets no scaffold row
-    pairs_df = mapping.select(*labels).dropna(how="any", subset=labels)
     if not by:
-        # duplicate pairs merge in the aggregation below, so no distinct is needed
-        empty = pairs_df.select(*labels, *zero)
-    else:
-        m = pairs_df
-        if not fits_broadcast(m, broadcast_rows):
-            raise ValueError("mapping grid too large to attach to every period")
-        # one global aggregate over the (checked) mapping; no distinct stage needed
-        pairs = m.agg(F.array_distinct(F.collect_list(F.struct(*labels))).alias("pairs")).scalar()
-        per = periods if periods is not None else states.select(*by)
-        empty = (per.select(*by).distinct()
-                 .select(*by, F.explode(pairs).alias("_pair"))
-                 .select(*by, *[F.col(f"_pair.{c}").alias(c) for c in labels], *zero))
-    return merge_states(states.unionByName(empty), measures, by, labels)
+        zero = [F.lit(None).cast("long").alias(n) for n in names]
+        # a pair with a NULL label is never reported (drop_na); duplicates merge below
+        empty = mapping.select(*labels).dropna(how="any", subset=labels).select(*labels, *zero)
+        mapped = states.filter(F.col(labels[0]).isNotNull())
+        return merge_states(mapped.unionByName(empty), measures, by, labels)
+    pairs = mapping_pairs(mapping, labels, broadcast_rows)
+    carried = attach_pairs(states, pairs, by, {}, labels)
+    return merge_states(carried.filter(F.col(labels[0]).isNotNull()), measures, by, labels)
 
 
 def map_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],

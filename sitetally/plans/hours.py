@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from sitetally.functions.measures import cents_to_hours, hours_measure, null_to_zero, zero_to_null
 from sitetally.operators.levels import label_levels, three_level
-from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, finish_states,
-                                         require_columns, scaffold_states, section_states)
+from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, attach_pairs,
+                                         finish_states, mapping_pairs, require_columns,
+                                         scaffold_states, section_states)
 
 # Wage types left out of non-exempt hours by default.
 EXCLUDED_WAGE_TYPES = ("3C Sick Pay", "3C Vacation Pay", "3C Vac Payout SupTx")
@@ -58,26 +59,20 @@ def nonexempt_sections(facts: DataFrame, mapping: DataFrame,
 
 def exempt_sections(facts: DataFrame, mapping: DataFrame, by: Sequence[str] = (),
                     keys: Sequence[str] = EXEMPT_KEYS, hours_col: str = "hours",
-                    periods: DataFrame | None = None,
                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Section hours in cents (lenient sum; every mapping pair present).
 
-    Facts are mapped with a left join and the unmapped (NULL facility) group
-    is dropped after aggregation, so the periods of unmapped facts are still
-    known for the scaffold without a second scan of the facts.  ``periods``
-    adds further periods (e.g. those of the other population).
+    Facts are mapped with a left join; the unmapped (NULL facility) group is
+    dropped after aggregation, once the zero rows of every mapping pair have
+    been added for each period (including periods whose facts are all
+    unmapped).
     """
     by = list(by)
     require_columns(facts, [*by, *keys, hours_col], "exempt hours")
     measure = hours_measure("hours", hours_col, mode="lenient")
     states = section_states(facts, mapping, keys, [measure], by, unmapped="keep",
                             broadcast_rows=broadcast_rows)
-    if by:
-        own = states.select(*by)
-        periods = own if periods is None else own.unionByName(periods.select(*by))
-    mapped = states.filter(F.col(LABELS[0]).isNotNull())
-    states = scaffold_states(mapped, mapping, [measure], by, periods,
-                             broadcast_rows=broadcast_rows)
+    states = scaffold_states(states, mapping, [measure], by, broadcast_rows=broadcast_rows)
     return finish_states(states, [measure], by)
 
 
@@ -120,10 +115,26 @@ def combined_hour_sections(exempt: DataFrame, exempt_map: DataFrame,
     by = list(by)
     ne = nonexempt_sections(nonexempt, nonexempt_map, excluded_wage_types, by,
                             broadcast_rows=broadcast_rows)
-    ex = exempt_sections(exempt, exempt_map, by, periods=ne if by else None,
-                         broadcast_rows=broadcast_rows)
-    both = (ne.withColumn("src_rank", F.lit(0))
-            .unionByName(ex.withColumn("src_rank", F.lit(1))))
+    if not by:
+        ex = exempt_sections(exempt, exempt_map, by, broadcast_rows=broadcast_rows)
+        both = (ne.withColumn("src_rank", F.lit(0))
+                .unionByName(ex.withColumn("src_rank", F.lit(1))))
+    else:
+        # every period of either population gets the exempt mapping's zero rows;
+        # both populations are read once (pairs are attached in the same pass)
+        measure = hours_measure("hours", "hours", mode="lenient")
+        require_columns(exempt, [*by, *EXEMPT_KEYS, "hours"], "exempt hours")
+        ex_states = section_states(exempt, exempt_map, EXEMPT_KEYS, [measure], by,
+                                   unmapped="keep", broadcast_rows=broadcast_rows)
+        ex = (finish_states(ex_states, [measure], by)
+              .withColumn("src_rank", F.lit(1))
+              .withColumn("_keep", F.col(LABELS[0]).isNotNull()))
+        union = (ne.withColumn("src_rank", F.lit(0)).withColumn("_keep", F.lit(True))
+                 .unionByName(ex))
+        pairs = mapping_pairs(exempt_map, LABELS, broadcast_rows)
+        both = (attach_pairs(union, pairs, by, {"hours": F.lit(0), "src_rank": F.lit(1),
+                                                "_keep": F.lit(True)})
+                .filter("_keep").drop("_keep"))
     return (both.groupBy(*by, *LABELS)
             .agg(null_to_zero(F.sum("hours")).alias("hours"),
                  F.min("src_rank").alias("src_rank")))

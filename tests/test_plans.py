@@ -56,6 +56,17 @@ def test_sheet_ops_use_no_window(spark):
 def test_levels_come_from_one_expand_over_one_fact_scan(spark):
     df = QUERIES["nonexempt_report"](spark, SF)
     df.collect()
-    text = plan(df, "simple").split("== Initial Plan ==")[0]
+    text = plan(df, "simple").split("\n+- == Initial Plan ==")[0]
     assert text.count("Expand") == 1
     assert text.count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["hours_report_by_period", "exempt_report_by_period",
+                                  "combined_report_by_period"])
+def test_per_period_reports_scan_each_fact_table_once(spark, name):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    text = plan(df, "simple").split("\n+- == Initial Plan ==")[0]
+    assert "orders.parquet" in text
+    assert text.count("orders.parquet") <= (2 if name == "combined_report_by_period" else 1)
+    assert text.count("lineitem.parquet") <= 1
