@@ -274,12 +274,13 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
     for k in keys:
         null_any = null_any | F.col(k).isNull()
         blank_any = blank_any | (F.trim(F.col(k).cast("string")) == F.lit(""))
-    nulls = mapping.filter(null_any).select(
-        F.lit("null_key").alias("issue"), key_text.alias("key"),
-        F.lit(None).cast("string").alias("detail"))
-    blanks = mapping.filter(blank_any).select(
-        F.lit("blank_key").alias("issue"), key_text.alias("key"),
-        F.lit(None).cast("string").alias("detail"))
+    # NULL and blank keys in one pass over the mapping (a row can have both)
+    row_issues = F.filter(F.array(F.when(null_any, F.lit("null_key")),
+                                  F.when(blank_any, F.lit("blank_key"))),
+                          lambda x: x.isNotNull())
+    bad_keys = (mapping.filter(null_any | blank_any)
+                .select(F.explode(row_issues).alias("issue"), key_text.alias("key"),
+                        F.lit(None).cast("string").alias("detail")))
     dups = (mapping.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") > 1)
             .select(F.lit("duplicate_key").alias("issue"), key_text.alias("key"),
@@ -290,7 +291,7 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
     key_variants = (spelled.join(_shared_fingerprints(spelled), on="fp")
                     .select(F.lit("key_variant").alias("issue"), "key",
                             F.col("fp").alias("detail")))
-    out = nulls.unionByName(blanks).unionByName(dups).unionByName(key_variants)
+    out = bad_keys.unionByName(dups).unionByName(key_variants)
     for label in labels:
         spelled = (mapping.select(F.col(label).alias("label"))
                    .filter(F.col("label").isNotNull())
