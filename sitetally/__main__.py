@@ -20,6 +20,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitetally import schemas
 from sitetally.functions.dates import previous_period
 from sitetally.plans.monthly import monthly_reports
 from sitetally.session import build_session
@@ -29,10 +30,10 @@ from sitetally.sources.tables import read_table
 from sitetally.sources.workbook import ingest_workbooks
 
 MAP_SCHEMAS = {
-    "exempt": "l4_org_unit string, personnel_area string, facility string, section string",
-    "nonexempt": "cost_center string, facility string, section string",
-    "location": "location string, facility string, section string",
-    "rules": "location string, message string",
+    "exempt": schemas.EXEMPT_MAP,
+    "nonexempt": schemas.NONEXEMPT_MAP,
+    "location": schemas.LOCATION_MAP,
+    "rules": schemas.ALERT_RULES,
 }
 
 

@@ -24,7 +24,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-RAW_SCHEMA = "path string, sheet string, row_index long, cells array<string>"
+from sitetally.schemas import RAW_SHEET as RAW_SCHEMA
+
 CHUNK_ROWS = 10_000
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

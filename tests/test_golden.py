@@ -163,3 +163,23 @@ def test_monthly_reports_share_one_hours_computation(spark):
     assert m.status.collect()[0].unmapped_count == 1
     assert m.alerts.count() == 1
     m.release()
+
+
+def test_reports_match_declared_schemas(spark):
+    from pyspark.sql import types as T
+    from sitetally import schemas
+    f = frames(spark)
+    inc = typed_incidents(f["incidents_raw"])
+
+    def same(df, ddl):
+        want = T.StructType.fromDDL(ddl)
+        return [(x.name, x.dataType) for x in df.schema.fields] == \
+            [(x.name, x.dataType) for x in want.fields]
+    assert same(hours_report(f["exempt"], f["exempt_map"], f["nonexempt"], f["nonexempt_map"]),
+                schemas.HOURS_REPORT)
+    assert same(incident_report(inc, f["location_map"], 2019, 11), schemas.INCIDENT_REPORT)
+    assert same(combined_report(f["exempt"], f["exempt_map"], f["nonexempt"], f["nonexempt_map"],
+                                inc, f["location_map"], 2019, 11), schemas.COMBINED_REPORT)
+    um = unmapped_report(f["exempt"], f["exempt_map"], EXEMPT_KEYS)
+    assert same(um, schemas.UNMAPPED_EXEMPT)
+    assert same(coding_status(um), schemas.CODING_STATUS)
