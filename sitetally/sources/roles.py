@@ -83,7 +83,11 @@ _REGISTERED: dict[tuple, DataFrame] = {}
 def _once(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Build an input DataFrame once per Spark application (as an application
     registers its tables once): no repeated file listing or plan building."""
-    full = (spark.sparkContext.applicationId, *key)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
+        app = id(spark)
+    full = (app, *key)
     df = _REGISTERED.get(full)
     if df is None:
         df = _REGISTERED[full] = build()
