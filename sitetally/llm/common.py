@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,18 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from the driver's source folder.
+
+    Matters where the package is on a path that every node has but is not
+    installed (a checkout); elsewhere the extra path entry finds nothing.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import importable, read_table, staged
 from .tokens import default_vocabulary, encoder
 
 PIECE_COLS = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
@@ -132,6 +132,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
          text_col: str = "text") -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, doc_tokens, ids (uint32
     little-endian bytes), sequence_id, offset."""
+    importable(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = chosen.rdd.getNumPartitions()

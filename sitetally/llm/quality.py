@@ -21,6 +21,7 @@ table gives no rows; other columns are kept untouched, whatever their names.
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from collections.abc import Iterator
@@ -32,8 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table
-from .tokens import default_vocabulary, encoder
+from .common import fresh, importable, read_table
+from .tokens import default_vocabulary
 
 _WORDS = re.compile("[^\x20\x09-\x0D]+")
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -62,6 +63,16 @@ METRICS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 _COLS = [x.split()[0] for x in METRICS.split(", ")]
 
 
+def _rank_encoding(path: str):
+    """A byte-level vocabulary from its rank file (``base64-token rank`` lines)."""
+    import public_tokenizers
+    import tiktoken
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                             special_tokens={})
+
+
 class _WordTable:
     """Token figures of single words under both vocabularies, numbered in order of arrival.
 
@@ -72,7 +83,7 @@ class _WordTable:
     def __init__(self, piece_path: str, byte_path: str, capacity: int = 1_000_000):
         import sentencepiece
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.bytes = encoder(byte_path)
+        self.bytes = _rank_encoding(byte_path)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
         self.capacity = capacity
         self._empty()
@@ -91,7 +102,7 @@ class _WordTable:
             return
         found = self.pieces.encode(new, num_threads=1)
         self.byte_tokens = np.concatenate((self.byte_tokens, np.fromiter(
-            (self.bytes.count(" " + w) for w in new), np.int32, len(new))))
+            (len(self.bytes.encode_ordinary(" " + w)) for w in new), np.int32, len(new))))
         self.stops = np.concatenate((self.stops, self.stops[-1] + np.cumsum([len(x) for x in found])))
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint16)))
         first = len(self.number)
@@ -199,8 +210,9 @@ def score(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", into:
           piece_vocabulary: str | None = None, byte_vocabulary: str | None = None,
           bands: dict | None = None) -> DataFrame:
     """``docs`` with one more struct column ``into`` that holds the figures."""
+    importable(docs.sparkSession)
     piece_path = piece_vocabulary or default_vocabulary("piece_bpe_32k.model")
-    byte_path = byte_vocabulary or default_vocabulary()
+    byte_path = byte_vocabulary or default_vocabulary("byte_bpe_50k.tiktoken")
     limits = bands or BANDS
 
     @F.pandas_udf(METRICS)

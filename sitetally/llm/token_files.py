@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_folder, read_table
+from .common import importable, new_folder, read_table
 from .tokens import default_vocabulary, encoder
 
 CHUNK_BITS = 8
@@ -140,6 +140,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
                       id_col: str = "doc_id", text_col: str = "text",
                       segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode every document and write the segments below ``path``."""
+    importable(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
          .repartitionByRange("doc_id", F.xxhash64("text"))
@@ -154,6 +155,7 @@ def with_starts(spark: SparkSession, path: str) -> DataFrame:
     One total per write task is summed up in order; those totals number as many
     as the tasks of the write, so that frame is broadcast.
     """
+    importable(spark)
     segs = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     totals = segs.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -88,14 +88,6 @@ class PieceEncoder:
         return b"".join([cache[p] if len(p) <= limit else self._one_piece(p)
                          for p in _PIECES.findall(text)])
 
-    def count(self, text: str) -> int:
-        """Number of ids of a short text; stores none of its pieces."""
-        if not self.by_piece or _OTHER.search(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        tokenize, byte_chars = self.model.tokenize, self.byte_chars
-        return sum(len(tokenize(p.encode().decode("latin-1").translate(byte_chars)))
-                   for p in _PIECES.findall(text))
-
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype=self.dtype)
 
