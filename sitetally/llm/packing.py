@@ -28,7 +28,7 @@ from .common import importable, read_table, staged
 from .tokens import default_vocabulary, encoder
 
 PIECE_COLS = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
-PIECE_SCHEMA = ("doc_id long, start long, length long, doc_tokens long, ids binary, "
+PIECE_SCHEMA = ("doc_id string, start long, length long, doc_tokens long, ids binary, "
                 "sequence_id long, offset long, open boolean, part long")
 
 
@@ -77,7 +77,6 @@ class _Packer:
     def drain(self, part: int) -> pd.DataFrame:
         out, self.out = self.out, []
         frame = pd.DataFrame(out, columns=[*PIECE_COLS, "open"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
         frame["ids"] = [x.tobytes() for x in frame["ids"]]
         frame["part"] = part
         return frame
@@ -100,9 +99,9 @@ def _pack_documents(vocabulary: str, end_id: int, window: int, open_windows: int
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         packer = _Packer(window, open_windows, _first_id(0, part))
         for batch in batches:
-            for doc_id, absent, text in zip(batch["doc_id"], batch["doc_id"].isna(), batch["text"]):
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = np.frombuffer(enc.encode(text) + end, dtype=enc.dtype).astype("<u4")
-                packer.add(None if absent else int(doc_id), 0, len(ids), ids)
+                packer.add(doc_id, 0, len(ids), ids)
                 if len(packer.out) >= 4096:
                     yield packer.drain(part)
             if packer.out:
@@ -118,10 +117,9 @@ def _merge_group(round_no: int, window: int, open_windows: int):
         part = int(key[0])
         packer = _Packer(window, open_windows, _first_id(round_no, part))
         frame = frame.sort_values(["part", "sequence_id", "offset"], kind="stable")
-        for doc_id, absent, start, doc_tokens, ids in zip(
-                frame["doc_id"], frame["doc_id"].isna(), frame["start"], frame["doc_tokens"], frame["ids"]):
-            packer.add(None if absent else int(doc_id), int(start), int(doc_tokens),
-                       np.frombuffer(ids, dtype="<u4"))
+        for doc_id, start, doc_tokens, ids in zip(frame["doc_id"], frame["start"],
+                                                  frame["doc_tokens"], frame["ids"]):
+            packer.add(doc_id, start, doc_tokens, np.frombuffer(ids, dtype="<u4"))
         packer.close()
         return packer.drain(part)
     return run
@@ -134,7 +132,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     little-endian bytes), sequence_id, offset."""
     importable(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    chosen_type = docs.schema[id_col].dataType
+    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     parts = chosen.rdd.getNumPartitions()
     pieces = staged(chosen.mapInPandas(
         _pack_documents(vocabulary, end_id, window, open_windows), PIECE_SCHEMA), "pack")
@@ -146,7 +145,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
                             .applyInPandas(_merge_group(round_no, window, open_windows), PIECE_SCHEMA),
                         "pack-merge")
         done, left = done.unionByName(merged.where("not open")), merged.where("open")
-    return done.unionByName(left).select(*PIECE_COLS)
+    return (done.unionByName(left).select(*PIECE_COLS)
+                .withColumn("doc_id", F.col("doc_id").cast(chosen_type)))
 
 
 def _crc32(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +157,7 @@ def _crc32(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all ``documents`` into windows of 2048 ids."""
-    return pack(read_table(spark, sf_dir, "documents")).mapInPandas(
-        _crc32, "doc_id long, start long, length long, doc_tokens long, sequence_id long, "
-                "offset long, ids_crc32 long")
+    pieces = pack(read_table(spark, sf_dir, "documents"))
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        _crc32, "doc_id string, start long, length long, doc_tokens long, sequence_id long, "
+                "offset long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .chat import OP3_SQL, op3_chat_rotation
 from .packing import op5_packing
 from .quality import op6_quality
 from .token_files import op2_token_files
+from .warc_zip import op4_warc_zip
 
 QUERIES = {
+    "op3_chat_rotation": op3_chat_rotation,
+    "op4_warc_zip": op4_warc_zip,
     "op2_token_files": op2_token_files,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_chat_rotation": OP3_SQL,
+}

@@ -37,7 +37,7 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 
-SEGMENT_SCHEMA = ("part int, seg int, first_token long, n_tokens long, doc_ids array<long>, "
+SEGMENT_SCHEMA = ("part int, seg int, first_token long, n_tokens long, doc_ids array<string>, "
                   "doc_tokens array<long>, levels array<binary>, bitmaps array<binary>, "
                   "ranks array<binary>")
 
@@ -120,10 +120,9 @@ def _write_segments(vocabulary: str, end_id: int, segment_tokens: int):
                 "bitmaps": [bitmaps], "ranks": [ranks]})
 
         for batch in batches:
-            missing = batch["doc_id"].isna()
-            for doc_id, absent, text in zip(batch["doc_id"], missing, batch["text"]):
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 blob = enc.encode(text) + end
-                doc_ids.append(None if absent else int(doc_id))
+                doc_ids.append(doc_id)
                 lengths.append(len(blob) // enc.dtype.itemsize)
                 blobs.append(blob)
                 held += lengths[-1]
@@ -145,6 +144,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
          .repartitionByRange("doc_id", F.xxhash64("text"))
          .sortWithinPartitions("doc_id", F.xxhash64("text"))
+         .select(F.col("doc_id").cast("string"), "text")
          .mapInPandas(_write_segments(vocabulary, end_id, segment_tokens), SEGMENT_SCHEMA)
          .write.parquet(path))
 
@@ -172,8 +172,8 @@ def _read_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts = stops - np.asarray(row.doc_tokens, dtype=np.int64)
             crcs = [zlib.crc32(view.slice(a, b).astype("<u4").tobytes())
                     for a, b in zip(starts.tolist(), stops.tolist())]
-            yield pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x)
-                                                    for x in row.doc_ids], dtype="Int64"),
+            yield pd.DataFrame({"doc_id": pd.array([None if x is None else int(x) for x in row.doc_ids],
+                                                   dtype="Int64"),
                                 "start": starts + row.start, "n_tokens": stops - starts,
                                 "ids_crc32": np.array(crcs, dtype=np.int64)})
 
