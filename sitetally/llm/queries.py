@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_rotation
 from .decontaminate import op10_decontamination
+from .jaccard_join import op9_jaccard_join
 from .license_scan import op1_license_scan
 from .packing import op5_packing
 from .quality import op6_quality
@@ -11,6 +12,7 @@ from .token_files import op2_token_files
 from .warc_zip import op4_warc_zip
 
 QUERIES = {
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
     "op1_license_scan": op1_license_scan,
     "op3_chat_rotation": op3_chat_rotation,
