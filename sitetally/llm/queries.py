@@ -7,11 +7,13 @@ from .decontaminate import op10_decontamination
 from .jaccard_join import op9_jaccard_join
 from .license_scan import op1_license_scan
 from .packing import op5_packing
+from .pii import op8_pii
 from .quality import op6_quality
 from .token_files import op2_token_files
 from .warc_zip import op4_warc_zip
 
 QUERIES = {
+    "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
     "op1_license_scan": op1_license_scan,
