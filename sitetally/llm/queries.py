@@ -9,10 +9,12 @@ from .license_scan import op1_license_scan
 from .packing import op5_packing
 from .pii import op8_pii
 from .quality import op6_quality
+from .suffix_dedup import op7_suffix_dedup
 from .token_files import op2_token_files
 from .warc_zip import op4_warc_zip
 
 QUERIES = {
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
