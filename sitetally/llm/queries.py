@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL, run
+
 from .chat import OP3_SQL, op3_chat_rotation
 from .decontaminate import op10_decontamination
 from .jaccard_join import op9_jaccard_join
@@ -14,17 +16,20 @@ from .token_files import op2_token_files
 from .warc_zip import op4_warc_zip
 
 QUERIES = {
-    "op7_suffix_dedup": op7_suffix_dedup,
-    "op8_pii": op8_pii,
-    "op9_jaccard_join": op9_jaccard_join,
-    "op10_decontamination": op10_decontamination,
+    "pipeline": run,
     "op1_license_scan": op1_license_scan,
+    "op2_token_files": op2_token_files,
     "op3_chat_rotation": op3_chat_rotation,
     "op4_warc_zip": op4_warc_zip,
-    "op2_token_files": op2_token_files,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_pii": op8_pii,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {
     "op3_chat_rotation": OP3_SQL,
 }
+if ORACLE_SQL:
+    SQL["pipeline"] = ORACLE_SQL
