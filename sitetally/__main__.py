@@ -8,7 +8,8 @@ Workbook arguments are files or folders of ``.xlsx`` files; mapping files are
 CSV with a header row (source or snake_case column names).  Without a period
 the previous calendar month is reported.  Output folders under ``OUT``:
 ``hours``, ``incidents``, ``combined`` (single CSV files with the display
-columns), ``unmapped``, ``status`` and, with ``--alert-rules``, ``alerts``;
+columns), ``unmapped``, ``status``, ``alerts`` and, with ``--expenditures``,
+``expenditures``;
 ``_raw`` holds the decoded workbook rows (Parquet), written once and read by
 every report.
 """
@@ -21,12 +22,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from sitetally import schemas
-from sitetally.functions.dates import previous_period
+from sitetally.functions.dates import month_number, previous_period
+from sitetally.plans.expenditures import expenditure_report
 from sitetally.plans.monthly import monthly_reports
 from sitetally.session import build_session
 from sitetally.sinks import display_view, write_report
 from sitetally.sources import layouts
-from sitetally.sources.tables import read_table
+from sitetally.sources.tables import blank_to_null, read_table
 from sitetally.sources.workbook import ingest_workbooks
 
 MAP_SCHEMAS = {
@@ -43,15 +45,18 @@ def read_mapping(spark: SparkSession, path: str, kind: str) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in MAP_SCHEMAS[kind].split(",")]
     if len(df.columns) != len(names):
         raise ValueError(f"{path}: expected {len(names)} columns, found {df.columns}")
-    return df.toDF(*names)
+    return blank_to_null(df.toDF(*names))
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
     year, month = args.year, args.month
-    if year is None or month is None:
+    if (year is None) != (month is None):
+        raise ValueError("give both --year and --month, or neither for the previous month")
+    if year is None:
         year, month = previous_period()
+    month_number(month)
     raw = {}
-    for k in ("exempt", "nonexempt", "incidents"):
+    for k in ("exempt", "nonexempt", "incidents", *(["expenditures"] if args.expenditures else [])):
         # decode each workbook once; every report reads the written raw rows
         landed = os.path.join(args.out, "_raw", k)
         ingest_workbooks(spark, getattr(args, k)).write.mode("overwrite").parquet(landed)
@@ -75,8 +80,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
         for name, df in (("unmapped", m.unmapped), ("status", m.status), ("alerts", m.alerts)):
             if df is not None:
                 path = os.path.join(args.out, name)
-                write_report(df, path, fmt="csv", single_file=True)
+                # unmapped keys come from the facts: their number has no bound, so no single file
+                write_report(df, path, fmt="csv", single_file=name != "unmapped")
                 out[name] = path
+        if args.expenditures:
+            path = os.path.join(args.out, "expenditures")
+            write_report(expenditure_report(layouts.expenditures(raw["expenditures"])), path, fmt="csv")
+            out["expenditures"] = path
     finally:
         m.release()
     return out
@@ -89,7 +99,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--exempt-map", required=True)
     p.add_argument("--nonexempt-map", required=True)
     p.add_argument("--location-map", required=True)
-    p.add_argument("--alert-rules", help="CSV: location,message")
+    p.add_argument("--alert-rules", help="CSV: column,value,message (added to the built-in rule)")
+    p.add_argument("--expenditures", help="expenditure workbook file or folder")
     p.add_argument("--year", type=int)
     p.add_argument("--month", help="month name or number")
     p.add_argument("--out", required=True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetally.functions.dates import in_period, month_name
-from sitetally.functions.measures import cents_to_hours, to_cents
+from sitetally.functions.measures import hours_to_double, sum_hours
 from sitetally.operators.levels import label_levels, order_report
 from sitetally.operators.mapping import validate_mapping
 from sitetally.operators.reshape import to_long, to_wide
@@ -43,19 +43,19 @@ def nonexempt_report_q(spark, d):
 
 def nonexempt_sections_strict(spark, d):
     s = nonexempt_sections(R.nonexempt_facts(spark, d), R.nonexempt_map(spark), EXCL)
-    return s.select("facility", "section", cents_to_hours("hours").alias("hours"))
+    return s.select("facility", "section", hours_to_double("hours").alias("hours"))
 
 
 def wage_exclusion_nulls(spark, d):
     kept = exclude_wage_types(R.nonexempt_facts(spark, d, null_wage=True), EXCL)
     return kept.groupBy("wage_type").agg(
         F.count(F.lit(1)).alias("kept_rows"),
-        cents_to_hours(F.sum(to_cents("hours"))).alias("hours"))
+        hours_to_double(sum_hours("hours")).alias("hours"))
 
 
 def exempt_sections_grid(spark, d):
     s = exempt_sections(R.exempt_facts(spark, d), R.exempt_map(spark))
-    return s.select("facility", "section", cents_to_hours("hours").alias("hours"))
+    return s.select("facility", "section", hours_to_double("hours").alias("hours"))
 
 
 def exempt_report_q(spark, d):
@@ -130,6 +130,28 @@ def expenditure_by_center(spark, d):
     return expenditure_report(R.nonexempt_facts(spark, d), "cost_center", "hours")
 
 
+def sub_cent_expenditures(spark, d):
+    """Hours finer than a cent, which must not be rounded before the sum."""
+    rows = R.sub_cent_hours(spark, d)
+    return expenditure_report(rows, "cost_center", "hours").withColumn("hours", F.round("hours", 4))
+
+
+def exempt_report_null_section(spark, d):
+    """A mapping pair without a section is shown, but empty."""
+    return exempt_report(R.exempt_facts(spark, d), R.exempt_map_null_section(spark))
+
+
+def exempt_report_by_period_joined(spark, d):
+    """The per-period report when the mapping is too large to send along."""
+    return exempt_report(R.exempt_facts(spark, d), R.exempt_map(spark), by=["period_year"],
+                         broadcast_rows=0)
+
+
+def nonexempt_report_blank_keys(spark, d):
+    """A mapping with blank and NULL keys, which match nothing."""
+    return nonexempt_report(R.nonexempt_facts(spark, d), R.nonexempt_map_blank_keys(spark), EXCL)
+
+
 def sheet_header_footer(spark, d):
     return sheet_table(R.sheet_rows(spark, d),
                        {"priority": "Priority", "status": "Status", "customer": "Customer"},
@@ -206,6 +228,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unmapped_status": unmapped_status,
     "label_alerts": label_alerts_q,
     "expenditure_by_center": expenditure_by_center,
+    "sub_cent_expenditures": sub_cent_expenditures,
+    "exempt_report_null_section": exempt_report_null_section,
+    "exempt_report_by_period_joined": exempt_report_by_period_joined,
+    "nonexempt_report_blank_keys": nonexempt_report_blank_keys,
     "sheet_header_footer": sheet_header_footer,
     "sheet_header_footer_steps": sheet_header_footer_steps,
     "mapping_violations": mapping_violations,

@@ -2,12 +2,11 @@
 
 from sitetally.functions.dates import (in_period, month_name, period_bounds, previous_period,
                                        serial_to_date)
-from sitetally.functions.measures import (Measure, cents_to_hours, count_measure, hours_measure,
-                                          null_to_zero, to_cents, zero_to_null)
+from sitetally.functions.measures import (Measure, count_measure, hours_measure, hours_parts,
+                                          hours_to_double, null_to_zero, sum_hours, zero_to_null)
 
 __all__ = [
     "Measure",
-    "cents_to_hours",
     "count_measure",
     "hours_measure",
     "in_period",
@@ -16,6 +15,6 @@ __all__ = [
     "period_bounds",
     "previous_period",
     "serial_to_date",
-    "to_cents",
+    "sum_hours",
     "zero_to_null",
 ]

@@ -22,7 +22,8 @@ def serial_to_date(col: Column | str) -> Column:
     malformed cell never fails the job.
     """
     c = F.col(col) if isinstance(col, str) else col
-    days = F.floor(c.try_cast("double")).try_cast("int")
+    number = c.try_cast("double")
+    days = F.floor(F.when(~F.isnan(number), number)).try_cast("int")
     return F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), days)
 
 
@@ -37,6 +38,8 @@ def month_number(name: str | int) -> int:
         if not 1 <= name <= 12:
             raise ValueError(f"month out of range: {name}")
         return name
+    if name.strip().isdigit():
+        return month_number(int(name))
     try:
         return MONTH_NAMES.index(name.strip().capitalize()) + 1
     except ValueError:

@@ -6,10 +6,12 @@ few partial columns before a shuffle:
 * ``partials``: aggregate expressions over fact rows (map-side combinable);
 * ``section``: the section value computed from the summed partials.
 
-Hours are carried as exact integer cents (``long``).  Sums of integers are
-independent of partition and row order, so a report is reproducible no
-matter how Spark splits the input; hours turn into ``double`` only at the
-report edge.
+Hours are summed exactly, at nine decimals (a nano-hour), as two integers per
+fact: whole milli-hours and the rest in nano-hours.  Sums of integers are
+independent of partition and row order, so a report is reproducible no matter
+how Spark splits the input, and nothing is rounded to the two digits of the
+display before it is added up.  Section values are ``decimal(38,9)``; hours turn
+into ``double`` only at the report edge, into two digits only in the display.
 
 Sum modes (reference semantics):
 
@@ -20,32 +22,56 @@ Sum modes (reference semantics):
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType
 
-HOURS_DECIMAL = "decimal(18,2)"
+HOURS_DECIMAL = "decimal(28,9)"
+HOURS_SUM = "decimal(38,9)"
 
+# Hours of a larger size are not hours; they read as NULL, as NaN does.
+MOST_HOURS = 1e15
 
-def to_cents(col: Column | str) -> Column:
-    """Hours as integer cents, rounded half away from zero; bad text -> NULL.
 
-    Works in primitive double arithmetic (``abs``, ``floor``, ``signum``), which
-    stays inside whole-stage codegen without a decimal object per row and is
-    about twice as fast as a decimal cast.  Exact for decimal(18,2) input and
-    for doubles up to about 9e13 hours.  A double that sits on a half-cent tie
-    is rounded by its binary value, which is how a SQL ``CAST(x AS DECIMAL(18,2))``
-    of a double behaves in DuckDB.  Text cells are typed at ingest
-    (``try_cast`` to decimal(18,2)).
+def hours_parts(col: Column | str, dtype: DataType | None = None) -> tuple[Column, Column]:
+    """Whole milli-hours and the remaining nano-hours (0..10**6) of a value, as longs.
+
+    A decimal (``dtype``) is split in decimal arithmetic, anything else as a double;
+    both stay inside whole-stage codegen.  Text that is no number, NaN and values
+    beyond ``MOST_HOURS`` (infinity) give NULL.
     """
     c = F.col(col) if isinstance(col, str) else col
-    scaled = c.try_cast("double") * F.lit(100.0)
-    return (F.signum(scaled) * F.floor(F.abs(scaled) + F.lit(0.5))).cast("long")
+    if not isinstance(dtype, DecimalType):
+        c = c.try_cast("double")
+        c = F.when(~F.isnan(c) & (F.abs(c) <= F.lit(MOST_HOURS)), c)
+        thousand = F.lit(1000.0)
+    else:
+        c = F.when(F.abs(c) <= F.lit(int(MOST_HOURS)), c)
+        thousand = F.lit(1000)
+    milli = F.floor(c * thousand)
+    rest = (c * thousand - milli).cast("double")
+    return milli.cast("long"), F.floor(rest * F.lit(1e6) + F.lit(0.5)).cast("long")
+
+
+def parts_to_hours(milli: Column, rest: Column) -> Column:
+    """Summed parts as one exact decimal."""
+    # precisions that leave every product and the sum their nine decimals
+    whole = milli.cast("decimal(20,0)") * F.lit(Decimal("0.001"))
+    small = rest.cast("decimal(20,0)") * F.lit(Decimal("0.000000001"))
+    return (whole + small).cast(HOURS_SUM)
+
 
+def sum_hours(col: Column | str, dtype: DataType | None = None) -> Column:
+    """Exact sum of hours over a group (NULL values are skipped)."""
+    milli, rest = hours_parts(col, dtype)
+    return parts_to_hours(F.sum(milli), F.sum(rest))
 
-def cents_to_hours(col: Column | str) -> Column:
+
+def hours_to_double(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return c.cast("double") / F.lit(100.0)
+    return c.cast("double")
 
 
 def zero_to_null(col: Column | str) -> Column:
@@ -57,7 +83,7 @@ def zero_to_null(col: Column | str) -> Column:
 def null_to_zero(col: Column | str) -> Column:
     """``replace(is.na(.), 0)`` on a measure column (keys are never touched)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c, F.lit(0).cast("long"))
+    return F.coalesce(c, F.lit(0).cast(HOURS_SUM))
 
 
 @dataclass(frozen=True)
@@ -82,23 +108,29 @@ class Measure:
         return [n for n, _ in self.partials]
 
 
-def hours_measure(name: str, value: Column | str, mode: str = "lenient") -> Measure:
-    """Sum of hours in cents under a sum mode (``lenient`` or ``strict``)."""
+def hours_measure(name: str, value: Column | str, mode: str = "lenient",
+                  dtype: DataType | None = None) -> Measure:
+    """Exact sum of hours under a sum mode (``lenient`` or ``strict``).
+
+    ``dtype`` is the type of the hours column; decimals are then never passed
+    through a double.
+    """
     if mode not in ("lenient", "strict"):
         raise ValueError(f"unknown sum mode {mode!r}")
-    cents = to_cents(value)
-    rows, valued, total = f"{name}__rows", f"{name}__valued", f"{name}__cents"
+    milli, rest = hours_parts(value, dtype)
+    rows, valued = f"{name}__rows", f"{name}__valued"
+    whole, small = f"{name}__milli", f"{name}__rest"
     partials = (
         (rows, F.count(F.lit(1))),
-        (valued, F.count(cents)),
-        (total, F.sum(cents)),
+        (valued, F.count(milli)),
+        (whole, F.sum(milli)),
+        (small, F.sum(rest)),
     )
-    if mode == "lenient":
-        section = F.coalesce(F.col(total), F.lit(0).cast("long"))
-    else:
-        section = F.when(F.col(rows) == F.col(valued),
-                         F.coalesce(F.col(total), F.lit(0).cast("long")))
-    return Measure(name, partials, section)
+    zero = F.lit(0).cast(HOURS_SUM)
+    total = F.coalesce(parts_to_hours(F.col(whole), F.col(small)), zero)
+    if mode == "strict":
+        total = F.when(F.col(rows) == F.col(valued), total)
+    return Measure(name, partials, total)
 
 
 def count_measure(name: str, condition: Column | None = None,

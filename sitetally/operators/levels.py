@@ -32,7 +32,7 @@ def _level_value(name: str, rule: str, kind: Column) -> Column:
     if rule not in ROLLUPS:
         raise ValueError(f"unknown roll-up rule {rule!r}")
     s = F.col(name)
-    zero = F.coalesce(s, F.lit(0).cast("long"))
+    zero = F.coalesce(s, F.lit(0))
     if rule == "lenient":
         return F.when(kind == SECTION, s).otherwise(zero).alias(name)
     return F.when(kind == GRAND, zero).otherwise(s).alias(name)

@@ -31,28 +31,20 @@ LABELS = ("facility", "section")
 DEFAULT_BROADCAST_ROWS = 200_000
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
-_CHECKED: dict[tuple, bool] = {}
+def _value_bytes(df: DataFrame) -> Column:
+    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+             for c in df.columns] or [F.lit(0)]
+    return sum(width[1:], width[0]) + F.lit(8 * len(df.columns))
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                    max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """Bounded size check for configuration tables (mappings, rules).
-
-    One aggregation over at most ``max_rows + 1`` rows measures the row count
-    and the data size (UTF-8 bytes of every value as text); both must be
-    within bounds.  The answer is memoised per (plan, input files), so a
-    report that joins the same mapping several times checks it once.
-    """
-    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows, max_bytes)
-    hit = _CHECKED.get(key)
-    if hit is None:
-        width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-                 for c in df.columns] or [F.lit(0)]
-        size = sum(width[1:], width[0]) + F.lit(8 * len(df.columns))
-        m = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                       F.sum(size).alias("b")).collect()[0]
-        hit = _CHECKED[key] = m["n"] <= max_rows and (m["b"] or 0) <= max_bytes
-    return hit
+    """Size check for configuration tables (mappings, rules): one partially
+    aggregated pass measures the row count and the data size (UTF-8 bytes of every
+    value as text); both must be within bounds.  Nothing is remembered between
+    calls, so a table overwritten in place is measured anew."""
+    m = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_value_bytes(df)).alias("b")).first()
+    return m["n"] <= max_rows and (m["b"] or 0) <= max_bytes
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -62,25 +54,35 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
-_UNIQUE: dict[tuple, bool] = {}
+def usable_keys(mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mapping rows that can match a fact: no key is NULL or blank.  Blank cells
+    never match, as a NULL key never does; ``validate_mapping`` reports them."""
+    cond = None
+    for k in keys:
+        term = F.nullif(F.trim(F.col(k).cast("string")), F.lit("")).isNotNull()
+        cond = term if cond is None else cond & term
+    return mapping.filter(cond)
+
 
+def check_mapping(mapping: DataFrame, keys: Sequence[str],
+                  max_rows: int = DEFAULT_BROADCAST_ROWS,
+                  max_bytes: int = DEFAULT_BROADCAST_BYTES, unique: bool = True) -> bool:
+    """Refuse duplicate keys and tell whether the mapping may be broadcast.
 
-def assert_unique_keys(mapping: DataFrame, keys: Sequence[str]) -> None:
-    """Refuse a mapping in which one key has several rows: the join would
-    repeat every fact of that key and silently inflate its totals.  One
-    aggregation over the mapping, memoised per (plan, input files)."""
+    A key with several rows would repeat every fact of that key and silently
+    inflate its totals.  Row count, bytes and the most frequent key come from one
+    aggregation per call.
+    """
     keys = list(keys)
-    memo = (mapping.semanticHash(), tuple(sorted(mapping.inputFiles())), tuple(keys))
-    ok = _UNIQUE.get(memo)
-    if ok is None:
-        dup = (mapping.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-               .filter(F.col("n") > 1).limit(1).collect())
-        ok = _UNIQUE[memo] = not dup
-        if dup:
-            raise ValueError(f"mapping has several rows for key {dup[0].asDict()}; "
-                             "run validate_mapping() and fix the mapping")
-    elif not ok:
-        raise ValueError("mapping has duplicate keys; run validate_mapping()")
+    per_key = mapping.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                         F.sum(_value_bytes(mapping)).alias("b"))
+    key = F.struct(*keys)
+    m = per_key.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("n").alias("most"),
+                    F.max_by(key, F.col("n")).alias("key")).first()
+    if unique and (m["most"] or 0) > 1:
+        raise ValueError(f"mapping has several rows for key {m['key'].asDict()}; "
+                         "run validate_mapping() and fix the mapping")
+    return (m["n"] or 0) <= max_rows and (m["b"] or 0) <= max_bytes
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], what: str = "input") -> None:
@@ -115,10 +117,8 @@ def section_states(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
     keys, by, labels = list(keys), list(by), list(labels)
     require_columns(facts, [*by, *keys], "facts")
     require_columns(mapping, [*keys, *labels], "mapping")
-    m = mapping.select(*keys, *labels)
-    if check_keys:
-        assert_unique_keys(m, keys)
-    if fits_broadcast(m, broadcast_rows):
+    m = usable_keys(mapping.select(*keys, *labels), keys)
+    if check_mapping(m, keys, broadcast_rows, unique=check_keys):
         joined = facts.join(F.broadcast(m), on=keys, how=how)
         return joined.groupBy(*by, *labels).agg(*_partials(measures))
     per_key = facts.groupBy(*by, *keys).agg(*_partials(measures))
@@ -140,47 +140,47 @@ def finish_states(states: DataFrame, measures: Sequence[Measure], by: Sequence[s
     return states.select(*by, *labels, *keep, *[m.section for m in measures])
 
 
-def grid(mapping: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    """Distinct (facility, section) pairs of a mapping (the report scaffold)."""
-    return mapping.select(*labels).distinct()
-
-
-def mapping_pairs(mapping: DataFrame, labels: Sequence[str] = LABELS,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> Column:
-    """The distinct (facility, section) pairs of a checked-size mapping as one
-    array value (a scalar subquery; pairs with a NULL label are left out)."""
+def mapping_pairs(mapping: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """The distinct (facility, section) pairs a report shows.  A pair with a NULL
+    section is shown (with nothing in it); one with a NULL facility is not."""
     labels = list(labels)
-    m = mapping.select(*labels).dropna(how="any", subset=labels)
-    if not fits_broadcast(m, broadcast_rows):
-        raise ValueError("mapping grid too large to attach to every period")
-    return m.agg(F.array_distinct(F.collect_list(F.struct(*labels))).alias("pairs")).scalar()
+    return mapping.select(*labels).filter(F.col(labels[0]).isNotNull()).distinct()
 
 
-def attach_pairs(frame: DataFrame, pairs: Column, by: Sequence[str],
-                 fill: dict[str, Column], labels: Sequence[str] = LABELS) -> DataFrame:
+def attach_pairs(frame: DataFrame, mapping: DataFrame, by: Sequence[str],
+                 fill: dict[str, Column], labels: Sequence[str] = LABELS,
+                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Add, for every period of ``frame``, one row per mapping pair.
 
-    The first row of each period (a window partitioned by the period, so one
-    period's rows, at most one per pair plus the unmapped group) carries the
-    pair list and is exploded into itself plus one row per pair, with the
-    other columns set from ``fill`` (NULL when absent).  The frame is read in
-    a single pass: no second branch re-derives its periods.
+    Few pairs (a checked number of distinct pairs, whatever the mapping's rows)
+    travel as one array: the first row of each period, found by a window over the
+    period's section rows, is exploded into itself plus one row per pair, so the
+    frame is read in a single pass.  More pairs are joined to the distinct periods
+    instead; the result is the same.  Other columns are set from ``fill`` (NULL
+    when absent).
     """
     by, labels = list(by), list(labels)
     rest = [c for c in frame.columns if c not in by]
     types = {f.name: f.dataType for f in frame.schema.fields}
-    own = F.struct(*[F.col(c) for c in rest])
+    pairs = mapping_pairs(mapping, labels)
 
-    def pair_row(p):
-        return F.struct(*[(p[c] if c in labels else fill.get(c, F.lit(None))).cast(types[c]).alias(c)
-                          for c in rest])
+    def pair_columns(get):
+        return [(get(c) if c in labels else fill.get(c, F.lit(None))).cast(types[c]).alias(c)
+                for c in rest]
 
+    if not fits_broadcast(pairs, broadcast_rows):
+        periods = frame.select(*by).distinct()
+        added = periods.crossJoin(pairs).select(*by, *pair_columns(F.col))
+        return frame.select(*by, *rest).unionByName(added)
+    listed = pairs.agg(F.collect_list(F.struct(*labels)).alias("pairs")).scalar()
+    own = F.struct(*[F.col(c) for c in rest])
     w = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_first() for c in labels])
     first = F.row_number().over(w) == 1
     # the subquery value is projected first: a higher-order function may not hold one
-    marked = frame.select("*", F.when(first, pairs).alias("_pairs"))
+    marked = frame.select("*", F.when(first, listed).alias("_pairs"))
     rows = F.when(F.col("_pairs").isNotNull(),
-                  F.concat(F.array(own), F.transform(F.col("_pairs"), pair_row))
+                  F.concat(F.array(own), F.transform(
+                      F.col("_pairs"), lambda p: F.struct(*pair_columns(lambda c: p[c]))))
                   ).otherwise(F.array(own))
     return marked.select(*by, F.explode(rows).alias("_row")).select(*by, "_row.*")
 
@@ -192,21 +192,25 @@ def scaffold_states(states: DataFrame, mapping: DataFrame, measures: Sequence[Me
 
     Without ``by`` the mapping's pairs are unioned once.  With ``by`` every
     period present in ``states`` gets every pair (``attach_pairs``).  The
-    result is re-merged per (by, labels); rows of the unmapped (NULL facility)
-    group are dropped after the pairs are attached, so a period whose facts
-    are all unmapped still gets its zero rows.
+    result is re-merged per (by, labels).  States with a NULL label are dropped
+    (facts without a mapping, and facts mapped to a pair with a NULL section: that
+    pair is shown, but empty, and adds nothing to its facility); they are dropped
+    after the pairs are attached, so a period whose facts are all unmapped still
+    gets its zero rows.
     """
     by, labels = list(by), list(labels)
     names = _partial_names(measures)
+    complete = F.lit(True)
+    for c in labels:
+        complete = complete & F.col(c).isNotNull()
     if not by:
         zero = [F.lit(None).cast("long").alias(n) for n in names]
-        # a pair with a NULL label is never reported (drop_na); duplicates merge below
-        empty = mapping.select(*labels).dropna(how="any", subset=labels).select(*labels, *zero)
-        mapped = states.filter(F.col(labels[0]).isNotNull())
-        return merge_states(mapped.unionByName(empty), measures, by, labels)
-    pairs = mapping_pairs(mapping, labels, broadcast_rows)
-    carried = attach_pairs(states, pairs, by, {}, labels)
-    return merge_states(carried.filter(F.col(labels[0]).isNotNull()), measures, by, labels)
+        empty = mapping_pairs(mapping, labels).select(*labels, *zero)
+        return merge_states(states.filter(complete).unionByName(empty), measures, by, labels)
+    marked = states.withColumn("_own", F.lit(True))
+    carried = attach_pairs(marked, mapping, by, {"_own": F.lit(False)}, labels, broadcast_rows)
+    kept = carried.filter(complete | ~F.col("_own")).drop("_own")
+    return merge_states(kept, measures, by, labels)
 
 
 def map_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
@@ -214,7 +218,7 @@ def map_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
              broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Row-level mapping join (``left_join`` / inner); labels added to facts."""
     how = "left" if unmapped == "keep" else "inner"
-    m = mapping.select(*keys, *labels)
+    m = usable_keys(mapping.select(*keys, *labels), keys)
     return facts.join(sized_broadcast(m, broadcast_rows), on=list(keys), how=how)
 
 
@@ -229,7 +233,7 @@ def unmapped_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
     shuffle join with the mapping.
     """
     keys = list(keys)
-    m = mapping.select(*keys)  # an anti join needs no distinct build side
+    m = usable_keys(mapping.select(*keys), keys)  # an anti join needs no distinct build side
     present = facts.select(*keys).dropna(how="any", subset=keys)
     if fits_broadcast(m, broadcast_rows):
         return present.join(F.broadcast(m), on=keys, how="left_anti").distinct()
@@ -243,13 +247,6 @@ def _norm_label(c: Column) -> Column:
     return F.regexp_replace(squashed, r"s$", "")
 
 
-def _shared_fingerprints(spelled: DataFrame) -> DataFrame:
-    """Fingerprints written in more than one way (a partial count per
-    fingerprint; no group is gathered into one value)."""
-    return (spelled.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 1).select("fp"))
-
-
 def validate_mapping(mapping: DataFrame, keys: Sequence[str],
                      labels: Sequence[str] = LABELS) -> DataFrame:
     """Mapping problems as rows: ``issue, key, detail``.
@@ -265,7 +262,9 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
     * ``label_variant``: labels written in more than one way (e.g. ``Equipment
       Service`` and ``Equipment Services``), one row per spelling.
 
-    Every check is a distributed aggregation; nothing is collected.
+    NULL and blank keys are one filter over the mapping.  Every other check is one
+    row per mapping row and check, counted per spelling, then per fingerprint: one
+    scan and two aggregations for all of them; nothing is collected.
     """
     keys, labels = list(keys), list(labels)
     key_text = F.concat_ws(" | ", *[F.col(k).cast("string") for k in keys])
@@ -273,35 +272,41 @@ def validate_mapping(mapping: DataFrame, keys: Sequence[str],
     blank_any = F.lit(False)
     for k in keys:
         null_any = null_any | F.col(k).isNull()
-        blank_any = blank_any | (F.trim(F.col(k).cast("string")) == F.lit(""))
+        blank_any = blank_any | F.coalesce(F.trim(F.col(k).cast("string")) == F.lit(""), F.lit(False))
     # NULL and blank keys in one pass over the mapping (a row can have both)
     row_issues = F.filter(F.array(F.when(null_any, F.lit("null_key")),
                                   F.when(blank_any, F.lit("blank_key"))),
                           lambda x: x.isNotNull())
+    no_text = F.lit(None).cast("string")
     bad_keys = (mapping.filter(null_any | blank_any)
                 .select(F.explode(row_issues).alias("issue"), key_text.alias("key"),
-                        F.lit(None).cast("string").alias("detail")))
-    dups = (mapping.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > 1)
-            .select(F.lit("duplicate_key").alias("issue"), key_text.alias("key"),
-                    F.format_string("%d rows", F.col("n")).alias("detail")))
+                        no_text.alias("detail")))
     squashed = F.regexp_replace(F.lower(key_text), r"\s+", "")
-    spelled = (mapping.filter(~null_any & ~blank_any)
-               .select(squashed.alias("fp"), key_text.alias("key")).distinct())
-    key_variants = (spelled.join(_shared_fingerprints(spelled), on="fp")
-                    .select(F.lit("key_variant").alias("issue"), "key",
-                            F.col("fp").alias("detail")))
-    out = bad_keys.unionByName(dups).unionByName(key_variants)
-    for label in labels:
-        spelled = (mapping.select(F.col(label).alias("label"))
-                   .filter(F.col("label").isNotNull())
-                   .select(_norm_label(F.col("label")).alias("fp"), "label").distinct())
-        variants = (spelled.join(_shared_fingerprints(spelled), on="fp")
-                    .select(F.lit("label_variant").alias("issue"),
-                            F.lit(None).cast("string").alias("key"),
-                            F.concat(F.lit(label + ": "), F.col("label")).alias("detail")))
-        out = out.unionByName(variants)
-    return out
+    # the duplicate check compares keys with their NULLs, so each key column is kept apart
+    exact = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]),
+                      {"ignoreNullFields": "false"})
+
+    def check(name, fingerprint, spelling, when):
+        return F.when(when, F.struct(F.lit(name).alias("check"), fingerprint.alias("fp"),
+                                     spelling.alias("spelling")))
+
+    checks = [check("duplicate_key", exact, key_text, F.lit(True)),
+              check("key_variant", squashed, key_text, ~null_any & ~blank_any)]
+    checks += [check(label, _norm_label(F.col(label)), F.col(label), F.col(label).isNotNull())
+               for label in labels]
+    spelled = (mapping.select(F.explode(F.array(*checks)).alias("c")).filter("c is not null")
+               .groupBy("c.check", "c.fp", "c.spelling").agg(F.count(F.lit(1)).alias("n")))
+    one_fp = Window.partitionBy("check", "fp")
+    seen = spelled.withColumn("spellings", F.count(F.lit(1)).over(one_fp))
+    is_dup = F.col("check") == "duplicate_key"
+    is_key = F.col("check") == "key_variant"
+    issues = (seen.filter(F.when(is_dup, F.col("n") > 1).otherwise(F.col("spellings") > 1))
+              .select(F.when(is_dup | is_key, F.col("check")).otherwise("label_variant").alias("issue"),
+                      F.when(is_dup | is_key, F.col("spelling")).alias("key"),
+                      F.when(is_dup, F.format_string("%d rows", F.col("n")))
+                       .when(is_key, F.col("fp"))
+                       .otherwise(F.concat("check", F.lit(": "), "spelling")).alias("detail")))
+    return bad_keys.unionByName(issues)
 
 
 def label_drift(mappings: dict[str, DataFrame], label: str = "facility") -> DataFrame:

@@ -6,6 +6,7 @@ taken over DECIMAL(18,2) and cast to DOUBLE at the end.
 
 from __future__ import annotations
 
+from sitetally.plans.checks import DEFAULT_RULES
 from sitetally.sources import roles as R
 
 YEAR = R.PERIOD[0]
@@ -24,7 +25,7 @@ def _values(name: str, cols: tuple[str, ...], rows) -> str:
 MAP_A = _values("map_a", ("l4_org_unit", "personnel_area", "facility", "section"), R.EXEMPT_MAP)
 MAP_B = _values("map_b", ("cost_center", "facility", "section"), R.nonexempt_map_rows())
 MAP_C = _values("map_c", ("location", "facility", "section"), R.location_map_rows())
-RULES = _values("rules", ("location", "message"), R.ALERT_RULES)
+RULES = _values("rules", ("col", "val", "message"), [*R.ALERT_RULES, *DEFAULT_RULES])
 EXCL = ", ".join(_q(x) for x in R.EXCLUDED_FLAGS)
 
 EX_FACTS = """ex_facts AS (
@@ -49,7 +50,8 @@ def _ne_facts(null_wage: bool = False) -> str:
 NE_FACTS = _ne_facts()
 
 INC = f"""inc AS (
-  SELECT o_orderpriority || '-' || o_orderstatus AS location, o_orderdate AS loss_date,
+  SELECT o_orderpriority || '-' || o_orderstatus AS location, o_orderstatus AS status,
+         o_orderdate AS loss_date,
          CAST(o_custkey % 4 AS DOUBLE) AS lost_days,
          CAST(year(o_orderdate) AS INTEGER) AS period_year,
          CAST(month(o_orderdate) AS INTEGER) AS period_month
@@ -65,12 +67,13 @@ INC_TEXT = f"""inc_raw AS (
          CASE WHEN o_orderkey % 97 = 0 THEN 'x'
               WHEN o_orderkey % 89 = 0 THEN ''
               WHEN o_orderkey % 83 = 0 THEN {SERIAL} || '.5'
+              WHEN o_orderkey % 79 = 0 THEN 'NaN'
               ELSE {SERIAL} END AS loss_date_raw,
-         CAST(o_custkey % 4 AS VARCHAR) AS lost_days_raw
+         CASE WHEN o_orderkey % 73 = 0 THEN 'NaN' ELSE CAST(o_custkey % 4 AS VARCHAR) END AS lost_days_raw
   FROM orders),
 inc_typed AS (
   SELECT o_orderkey, location,
-         DATE '1899-12-30' + CAST(floor(TRY_CAST(NULLIF(trim(loss_date_raw), '') AS DOUBLE)) AS INTEGER)
+         DATE '1899-12-30' + CAST(floor(TRY_CAST(NULLIF(NULLIF(trim(loss_date_raw), ''), 'NaN') AS DOUBLE)) AS INTEGER)
            AS loss_date,
          TRY_CAST(NULLIF(trim(lost_days_raw), '') AS DOUBLE) AS lost_days
   FROM inc_raw)"""
@@ -105,7 +108,7 @@ HOURS_SEC = """hours_sec AS (
 def _inc_sec(source: str) -> str:
     return f"""inc_sec AS (
   SELECT m.facility, m.section, count(*) AS or_cases,
-         nullif(count(*) FILTER (WHERE i.lost_days > 0), 0) AS lt_cases
+         nullif(count(*) FILTER (WHERE i.lost_days > 0 AND NOT isnan(i.lost_days)), 0) AS lt_cases
   FROM {source} i LEFT JOIN map_c m ON i.location = m.location
   GROUP BY m.facility, m.section)"""
 
@@ -260,7 +263,8 @@ FROM unmapped"""
 
 def label_alerts() -> str:
     return _with(RULES, INC, INC_PERIOD) + """
-SELECT DISTINCT r.location, r.message FROM inc_p i JOIN rules r ON i.location = r.location"""
+SELECT DISTINCT r.col AS "column", r.val AS "value", r.message FROM inc_p i JOIN rules r
+  ON (r.col = 'location' AND i.location = r.val) OR (r.col = 'status' AND i.status = r.val)"""
 
 
 def expenditure_by_center() -> str:
@@ -271,6 +275,31 @@ SELECT cost_center,
 FROM ne_facts GROUP BY cost_center"""
 
 
+def sub_cent_expenditures() -> str:
+    # every value to nine decimals, NaN as no value
+    return """
+SELECT cost_center, round(CAST(CASE WHEN count(*) = count(h) THEN sum(h) END AS DOUBLE), 4) AS hours
+FROM (SELECT l_returnflag || '-' || CAST(l_linenumber AS VARCHAR) AS cost_center,
+             CASE WHEN l_orderkey % 1009 = 0 AND l_returnflag = 'A' THEN NULL
+                  ELSE CAST(l_quantity / 3.0 + l_linenumber / 7.0 AS DECIMAL(28,9)) END AS h
+      FROM lineitem)
+GROUP BY cost_center"""
+
+
+def exempt_report_null_section() -> str:
+    rows = [(a, b, f, None if (a, b) == R.NO_SECTION_KEY else s) for a, b, f, s in R.EXEMPT_MAP]
+    no_section = _values("map_a", ("l4_org_unit", "personnel_area", "facility", "section"), rows)
+    return _with(no_section, EX_FACTS, EX_SEC, _levels("ex_sec", {"h": "lenient"})) + f"""
+SELECT {LABELS}, CAST(nullif(h, 0) AS DOUBLE) AS hours FROM lv"""
+
+
+def nonexempt_report_blank_keys() -> str:
+    rows = [*R.nonexempt_map_rows(), *R.BLANK_KEY_ROWS]
+    return _with(_values("map_b", ("cost_center", "facility", "section"), rows), NE_FACTS, NE_SEC,
+                 _levels("ne_sec", {"h": "lenient"})) + f"""
+SELECT {LABELS}, CAST(nullif(h, 0) AS DOUBLE) AS hours FROM lv"""
+
+
 def sheet_header_footer() -> str:
     return """SELECT 'orders_' || CAST(o_orderkey % 3 AS VARCHAR) || '.xlsx' AS path,
        'Data' AS sheet, CAST(o_orderkey // 3 + 3 AS BIGINT) AS row_index,
@@ -367,7 +396,7 @@ SELECT period_year, {LABELS}, CAST(h AS DOUBLE) AS hours FROM lv"""
 def incident_report_by_period() -> str:
     return _with(MAP_C, INC, """inc_sec AS (
   SELECT i.period_year, i.period_month, m.facility, m.section, count(*) AS or_cases,
-         nullif(count(*) FILTER (WHERE i.lost_days > 0), 0) AS lt_cases
+         nullif(count(*) FILTER (WHERE i.lost_days > 0 AND NOT isnan(i.lost_days)), 0) AS lt_cases
   FROM inc i LEFT JOIN map_c m ON i.location = m.location
   GROUP BY i.period_year, i.period_month, m.facility, m.section)""", """lv AS (
   SELECT period_year, period_month, facility, section, 'section' AS row_kind, or_cases, lt_cases
@@ -467,7 +496,7 @@ def combined_report_by_period() -> str:
         UNION ALL SELECT period_year, facility, section, h, 1 AS src FROM ex_sec) u
   GROUP BY period_year, facility, section)""", """inc_sec AS (
   SELECT i.period_year, m.facility, m.section, count(*) AS or_cases,
-         nullif(count(*) FILTER (WHERE i.lost_days > 0), 0) AS lt_cases
+         nullif(count(*) FILTER (WHERE i.lost_days > 0 AND NOT isnan(i.lost_days)), 0) AS lt_cases
   FROM inc i LEFT JOIN map_c m ON i.location = m.location
   GROUP BY i.period_year, m.facility, m.section)""", """all_sec AS (
   SELECT period_year, facility, section, sum(h) AS h, sum(or_cases) AS or_cases,
@@ -499,6 +528,10 @@ SQL = {
     "unmapped_status": unmapped_status(),
     "label_alerts": label_alerts(),
     "expenditure_by_center": expenditure_by_center(),
+    "sub_cent_expenditures": sub_cent_expenditures(),
+    "exempt_report_null_section": exempt_report_null_section(),
+    "exempt_report_by_period_joined": exempt_report_by_period(),
+    "nonexempt_report_blank_keys": nonexempt_report_blank_keys(),
     "sheet_header_footer": sheet_header_footer(),
     "sheet_header_footer_steps": sheet_header_footer(),
     "mapping_violations": mapping_violations(),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sitetally.operators.mapping import DEFAULT_BROADCAST_ROWS, sized_broadcast, unmapped_keys
 from sitetally.plans.incidents import INCIDENT_KEY, period_incidents
+from sitetally.sources.literal import literal_table
 
 # Report messages.
 ALL_CODED = "All locations appear to be coded for"
@@ -40,17 +42,36 @@ def coding_status(unmapped: DataFrame) -> DataFrame:
          .alias("status"))
 
 
-def label_alerts(incidents: DataFrame, rules: DataFrame, year: int | None = None,
-                 month: str | int | None = None, key: str = INCIDENT_KEY,
-                 date_col: str = "loss_date",
-                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Rules ``(location, message)`` that match at least one incident of the
-    period; 0..n rows.
+# The rule that always applies: (column, value, message).
+DEFAULT_RULES = ((INCIDENT_KEY, HQ_LOCATION, HQ_MESSAGE),)
+RULE_SCHEMA = "column string, value string, message string"
 
-    The rule table is joined map-side to the incidents and the matches are
-    reduced by a partially aggregated ``distinct``, so a location holding
-    most incidents costs one hash probe per row and one row per partition.
+
+def default_rules(spark: SparkSession) -> DataFrame:
+    return literal_table(spark, DEFAULT_RULES, RULE_SCHEMA)
+
+
+def label_alerts(incidents: DataFrame, rules: DataFrame | None = None, year: int | None = None,
+                 month: str | int | None = None, date_col: str = "loss_date",
+                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS, defaults: bool = True) -> DataFrame:
+    """Rules ``(column, value, message)`` that match at least one incident of the
+    period; 0..n rows.  The headquarters rule always applies unless ``defaults`` is
+    false.
+
+    Every incident is read once: its text columns become (column, value) pairs,
+    the pairs are joined map-side to the rules and the matches made distinct (combined
+    before the shuffle, so a value holding most incidents is one row per partition).  A rule
+    whose column the incidents lack matches nothing.
     """
-    inc = period_incidents(incidents, year, month, date_col).select(F.col(key).alias("location"))
-    r = sized_broadcast(rules.select("location", "message"), broadcast_rows)
-    return inc.join(r, on="location", how="inner").select("location", "message").distinct()
+    inc = period_incidents(incidents, year, month, date_col)
+    texts = [f.name for f in inc.schema.fields if isinstance(f.dataType, StringType)]
+    all_rules = default_rules(incidents.sparkSession) if defaults or rules is None else None
+    if rules is not None:
+        own = rules.select("column", "value", "message")
+        all_rules = own if all_rules is None else own.unionByName(all_rules)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in texts]) \
+        if texts else F.array().cast("array<struct<column:string,value:string>>")
+    seen = inc.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null")
+    r = sized_broadcast(all_rules, broadcast_rows)
+    return (seen.join(r, on=["column", "value"], how="inner")
+            .select("column", "value", "message").distinct())

@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from sitetally.functions.measures import cents_to_hours, hours_measure
+from sitetally.functions.measures import hours_measure, hours_to_double
 
 
 def expenditure_report(facts: DataFrame, key: str = "cost_center", hours_col: str = "hours",
                        by: Sequence[str] = ()) -> DataFrame:
     """``cost_center, hours``: one row per cost centre; NULL when any row of the
     centre has no hours."""
-    m = hours_measure("hours", hours_col, mode="strict")
+    m = hours_measure("hours", hours_col, mode="strict", dtype=facts.schema[hours_col].dataType)
     states = facts.groupBy(*by, key).agg(*[agg.alias(n) for n, agg in m.partials])
-    return states.select(*by, key, cents_to_hours(m.value).alias("hours"))
+    return states.select(*by, key, hours_to_double(m.value).alias("hours"))

@@ -22,10 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitetally.functions.measures import cents_to_hours, hours_measure, null_to_zero, zero_to_null
+from sitetally.functions.measures import hours_measure, hours_to_double, null_to_zero, zero_to_null
 from sitetally.operators.levels import label_levels, three_level
 from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, attach_pairs,
-                                         finish_states, mapping_pairs, require_columns,
+                                         finish_states, require_columns,
                                          scaffold_states, section_states)
 
 # Wage types left out of non-exempt hours by default.
@@ -48,9 +48,9 @@ def nonexempt_sections(facts: DataFrame, mapping: DataFrame,
                        by: Sequence[str] = (), key: str = NONEXEMPT_KEY,
                        wage_col: str = "wage_type", hours_col: str = "hours",
                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Section hours in cents (strict sum; NULL facility for unmapped keys)."""
+    """Exact section hours (strict sum; NULL facility for unmapped keys)."""
     require_columns(facts, [*by, key, wage_col, hours_col], "non-exempt hours")
-    measure = hours_measure("hours", hours_col, mode="strict")
+    measure = hours_measure("hours", hours_col, "strict", facts.schema[hours_col].dataType)
     kept = exclude_wage_types(facts, excluded_wage_types, wage_col)
     states = section_states(kept, mapping, [key], [measure], by, unmapped="keep",
                             broadcast_rows=broadcast_rows)
@@ -60,7 +60,7 @@ def nonexempt_sections(facts: DataFrame, mapping: DataFrame,
 def exempt_sections(facts: DataFrame, mapping: DataFrame, by: Sequence[str] = (),
                     keys: Sequence[str] = EXEMPT_KEYS, hours_col: str = "hours",
                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Section hours in cents (lenient sum; every mapping pair present).
+    """Exact section hours (lenient sum; every mapping pair present).
 
     Facts are mapped with a left join; the unmapped (NULL facility) group is
     dropped after aggregation, once the zero rows of every mapping pair have
@@ -69,7 +69,7 @@ def exempt_sections(facts: DataFrame, mapping: DataFrame, by: Sequence[str] = ()
     """
     by = list(by)
     require_columns(facts, [*by, *keys, hours_col], "exempt hours")
-    measure = hours_measure("hours", hours_col, mode="lenient")
+    measure = hours_measure("hours", hours_col, "lenient", facts.schema[hours_col].dataType)
     states = section_states(facts, mapping, keys, [measure], by, unmapped="keep",
                             broadcast_rows=broadcast_rows)
     states = scaffold_states(states, mapping, [measure], by, broadcast_rows=broadcast_rows)
@@ -78,10 +78,10 @@ def exempt_sections(facts: DataFrame, mapping: DataFrame, by: Sequence[str] = ()
 
 def finish_hours(levels: DataFrame, by: Sequence[str] = (), zero_as_null: bool = True,
                  labels: bool = True, extra: Sequence[str] = ()) -> DataFrame:
-    """Cents -> hours (double); zero -> NULL for per-population reports."""
-    cents = zero_to_null("hours") if zero_as_null else F.col("hours")
+    """Exact hours -> double; zero -> NULL for per-population reports."""
+    exact = zero_to_null("hours") if zero_as_null else F.col("hours")
     out = levels.select(*by, *LABELS, "row_kind", *extra,
-                        cents_to_hours(cents).alias("hours"))
+                        hours_to_double(exact).alias("hours"))
     return label_levels(out) if labels else out
 
 
@@ -105,7 +105,7 @@ def combined_hour_sections(exempt: DataFrame, exempt_map: DataFrame,
                            excluded_wage_types: Sequence[str] = EXCLUDED_WAGE_TYPES,
                            by: Sequence[str] = (),
                            broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Section hours of both populations added (NULL read as 0), in cents.
+    """Section hours of both populations added (NULL read as 0), exact.
 
     Carries ``src_rank`` (0: section present in the non-exempt report, 1:
     exempt only) for the report order.  Equivalent to the NULL-safe full
@@ -122,18 +122,18 @@ def combined_hour_sections(exempt: DataFrame, exempt_map: DataFrame,
     else:
         # every period of either population gets the exempt mapping's zero rows;
         # both populations are read once (pairs are attached in the same pass)
-        measure = hours_measure("hours", "hours", mode="lenient")
         require_columns(exempt, [*by, *EXEMPT_KEYS, "hours"], "exempt hours")
+        measure = hours_measure("hours", "hours", "lenient", exempt.schema["hours"].dataType)
         ex_states = section_states(exempt, exempt_map, EXEMPT_KEYS, [measure], by,
                                    unmapped="keep", broadcast_rows=broadcast_rows)
         ex = (finish_states(ex_states, [measure], by)
               .withColumn("src_rank", F.lit(1))
-              .withColumn("_keep", F.col(LABELS[0]).isNotNull()))
+              .withColumn("_keep", F.col(LABELS[0]).isNotNull() & F.col(LABELS[1]).isNotNull()))
         union = (ne.withColumn("src_rank", F.lit(0)).withColumn("_keep", F.lit(True))
                  .unionByName(ex))
-        pairs = mapping_pairs(exempt_map, LABELS, broadcast_rows)
-        both = (attach_pairs(union, pairs, by, {"hours": F.lit(0), "src_rank": F.lit(1),
-                                                "_keep": F.lit(True)})
+        both = (attach_pairs(union, exempt_map, by, {"hours": F.lit(0), "src_rank": F.lit(1),
+                                                     "_keep": F.lit(True)},
+                             broadcast_rows=broadcast_rows)
                 .filter("_keep").drop("_keep"))
     return (both.groupBy(*by, *LABELS)
             .agg(null_to_zero(F.sum("hours")).alias("hours"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitetally.functions.dates import in_period
-from sitetally.functions.measures import cents_to_hours, count_measure, zero_to_null
+from sitetally.functions.measures import HOURS_SUM, count_measure, hours_to_double, zero_to_null
 from sitetally.operators.levels import label_levels, three_level
 from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, finish_states,
                                          require_columns, section_states)
@@ -27,7 +27,8 @@ COUNTS = ("or_cases", "lt_cases")
 
 
 def incident_measures(lost_col: str = "lost_days"):
-    lost = F.col(lost_col).try_cast("double") > F.lit(0.0)
+    days = F.col(lost_col).try_cast("double")
+    lost = ~F.isnan(days) & (days > F.lit(0.0))
     return [count_measure("or_cases"),
             count_measure("lt_cases", lost, absent_as_null=True)]
 
@@ -91,7 +92,7 @@ def _with_hours(inc_sections: DataFrame, hours_sections: DataFrame,
     by = list(by)
     hs = hours_sections.select(*by, *LABELS, "hours", "src_rank",
                                *[F.lit(None).cast("long").alias(c) for c in COUNTS])
-    ins = inc_sections.select(*by, *LABELS, F.lit(None).cast("long").alias("hours"),
+    ins = inc_sections.select(*by, *LABELS, F.lit(None).cast(HOURS_SUM).alias("hours"),
                               F.lit(2).alias("src_rank"), *COUNTS)
     return (hs.unionByName(ins).groupBy(*by, *LABELS)
             .agg(F.sum("hours").alias("hours"),
@@ -118,4 +119,4 @@ def combined_report(exempt: DataFrame, exempt_map: DataFrame, nonexempt: DataFra
                          by, rank_col="src_rank")
     extra = ["src_rank"] if keep_rank else []
     return finish_counts(levels, by, labels, extra=extra,
-                         lead=[cents_to_hours("hours").alias("hours")])
+                         lead=[hours_to_double("hours").alias("hours")])

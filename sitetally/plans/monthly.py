@@ -20,7 +20,7 @@ from sitetally.plans.checks import coding_status, label_alerts, unmapped_report
 from sitetally.plans.hours import (EXCLUDED_WAGE_TYPES, EXEMPT_KEYS, combined_hour_sections,
                                    finish_hours)
 from sitetally.plans.incidents import (COUNTS, _with_hours, finish_counts, incident_sections)
-from sitetally.functions.measures import cents_to_hours
+from sitetally.functions.measures import hours_to_double
 
 
 @dataclass
@@ -30,11 +30,12 @@ class MonthlyReports:
     combined: DataFrame
     unmapped: DataFrame
     status: DataFrame
-    alerts: DataFrame | None
+    alerts: DataFrame
     shared: DataFrame
 
     def release(self) -> None:
         self.shared.unpersist()
+        self.unmapped.unpersist()
 
 
 def monthly_reports(exempt: DataFrame, exempt_map: DataFrame, nonexempt: DataFrame,
@@ -56,16 +57,16 @@ def monthly_reports(exempt: DataFrame, exempt_map: DataFrame, nonexempt: DataFra
     hours_levels = three_level(hours_only, ["hours"], by, rank_col="src_rank")
     all_levels = three_level(shared, {"hours": "sum", "or_cases": "lenient",
                                       "lt_cases": "lenient"}, by, rank_col="src_rank")
-    unmapped = unmapped_report(exempt, exempt_map, EXEMPT_KEYS)
+    # read by both the table and the status; few rows, kept like the shared frame
+    unmapped = unmapped_report(exempt, exempt_map, EXEMPT_KEYS).persist(StorageLevel.MEMORY_AND_DISK)
     return MonthlyReports(
         hours=finish_hours(hours_levels, by, zero_as_null=False, labels=labels, extra=extra),
         incidents=finish_counts(all_levels, by, labels, extra=extra),
         combined=finish_counts(all_levels, by, labels, extra=extra,
-                               lead=[cents_to_hours("hours").alias("hours")]),
+                               lead=[hours_to_double("hours").alias("hours")]),
         unmapped=unmapped,
         status=coding_status(unmapped),
-        alerts=(label_alerts(incidents, alert_rules, year, month)
-                if alert_rules is not None else None),
+        alerts=label_alerts(incidents, alert_rules, year, month),
         shared=shared)
 
 

@@ -5,20 +5,21 @@ are normalised; reports are checked against them in the tests.
 """
 
 # Fact inputs after ingest and typing.
-EXEMPT_HOURS = "l4_org_unit string, personnel_area string, hours decimal(18,2)"
-NONEXEMPT_HOURS = "cost_center string, wage_type string, hours decimal(18,2)"
+EXEMPT_HOURS = "l4_org_unit string, personnel_area string, hours decimal(28,9)"
+NONEXEMPT_HOURS = "cost_center string, wage_type string, hours decimal(28,9)"
 INCIDENTS_TEXT = "location string, loss_date_raw string, lost_days_raw string"
 INCIDENTS = "location string, loss_date date, lost_days double"
-EXPENDITURES = "cost_center string, hours decimal(18,2)"
+EXPENDITURES = "cost_center string, hours decimal(28,9)"
 
 # Mapping and rule tables.
 EXEMPT_MAP = "l4_org_unit string, personnel_area string, facility string, section string"
 NONEXEMPT_MAP = "cost_center string, facility string, section string"
 LOCATION_MAP = "location string, facility string, section string"
-ALERT_RULES = "location string, message string"
+ALERT_RULES = "column string, value string, message string"
 
 # Raw sheet rows written by the workbook ingest.
-RAW_SHEET = "path string, sheet string, row_index bigint, cells array<string>"
+RAW_SHEET = ("path string, sheet string, sheet_no int, row_index bigint, "
+             "cells array<string>")
 
 # Reports (labelled form; a leading period column is added with ``by``).
 HOURS_REPORT = "facility string, section string, row_kind string, hours double"

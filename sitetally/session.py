@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,13 +46,17 @@ def build_session(master: str | None = None, app: str = "sitetally",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to shared storage.  Only when it is unset (local tests)
-    is a scratch folder created and registered.
+    A cluster sets this to shared storage.  Only a session that runs on this one
+    machine (``local`` master, as in tests) gets a scratch folder when it is unset;
+    anywhere else that would put recovery state on one machine, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     local = tempfile.mkdtemp(prefix="sitetally-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -65,6 +68,3 @@ def cut_lineage(df, eager: bool = True):
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 
-
-def env_cpus(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))

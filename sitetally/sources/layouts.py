@@ -19,7 +19,7 @@ from sitetally.sources.tables import blank_to_null, typed_incidents
 
 @dataclass(frozen=True)
 class Layout:
-    sheet: str | None
+    sheet: str | int | None     # a name, a number in workbook order (0: the first), or all
     skip: int
     footer: int
     columns: dict[str, str]
@@ -36,7 +36,7 @@ NONEXEMPT = Layout("Details", 0, 0, {"cost_center": "Cost Center Desc.",
 INCIDENTS = Layout("Data", 3, 0, {"location": "Location",
                                   "loss_date_raw": "Loss Date",
                                   "lost_days_raw": "Lost Work Days"})
-EXPENDITURES = Layout(None, 1, 3, {"cost_center": "Cost Center",
+EXPENDITURES = Layout(0, 1, 3, {"cost_center": "Cost Center",
                                    "hours": "View Billable Hours [ST/Hr]"})
 
 

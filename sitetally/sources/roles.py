@@ -22,30 +22,35 @@ from pyspark.sql import functions as F
 from sitetally.sources.literal import literal_table
 
 # Fixed values for the test roles (invented labels).
-FACILITIES = ("Brevard", "Broward", "Ocala", "Tampa")
-SECTIONS = ("Distribution", "Equipment Services", "Fleet", "Sales", "Warehouse")
+FACILITIES = ("Ashby", "Birchley", "Oakdene", "Thornby")
+SECTIONS = ("Dispatch", "Tool Care", "Fleet", "Sales", "Warehouse")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
 STATUSES = ("F", "O", "P")
 
 EXEMPT_MAP = (
-    ("1-URGENT", "F", "Brevard", "Distribution"),
-    ("1-URGENT", "O", "Brevard", "Distribution"),
-    ("2-HIGH", "F", "Brevard", "Equipment Services"),
-    ("2-HIGH", "O", "Broward", "Sales"),
-    ("3-MEDIUM", "F", "Broward", "Distribution"),
-    ("3-MEDIUM", "O", "Ocala", "Distribution"),
-    ("4-NOT SPECIFIED", "F", "Ocala", "Warehouse"),
-    ("4-NOT SPECIFIED", "O", "Miami Dade", "Sales"),
-    ("0-NONE", "F", "Gainesville", "Fleet"),
+    ("1-URGENT", "F", "Ashby", "Dispatch"),
+    ("1-URGENT", "O", "Ashby", "Dispatch"),
+    ("2-HIGH", "F", "Ashby", "Tool Care"),
+    ("2-HIGH", "O", "Birchley", "Sales"),
+    ("3-MEDIUM", "F", "Birchley", "Dispatch"),
+    ("3-MEDIUM", "O", "Oakdene", "Dispatch"),
+    ("4-NOT SPECIFIED", "F", "Oakdene", "Warehouse"),
+    ("4-NOT SPECIFIED", "O", "Port Lark", "Sales"),
+    ("0-NONE", "F", "Hillcrest", "Fleet"),
 )
 
+NO_SECTION_KEY = ("3-MEDIUM", "F")
+BLANK_KEY_ROWS = (("", "Ashby", "Sales"), (" ", "Ashby", "Fleet"), (None, "Thornby", "Sales"),
+                  (None, "Thornby", "Sales"))
+
 EXCLUDED_FLAGS = ("R",)
 NULL_HOURS_BRAND, NULL_HOURS_LINE = "Brand#7", 7
 NULL_WAGE_FLAG, NULL_WAGE_LINE = "N", 3
 PERIOD = (1999, "November")
 ALERT_RULES = (
-    ("5-LOW-P", "Incidents at 5-LOW-P this month: recode them to a mapped location and reload."),
-    ("9-NONE-X", "Incidents at 9-NONE-X this month: retired location."),
+    ("location", "5-LOW-P", "Incidents at 5-LOW-P this month: recode them to a mapped location and reload."),
+    ("location", "9-NONE-X", "Incidents at 9-NONE-X this month: retired location."),
+    ("status", "P", "Incidents with status P this month: check that they are closed."),
 )
 SERIAL_ORIGIN_SQL = "1899-12-30"
 
@@ -62,7 +67,7 @@ def location_map_rows() -> list[tuple[str, str, str]]:
     for i, prio in enumerate(PRIORITIES):
         for j, st in enumerate(STATUSES):
             rows.append((f"{prio}-{st}", FACILITIES[i], SECTIONS[(i + j) % 5]))
-    rows[-1] = (rows[-1][0], "Orlando", "Fleet")
+    rows[-1] = (rows[-1][0], "Pinemoor", "Fleet")
     return rows
 
 
@@ -77,51 +82,31 @@ TABLE_SCHEMAS = {
 }
 
 
-_REGISTERED: dict[tuple, DataFrame] = {}
-
-
-def _once(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Build an input DataFrame once per Spark application (as an application
-    registers its tables once): no repeated file listing or plan building."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
-        app = id(spark)
-    full = (app, *key)
-    df = _REGISTERED.get(full)
-    if df is None:
-        df = _REGISTERED[full] = build()
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    def build():
-        reader = spark.read
-        if name in TABLE_SCHEMAS:
-            reader = reader.schema(TABLE_SCHEMAS[name])
-        return reader.parquet(f"{sf_dir}/{name}.parquet")
-    return _once(spark, ("table", sf_dir, name), build)
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def exempt_map(spark: SparkSession) -> DataFrame:
-    return _once(spark, ("exempt_map",), lambda: literal_table(
+    return literal_table(
         spark, EXEMPT_MAP,
-        "l4_org_unit string, personnel_area string, facility string, section string"))
+        "l4_org_unit string, personnel_area string, facility string, section string")
 
 
 def nonexempt_map(spark: SparkSession) -> DataFrame:
-    return _once(spark, ("nonexempt_map",), lambda: literal_table(
-        spark, nonexempt_map_rows(), "cost_center string, facility string, section string"))
+    return literal_table(
+        spark, nonexempt_map_rows(), "cost_center string, facility string, section string")
 
 
 def location_map(spark: SparkSession) -> DataFrame:
-    return _once(spark, ("location_map",), lambda: literal_table(
-        spark, location_map_rows(), "location string, facility string, section string"))
+    return literal_table(
+        spark, location_map_rows(), "location string, facility string, section string")
 
 
 def alert_rules(spark: SparkSession) -> DataFrame:
-    return _once(spark, ("alert_rules",), lambda: literal_table(
-        spark, ALERT_RULES, "location string, message string"))
+    return literal_table(spark, ALERT_RULES, "column string, value string, message string")
 
 
 def exempt_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,10 +136,33 @@ def nonexempt_facts(spark: SparkSession, sf_dir: str, null_wage: bool = False) -
                     F.year("l_shipdate").alias("period_year"))
 
 
+def sub_cent_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items' hours to a fraction of a cent: a third of the quantity and of the
+    line number; NaN for a few lines, which counts as no value."""
+    li = table(spark, sf_dir, "lineitem")
+    third = F.col("l_quantity") / F.lit(3.0) + F.col("l_linenumber") / F.lit(7.0)
+    nan = (F.col("l_orderkey") % 1009 == 0) & (F.col("l_returnflag") == "A")
+    return li.select(F.concat_ws("-", "l_returnflag", F.col("l_linenumber").cast("string"))
+                     .alias("cost_center"),
+                     F.when(nan, F.lit(float("nan"))).otherwise(third).alias("hours"))
+
+
+def exempt_map_null_section(spark: SparkSession) -> DataFrame:
+    rows = [(a, b, f, None if (a, b) == NO_SECTION_KEY else s) for a, b, f, s in EXEMPT_MAP]
+    return literal_table(spark, rows, "l4_org_unit string, personnel_area string, "
+                                      "facility string, section string")
+
+
+def nonexempt_map_blank_keys(spark: SparkSession) -> DataFrame:
+    return literal_table(spark, [*nonexempt_map_rows(), *BLANK_KEY_ROWS],
+                         "cost_center string, facility string, section string")
+
+
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed incidents: ``location, loss_date (timestamp_ntz), lost_days``."""
+    """Typed incidents: ``location, status, loss_date (timestamp_ntz), lost_days``."""
     o = table(spark, sf_dir, "orders")
     return o.select(F.concat_ws("-", "o_orderpriority", "o_orderstatus").alias("location"),
+                    F.col("o_orderstatus").alias("status"),
                     F.col("o_orderdate").alias("loss_date"),
                     (F.col("o_custkey") % 4).cast("double").alias("lost_days"),
                     F.year("o_orderdate").alias("period_year"),
@@ -171,11 +179,13 @@ def incidents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = (F.when(k % 97 == 0, F.lit("x"))
            .when(k % 89 == 0, F.lit(""))
            .when(k % 83 == 0, F.concat(serial, F.lit(".5")))
+           .when(k % 79 == 0, F.lit("NaN"))
            .otherwise(serial))
     return o.select("o_orderkey",
                     F.concat_ws("-", "o_orderpriority", "o_orderstatus").alias("location"),
                     raw.alias("loss_date_raw"),
-                    (F.col("o_custkey") % 4).cast("string").alias("lost_days_raw"))
+                    F.when(k % 73 == 0, F.lit("NaN"))
+                     .otherwise((F.col("o_custkey") % 4).cast("string")).alias("lost_days_raw"))
 
 
 def part_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Positional operations on raw sheet rows.
 
-Raw rows are ``path, sheet, row_index, cells array<string>`` with a 0-based,
-contiguous ``row_index`` per (path, sheet), written at ingest.  Every
-positional operation works per file through a small per-file aggregate
-(one row per file, partially aggregated before its shuffle) joined back to
-the rows.  The join carries no hint: the aggregate's size is only known at
-run time, and adaptive execution measures it and turns the join into a
-broadcast join when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
-(otherwise it stays a sort-merge join whose skewed partitions AQE splits).
-So a file holding most rows never lands in one task and no window sorts a
-whole file.
+Raw rows are ``path, sheet, row_index, cells array<string>`` (and ``sheet_no``,
+the sheet's number in its workbook) with a 0-based ``row_index`` per (path,
+sheet), written at ingest.  Every positional operation needs one fact per sheet:
+its header cells, first or last row.  These sheet indexes are aggregated from the
+rows (partially, before a shuffle of one row per sheet and task) and collected
+when they have at most ``MAX_INDEX_ROWS`` rows and ``MAX_INDEX_BYTES`` bytes; the
+index is then broadcast and the raw rows are neither shuffled nor sorted, however
+many a sheet holds.  A larger index is joined instead.
+Columns are read by position, ``cells[n]``: repeated or blank headers are harmless
+(the first of equal headers counts).
 """
 
 from __future__ import annotations
@@ -28,39 +28,50 @@ def skip_rows(rows: DataFrame, k: int) -> DataFrame:
     return rows.filter(F.col("row_index") >= F.lit(k))
 
 
+MAX_INDEX_ROWS = 50_000
+MAX_INDEX_BYTES = 32 * 1024 * 1024
+
+
+def _with_index(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``rows`` joined to the index of their sheet, by broadcast if it is small."""
+    size = F.octet_length(F.to_json(F.struct(*index.columns)))
+    counted = index.withColumn("_size", size)
+    few = counted.limit(MAX_INDEX_ROWS + 1).collect()
+    if len(few) > MAX_INDEX_ROWS or sum(r["_size"] for r in few) > MAX_INDEX_BYTES:
+        return rows.join(index, on=list(FILE_KEYS))
+    local = rows.sparkSession.createDataFrame([tuple(r)[:-1] for r in few], index.schema)
+    return rows.join(F.broadcast(local), on=list(FILE_KEYS))
+
+
 def drop_footer(rows: DataFrame, k: int) -> DataFrame:
     """Drop the last ``k`` rows of every file (``head(-k)``)."""
     last = rows.groupBy(*FILE_KEYS).agg(F.max("row_index").alias("_last"))
-    return (rows.join(last, on=list(FILE_KEYS))
+    return (_with_index(rows, last)
             .filter(F.col("row_index") <= F.col("_last") - F.lit(k))
             .drop("_last"))
 
 
-def _fields(header, cells):
-    """``map<header cell, cell>`` ignoring blank header cells."""
-    pairs = F.arrays_zip(header.alias("k"), cells.alias("v"))
-    named = F.filter(pairs, lambda e: F.nullif(F.trim(e["k"]), F.lit("")).isNotNull())
-    return F.map_from_entries(F.transform(
-        named, lambda e: F.struct(F.trim(e["k"]).alias("k"), e["v"].alias("v"))))
-
-
 def _file_bounds(rows: DataFrame) -> DataFrame:
-    """One row per file: header cells (first row), first and last index."""
+    """One row per file: header cells (first row, trimmed), first and last index."""
     return rows.groupBy(*FILE_KEYS).agg(
         F.min("row_index").alias("_first"),
         F.max("row_index").alias("_last"),
-        F.min_by("cells", "row_index").alias("_header"))
+        F.transform(F.min_by("cells", "row_index"), F.trim).alias("_header"))
 
 
 def promote_header(rows: DataFrame) -> DataFrame:
     """Use the first remaining row of each file as its header.
 
-    Returns the rows after it with ``fields map<header, cell>``; each file may
-    order its columns differently.  Blank header cells are ignored.
+    Returns the rows after it with ``cells`` and the sheet's ``header``; each file
+    may order its columns differently.
     """
-    data = (rows.join(_file_bounds(rows), on=list(FILE_KEYS))
-            .filter(F.col("row_index") > F.col("_first")))
-    return data.select(*FILE_KEYS, "row_index", _fields(F.col("_header"), F.col("cells")).alias("fields"))
+    data = _with_index(rows, _file_bounds(rows)).filter(F.col("row_index") > F.col("_first"))
+    return data.select(*FILE_KEYS, "row_index", F.col("_header").alias("header"), "cells")
+
+
+def _cell(header: str, name: str):
+    """The cell under the first header ``name``; NULL where a file has none."""
+    return F.get("cells", F.nullif(F.array_position(header, F.lit(name)), F.lit(0)).cast("int") - 1)
 
 
 def project_fields(rows: DataFrame, columns: Mapping[str, str] | Sequence[str],
@@ -70,26 +81,31 @@ def project_fields(rows: DataFrame, columns: Mapping[str, str] | Sequence[str],
     from sitetally.sources.tables import snake
     if not isinstance(columns, Mapping):
         columns = {snake(h): h for h in columns}
-    return rows.select(*keep, *[F.col("fields").getItem(h).alias(out)
-                                for out, h in columns.items()])
+    return rows.select(*keep, *[_cell("header", h).alias(out) for out, h in columns.items()])
 
 
 def sheet_table(rows: DataFrame, columns: Mapping[str, str] | Sequence[str], skip: int = 0,
-                footer: int = 0, sheet: str | None = None) -> DataFrame:
-    """Raw rows -> a table: keep one sheet, skip ``skip`` rows, use the next row
-    as header, drop ``footer`` trailing rows, select ``columns``.
-
-    Header and footer positions come from a single per-file aggregate joined
-    once to the rows (same result as ``skip_rows`` -> ``promote_header`` ->
-    ``drop_footer``, one pass instead of two).
+                footer: int = 0, sheet: str | int | None = None) -> DataFrame:
+    """Raw rows -> a table: keep one sheet (by name, by number in workbook order, or
+    all), skip ``skip`` rows, use the next row as header, drop ``footer`` trailing
+    rows, select ``columns``.
+
+    Column positions, header row and last row come from one index row per sheet
+    (same result as ``skip_rows`` -> ``promote_header`` -> ``drop_footer``, one pass
+    over the rows for the index and one for the table).
     """
+    from sitetally.sources.tables import snake
+    if not isinstance(columns, Mapping):
+        columns = {snake(h): h for h in columns}
     if sheet is not None:
-        rows = rows.filter(F.col("sheet") == F.lit(sheet))
+        rows = rows.filter(F.col("sheet_no" if isinstance(sheet, int) else "sheet") == F.lit(sheet))
     if skip:
         rows = skip_rows(rows, skip)
-    body = (rows.join(_file_bounds(rows), on=list(FILE_KEYS))
+    places = [F.nullif(F.array_position("_header", F.lit(h)), F.lit(0)).cast("int").alias(f"_at_{out}")
+              for out, h in columns.items()]
+    index = _file_bounds(rows).select(*FILE_KEYS, "_first", "_last", *places)
+    return (_with_index(rows, index)
             .filter((F.col("row_index") > F.col("_first"))
                     & (F.col("row_index") <= F.col("_last") - F.lit(footer)))
             .select(*FILE_KEYS, "row_index",
-                    _fields(F.col("_header"), F.col("cells")).alias("fields")))
-    return project_fields(body, columns)
+                    *[F.get("cells", F.col(f"_at_{out}") - 1).alias(out) for out in columns]))

@@ -3,7 +3,7 @@
 Each workbook is read with the ``binaryFile`` source and decoded inside
 ``mapInPandas`` (one task decodes one file; a zip archive cannot be split).
 Rows are emitted in chunks, so a large sheet never builds one huge batch.
-The output ``path, sheet, row_index, cells array<string>`` is the input of
+The output ``path, sheet, sheet_no, row_index, cells array<string>`` is the input of
 ``sitetally.sources.sheets``; write it once as Parquet and every later report
 reads typed columns from it.
 
@@ -15,6 +15,7 @@ in between keep their position.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
@@ -42,7 +43,9 @@ def _column_number(letters: str) -> int:
 
 
 def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+    """Text of a plain or rich string; phonetic readings (``rPh``) are no text."""
+    return "".join(t.text or "" for part in node if part.tag != f"{_MAIN}rPh"
+                   for t in part.iter(f"{_MAIN}t"))
 
 
 def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
@@ -75,17 +78,26 @@ def _cell_value(c, shared: list[str]) -> str | None:
         return None
     if kind == "s":
         return shared[int(v.text)]
+    if kind == "e":                 # an error such as #N/A is a missing value
+        return None
+    if kind == "d":                 # an ISO date, as the serial day number other cells hold
+        try:
+            day = dt.datetime.fromisoformat(v.text.strip().replace("Z", ""))
+        except ValueError:
+            return v.text
+        serial = (day - dt.datetime(1899, 12, 30)) / dt.timedelta(days=1)
+        return str(int(serial)) if serial == int(serial) else str(serial)
     if kind == "b":
         return "TRUE" if v.text.strip() == "1" else "FALSE"
     return v.text
 
 
 def sheet_rows(content: bytes, sheets: Sequence[str] | None = None
-               ) -> Iterator[tuple[str, int, list[str | None]]]:
-    """Yield ``(sheet, row_index, cells)`` for the wanted sheets of one file."""
+               ) -> Iterator[tuple[str, int, int, list[str | None]]]:
+    """Yield ``(sheet, sheet_no, row_index, cells)`` for the wanted sheets of one file."""
     zf = zipfile.ZipFile(io.BytesIO(content))
     shared = _shared_strings(zf)
-    for name, member in _sheet_targets(zf):
+    for number, (name, member) in enumerate(_sheet_targets(zf)):
         if sheets is not None and name not in sheets:
             continue
         first = None
@@ -108,7 +120,7 @@ def sheet_rows(content: bytes, sheets: Sequence[str] | None = None
                 if first is None:
                     first = phys
                 width = max(cells) + 1
-                yield name, phys - first, [cells.get(j) for j in range(width)]
+                yield name, number, phys - first, [cells.get(j) for j in range(width)]
 
 
 def _decode(sheets: Sequence[str] | None):
@@ -116,13 +128,13 @@ def _decode(sheets: Sequence[str] | None):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 chunk = []
-                for sheet, idx, cells in sheet_rows(content, sheets):
-                    chunk.append((path, sheet, idx, cells))
+                for sheet, number, idx, cells in sheet_rows(content, sheets):
+                    chunk.append((path, sheet, number, idx, cells))
                     if len(chunk) >= CHUNK_ROWS:
-                        yield pd.DataFrame(chunk, columns=["path", "sheet", "row_index", "cells"])
+                        yield pd.DataFrame(chunk, columns=["path", "sheet", "sheet_no", "row_index", "cells"])
                         chunk = []
                 if chunk:
-                    yield pd.DataFrame(chunk, columns=["path", "sheet", "row_index", "cells"])
+                    yield pd.DataFrame(chunk, columns=["path", "sheet", "sheet_no", "row_index", "cells"])
     return run
 
 

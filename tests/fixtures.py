@@ -8,50 +8,50 @@ S = T.StringType()
 H = T.DecimalType(18, 2)
 
 EXEMPT_MAP = [
-    ("Franchise Field Operations", "Brevard, FL", "Brevard", "Distribution"),
-    ("MRC & Field Service", "Brevard, FL", "Brevard", "Equipment Services"),
-    ("Marketing", "Broward, FL", "Broward", "Sales"),
-    ("Franchise Field Operations", "Ocala, FL", "Ocala", "Distribution"),
+    ("Field Crew One", "Ashby, FL", "Ashby", "Dispatch"),
+    ("Depot & Site Service", "Ashby, FL", "Ashby", "Tool Care"),
+    ("Marketing", "Birchley, FL", "Birchley", "Sales"),
+    ("Field Crew One", "Oakdene, FL", "Oakdene", "Dispatch"),
 ]
 EXEMPT = [
-    ("Franchise Field Operations", "Brevard, FL", 160),
-    ("Franchise Field Operations", "Brevard, FL", None),
-    ("MRC & Field Service", "Brevard, FL", 80),
-    ("Marketing", "Broward, FL", 40),
-    ("New Unit", "Brevard, FL", 99),
-    ("New Unit", "Brevard, FL", 1),
-    (None, "Brevard, FL", 5),
-    ("Franchise Field Operations", "Ocala, FL", 0),
+    ("Field Crew One", "Ashby, FL", 160),
+    ("Field Crew One", "Ashby, FL", None),
+    ("Depot & Site Service", "Ashby, FL", 80),
+    ("Marketing", "Birchley, FL", 40),
+    ("New Unit", "Ashby, FL", 99),
+    ("New Unit", "Ashby, FL", 1),
+    (None, "Ashby, FL", 5),
+    ("Field Crew One", "Oakdene, FL", 0),
 ]
 NONEXEMPT_MAP = [
-    ("Brevard SC Delv", "Brevard", "Distribution"),
-    ("Brevard SC Whse", "Brevard", "Distribution"),
-    ("Brevard SC EQSV", "Brevard", "Equipment Services"),
-    ("Brevard SC Fleet", "Brevard", "Fleet"),
-    ("HOLLYWOOD SC DELV", "Broward", "Distribution"),
+    ("Ashby CC Delv", "Ashby", "Dispatch"),
+    ("Ashby CC Whse", "Ashby", "Dispatch"),
+    ("Ashby CC Tool", "Ashby", "Tool Care"),
+    ("Ashby CC Fleet", "Ashby", "Fleet"),
+    ("PINEMOOR CC DELV", "Birchley", "Dispatch"),
 ]
 NONEXEMPT = [
-    ("Brevard SC Delv", "Regular", 100),
-    ("Brevard SC Whse", "Regular", 50),
-    ("Brevard SC EQSV", "Overtime", None),
-    ("Brevard SC EQSV", "Regular", 30),
-    ("HOLLYWOOD SC DELV", "Regular", 70),
-    ("HOLLYWOOD SC DELV", "3C Sick Pay", 8),
-    ("HOLLYWOOD SC DELV", None, 9),
+    ("Ashby CC Delv", "Regular", 100),
+    ("Ashby CC Whse", "Regular", 50),
+    ("Ashby CC Tool", "Overtime", None),
+    ("Ashby CC Tool", "Regular", 30),
+    ("PINEMOOR CC DELV", "Regular", 70),
+    ("PINEMOOR CC DELV", "3C Sick Pay", 8),
+    ("PINEMOOR CC DELV", None, 9),
     ("UNKNOWN CC", "Regular", 11),
 ]
 LOCATION_MAP = [
-    ("BREVARD (COCOA) - DIST", "Brevard", "Distribution"),
-    ("BREVARD (COCOA) - ES", "Brevard", "Equipment Services"),
-    ("BROWARD - SALES", "Broward", "Sales"),
+    ("ASHBY (HILL) - DIST", "Ashby", "Dispatch"),
+    ("ASHBY (HILL) - ES", "Ashby", "Tool Care"),
+    ("BIRCHLEY - SALES", "Birchley", "Sales"),
 ]
 INCIDENTS_RAW = [
-    ("BREVARD (COCOA) - DIST", "43770", "3"),
-    ("BREVARD (COCOA) - DIST", "43799", "0"),
-    ("BROWARD - SALES", "43780", "0"),
+    ("ASHBY (HILL) - DIST", "43770", "3"),
+    ("ASHBY (HILL) - DIST", "43799", "0"),
+    ("BIRCHLEY - SALES", "43780", "0"),
     ("HEADQUARTERS - HQ", "43785", "2"),
-    ("BROWARD - SALES", "43800", "4"),
-    ("BREVARD (COCOA) - ES", "43790.5", None),
+    ("BIRCHLEY - SALES", "43800", "4"),
+    ("ASHBY (HILL) - ES", "43790.5", None),
 ]
 
 

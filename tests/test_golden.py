@@ -25,13 +25,13 @@ def test_exempt_report(spark):
     f = frames(spark)
     rep = exempt_report(f["exempt"], f["exempt_map"])
     assert rows(rep, "facility", "section", "row_kind", "hours") == sorted([
-        ("Brevard", "Total", "facility", 240.0),
-        ("Brevard", "Distribution", "section", 160.0),
-        ("Brevard", "Equipment Services", "section", 80.0),
-        ("Broward", "Total", "facility", 40.0),
-        ("Broward", "Sales", "section", 40.0),
-        ("Ocala", "Total", "facility", None),
-        ("Ocala", "Distribution", "section", None),
+        ("Ashby", "Total", "facility", 240.0),
+        ("Ashby", "Dispatch", "section", 160.0),
+        ("Ashby", "Tool Care", "section", 80.0),
+        ("Birchley", "Total", "facility", 40.0),
+        ("Birchley", "Sales", "section", 40.0),
+        ("Oakdene", "Total", "facility", None),
+        ("Oakdene", "Dispatch", "section", None),
         ("Total", "Total", "grand", 280.0),
     ], key=lambda t: tuple((x is None, x) for x in t))
 
@@ -41,11 +41,11 @@ def test_nonexempt_report(spark):
     rep = nonexempt_report(f["nonexempt"], f["nonexempt_map"])
     got = rows(rep, "facility", "section", "row_kind", "hours")
     assert got == sorted([
-        ("Brevard", "Total", "facility", 150.0),
-        ("Brevard", "Distribution", "section", 150.0),
-        ("Brevard", "Equipment Services", "section", None),
-        ("Broward", "Total", "facility", 70.0),
-        ("Broward", "Distribution", "section", 70.0),
+        ("Ashby", "Total", "facility", 150.0),
+        ("Ashby", "Dispatch", "section", 150.0),
+        ("Ashby", "Tool Care", "section", None),
+        ("Birchley", "Total", "facility", 70.0),
+        ("Birchley", "Dispatch", "section", 70.0),
         ("Total", "Total", "grand", 231.0),
         (None, "Total", "facility", 11.0),
         (None, None, "section", 11.0),
@@ -53,14 +53,14 @@ def test_nonexempt_report(spark):
 
 
 EXPECTED = [
-    ("Brevard", "Total", "facility", 390.0, 3, 1),
-    ("Brevard", "Distribution", "section", 310.0, 2, 1),
-    ("Brevard", "Equipment Services", "section", 80.0, 1, None),
-    ("Broward", "Total", "facility", 110.0, 1, None),
-    ("Broward", "Distribution", "section", 70.0, None, None),
-    ("Broward", "Sales", "section", 40.0, 1, None),
-    ("Ocala", "Total", "facility", 0.0, None, None),
-    ("Ocala", "Distribution", "section", 0.0, None, None),
+    ("Ashby", "Total", "facility", 390.0, 3, 1),
+    ("Ashby", "Dispatch", "section", 310.0, 2, 1),
+    ("Ashby", "Tool Care", "section", 80.0, 1, None),
+    ("Birchley", "Total", "facility", 110.0, 1, None),
+    ("Birchley", "Dispatch", "section", 70.0, None, None),
+    ("Birchley", "Sales", "section", 40.0, 1, None),
+    ("Oakdene", "Total", "facility", 0.0, None, None),
+    ("Oakdene", "Dispatch", "section", 0.0, None, None),
     ("Total", "Total", "grand", 511.0, 5, 2),
     (None, "Total", "facility", 11.0, 1, 1),
     (None, None, "section", 11.0, 1, 1),
@@ -109,11 +109,11 @@ def test_incident_report_alone(spark):
     rep = incident_report(inc, f["location_map"], 2019, "November")
     got = rows(rep, "facility", "section", "row_kind", "or_cases", "lt_cases")
     assert got == sorted([
-        ("Brevard", "Total", "facility", 3, 1),
-        ("Brevard", "Distribution", "section", 2, 1),
-        ("Brevard", "Equipment Services", "section", 1, None),
-        ("Broward", "Total", "facility", 1, None),
-        ("Broward", "Sales", "section", 1, None),
+        ("Ashby", "Total", "facility", 3, 1),
+        ("Ashby", "Dispatch", "section", 2, 1),
+        ("Ashby", "Tool Care", "section", 1, None),
+        ("Birchley", "Total", "facility", 1, None),
+        ("Birchley", "Sales", "section", 1, None),
         ("Total", "Total", "grand", 5, 2),
         (None, "Total", "facility", 1, 1),
         (None, None, "section", 1, 1),
@@ -123,7 +123,7 @@ def test_incident_report_alone(spark):
 def test_unmapped_and_status(spark):
     f = frames(spark)
     um = unmapped_report(f["exempt"], f["exempt_map"], EXEMPT_KEYS)
-    assert rows(um, "l4_org_unit", "personnel_area") == [("New Unit", "Brevard, FL")]
+    assert rows(um, "l4_org_unit", "personnel_area") == [("New Unit", "Ashby, FL")]
     st = coding_status(um).collect()
     assert st[0].unmapped_count == 1
     ok = coding_status(unmapped_report(f["exempt"].filter("l4_org_unit != 'New Unit'"),
@@ -134,10 +134,20 @@ def test_unmapped_and_status(spark):
 def test_label_alert(spark):
     f = frames(spark)
     inc = typed_incidents(f["incidents_raw"])
-    rules = spark.createDataFrame([(HQ_LOCATION, HQ_MESSAGE)], "location string, message string")
-    got = label_alerts(inc, rules, 2019, "November").collect()
-    assert [(r.location, r.message) for r in got] == [(HQ_LOCATION, HQ_MESSAGE)]
-    assert label_alerts(inc, rules, 2019, "December").count() == 0
+    # the headquarters rule needs no rule table
+    got = label_alerts(inc, None, 2019, "November").collect()
+    assert [(r.value, r.message) for r in got] == [(HQ_LOCATION, HQ_MESSAGE)]
+    assert label_alerts(inc, None, 2019, "December").count() == 0
+
+
+def test_label_alerts_on_two_columns(spark):
+    inc = spark.createDataFrame([("L1", "open"), ("L2", "closed"), (None, None)],
+                                "location string, state string")
+    rules = spark.createDataFrame(
+        [("location", "L1", "m1"), ("state", "closed", "m2"), ("state", "L1", "never"),
+         ("absent", "x", "never")], "column string, value string, message string")
+    got = label_alerts(inc, rules).collect()
+    assert sorted(r.message for r in got) == ["m1", "m2"]
 
 
 def test_serial_dates(spark):
@@ -151,9 +161,8 @@ def test_monthly_reports_share_one_hours_computation(spark):
     from sitetally.plans.monthly import monthly_reports
     f = frames(spark)
     inc = typed_incidents(f["incidents_raw"])
-    rules = spark.createDataFrame([(HQ_LOCATION, HQ_MESSAGE)], "location string, message string")
     m = monthly_reports(f["exempt"], f["exempt_map"], f["nonexempt"], f["nonexempt_map"],
-                        inc, f["location_map"], 2019, "November", alert_rules=rules)
+                        inc, f["location_map"], 2019, "November")
     got = rows(m.combined, "facility", "section", "row_kind", "hours", "or_cases", "lt_cases")
     assert got == sorted(EXPECTED, key=lambda t: tuple((x is None, x) for x in t))
     hours = rows(m.hours, "facility", "section", "row_kind", "hours")

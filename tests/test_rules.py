@@ -138,8 +138,8 @@ def test_in_period_on_dates(spark):
 
 def test_validate_mapping_finds_blank_duplicate_and_drift(spark):
     m = spark.createDataFrame(
-        [("", "Brevard", "Fleet"), ("", "Broward", "Fleet"), ("a", "Brevard", "Equipment Service"),
-         ("b", "Brevard", "Equipment Services"), (None, "Ocala", "Sales"), ("a", "Ocala", "Sales")],
+        [("", "Ashby", "Fleet"), ("", "Birchley", "Fleet"), ("a", "Ashby", "Tool Cares"),
+         ("b", "Ashby", "Tool Care"), (None, "Oakdene", "Sales"), ("a", "Oakdene", "Sales")],
         NEM)
     issues = table(validate_mapping(m, ["cost_center"]), "issue", "key")
     assert ("blank_key", "") in issues
@@ -257,23 +257,23 @@ def test_v4_input_guard(spark):
 
 def test_label_drift_across_mappings(spark):
     from sitetally.operators.mapping import label_drift
-    a = spark.createDataFrame([("k1", "Miami Dade", "Sales"), ("k2", "Ocala", "Sales"),
-                               ("k3", "Brevard", "Fleet")], NEM)
-    b = spark.createDataFrame([("k1", "South Dade", "Sales"), ("k2", "OCALA ", "Sales"),
-                               ("k3", "Brevard", "Fleet")], NEM)
+    a = spark.createDataFrame([("k1", "Port Lark", "Sales"), ("k2", "Oakdene", "Sales"),
+                               ("k3", "Ashby", "Fleet")], NEM)
+    b = spark.createDataFrame([("k1", "South Dade", "Sales"), ("k2", "OAKDENE ", "Sales"),
+                               ("k3", "Ashby", "Fleet")], NEM)
     got = {(r.label, r.sources, r.issue) for r in label_drift({"exempt": a, "incidents": b}).collect()}
-    assert ("OCALA ", "incidents", "spelling") in got and ("Ocala", "exempt", "spelling") in got
-    assert ("Miami Dade", "exempt", "missing") in got
+    assert ("OAKDENE ", "incidents", "spelling") in got and ("Oakdene", "exempt", "spelling") in got
+    assert ("Port Lark", "exempt", "missing") in got
     assert ("South Dade", "incidents", "missing") in got
-    assert not any(lbl == "Brevard" for lbl, _, _ in got)
+    assert not any(lbl == "Ashby" for lbl, _, _ in got)
 
 
 def test_key_spacing_variants_are_reported(spark):
-    m = spark.createDataFrame([("OCALA - SALES", "Ocala", "Sales"), ("OCALA- SALES", "Ocala", "Sales"),
-                               ("TAMPA - DIST", "Tampa", "Distribution")], NEM)
+    m = spark.createDataFrame([("OAKDENE - SALES", "Oakdene", "Sales"), ("OAKDENE- SALES", "Oakdene", "Sales"),
+                               ("THORNBY - DIST", "Thornby", "Dispatch")], NEM)
     got = sorted(r.key for r in validate_mapping(m, ["cost_center"]).collect()
                  if r.issue == "key_variant")
-    assert got == ["OCALA - SALES", "OCALA- SALES"]
+    assert got == ["OAKDENE - SALES", "OAKDENE- SALES"]
 
 
 def test_previous_period_column(spark):
@@ -297,26 +297,96 @@ def test_unmapped_keys_fallback_matches_broadcast(spark):
     f = frames(spark)
     a = unmapped_keys(f["exempt"], f["exempt_map"], EXEMPT_KEYS)
     b = unmapped_keys(f["exempt"], f["exempt_map"], EXEMPT_KEYS, broadcast_rows=0)
-    assert table(a, *EXEMPT_KEYS) == table(b, *EXEMPT_KEYS) == [("New Unit", "Brevard, FL")]
+    assert table(a, *EXEMPT_KEYS) == table(b, *EXEMPT_KEYS) == [("New Unit", "Ashby, FL")]
+
+
+def test_hours_are_not_rounded_before_the_sum(spark):
+    from sitetally.functions.measures import sum_hours
+    from sitetally.plans.expenditures import expenditure_report
+
+    def total(values, dtype):
+        df = spark.createDataFrame([("c", v) for v in values], f"cost_center string, hours {dtype}")
+        return expenditure_report(df).first().hours
+
+    assert total([0.333] * 3, "double") == 0.999
+    assert total([0.125, 0.125], "double") == 0.25
+    assert total([-0.125, 0.5], "double") == 0.375
+    assert total([Decimal("9007199254740.01")] * 2, "decimal(18,2)") == 18014398509480.02
+    # exact where a double is not
+    df = spark.createDataFrame([(Decimal("900719925474.123456789"),)] * 3, "x decimal(28,9)")
+    assert df.agg(sum_hours("x", df.schema["x"].dataType).alias("s")).first().s == Decimal("2702159776422.370370367")
+
+
+def test_nan_and_infinity_are_no_hours(spark):
+    from sitetally.functions.dates import serial_to_date
+    from sitetally.functions.measures import sum_hours
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.5,), (None,)], "x double")
+    assert float(df.agg(sum_hours("x").alias("s")).first().s) == 1.5
+    t = spark.createDataFrame([("NaN",), ("43770",)], "d string")
+    assert [r.d is None for r in t.select(serial_to_date("d").alias("d")).collect()] == [True, False]
+
+
+def test_null_section_pair_is_shown_empty(spark):
+    m = spark.createDataFrame([("u", "a", "F1", None), ("u", "b", "F1", "S1")], EXM)
+    facts = spark.createDataFrame([("u", "a", Decimal(5)), ("u", "b", Decimal(1))], EX)
+    from sitetally.plans.hours import exempt_report
+    got = {(r.facility, r.section, r.row_kind): r.hours
+           for r in exempt_report(facts, m, labels=False).collect()}
+    assert got == {("F1", None, "section"): None, ("F1", "S1", "section"): 1.0,
+                   ("F1", None, "facility"): 1.0, (None, None, "grand"): 1.0}
+
+
+def test_blank_and_null_mapping_keys_match_nothing(spark):
+    from sitetally.plans.hours import nonexempt_report
+    m = spark.createDataFrame([("", "F", "S"), (" ", "F", "S"), (None, "F", "S"), (None, "F", "S"),
+                               ("k", "F", "S")], NEM)
+    facts = spark.createDataFrame([("k", "W", Decimal(1)), ("", "W", Decimal(2)), (None, "W", Decimal(4))], NE)
+    for limit in (200_000, 0):
+        got = {(r.facility, r.row_kind): r.hours for r in
+               nonexempt_report(facts, m, [], labels=False, broadcast_rows=limit).collect()
+               if r.row_kind == "facility"}
+        assert got == {("F", "facility"): 1.0, (None, "facility"): 6.0}
+
+
+def test_mapping_overwritten_in_place_is_checked_anew(spark, tmp_path):
+    from sitetally.plans.hours import nonexempt_report
+    path = str(tmp_path / "map.csv")
+
+    def report(rows):
+        with open(path, "w") as fh:
+            fh.write("cost_center,facility,section\n" + "\n".join(rows) + "\n")
+        m = spark.read.schema(NEM).csv(path, header=True)
+        facts = spark.createDataFrame([("k", "W", Decimal(1))], NE)
+        return [r.hours for r in nonexempt_report(facts, m, [], labels=False).collect()
+                if r.row_kind == "grand"]
+
+    assert report(["k,F,S"]) == [1.0]
+    with pytest.raises(ValueError, match="several rows for key"):
+        report(["k,F,S", "k,F,S"])
+    assert report(["k,F,S"]) == [1.0]
 
 
-def test_cents_round_half_away_from_zero(spark):
-    from sitetally.functions.measures import to_cents
-    df = spark.createDataFrame([(0.125,), (-0.125,), (2.5,), (1.0,), (None,), (12345678.91,)],
-                               "x double")
-    got = [r.c for r in df.select(to_cents("x").alias("c")).collect()]
-    assert got == [13, -13, 250, 100, None, 1234567891]
-    dec = spark.createDataFrame([(Decimal("1.01"),), (Decimal("99999999999.99"),)],
-                                "x decimal(18,2)")
-    assert [r.c for r in dec.select(to_cents("x").alias("c")).collect()] == [101, 9999999999999]
+def test_per_period_scaffold_at_any_mapping_size(spark):
+    from sitetally.plans.hours import exempt_report
+    big = spark.range(30_000).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("l4_org_unit"), F.lit("p").alias("personnel_area"),
+        F.concat(F.lit("F"), (F.col("id") % 3).cast("string")).alias("facility"), F.lit("S").alias("section"))
+    facts = spark.createDataFrame([("u1", "p", Decimal(1), 2001), ("u2", "p", Decimal(2), 2002)],
+                                  EX + ", period int")
+    want = None
+    for limit in (200_000, 10_000, 0):
+        got = sorted(map(tuple, exempt_report(facts, big, by=["period"], broadcast_rows=limit).collect()),
+                     key=str)
+        want = want or got
+        assert got == want and len(got) == 2 * (3 + 3 + 1)
 
 
 def test_edge_fixtures(spark):
     """FIXTURES.md edge list: all wage types excluded; en dash in a key; a
     key that differs only in spacing around its hyphen; malformed serials."""
-    m = spark.createDataFrame([("Ops – North", "F", "S"), ("OCALA - SALES", "F", "T")], NEM)
+    m = spark.createDataFrame([("Ops – North", "F", "S"), ("OAKDENE - SALES", "F", "T")], NEM)
     facts = spark.createDataFrame(
-        [("Ops – North", "R", Decimal(2)), ("OCALA- SALES", "R", Decimal(3)),
+        [("Ops – North", "R", Decimal(2)), ("OAKDENE- SALES", "R", Decimal(3)),
          ("Ops – North", "3C Sick Pay", Decimal(5))], NE)
     rep = nonexempt_report(facts, m, ["3C Sick Pay"], labels=False)
     got = table(rep, "facility", "section", "row_kind", "hours")
@@ -325,7 +395,7 @@ def test_edge_fixtures(spark):
     everything = nonexempt_report(facts, m, ["R", "3C Sick Pay"], labels=False)
     assert table(everything, "row_kind", "hours") == [("grand", None)]
     issues = {r.issue for r in validate_mapping(
-        m.unionByName(spark.createDataFrame([("OCALA- SALES", "F", "T")], NEM)),
+        m.unionByName(spark.createDataFrame([("OAKDENE- SALES", "F", "T")], NEM)),
         ["cost_center"]).collect()}
     assert "key_variant" in issues
     from sitetally.sources.tables import typed_incidents

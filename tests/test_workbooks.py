@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from sitetally.plans.expenditures import expenditure_report
 from sitetally.plans.hours import exempt_report, nonexempt_report
 from sitetally.plans.incidents import incident_report
@@ -36,9 +38,9 @@ def test_sheet_rows_decoder():
     _books(folder)
     with open(os.path.join(folder, "osha.xlsx"), "rb") as fh:
         rows = list(sheet_rows(fh.read()))
-    assert rows[0] == ("Data", 0, ["Incident report"])
-    assert rows[3] == ("Data", 3, ["Location", "Loss Date", "Lost Work Days"])
-    assert rows[-1][2] == ["BREVARD (COCOA) - ES", "43790.5"]
+    assert rows[0] == ("Data", 0, 0, ["Incident report"])
+    assert rows[3] == ("Data", 0, 3, ["Location", "Loss Date", "Lost Work Days"])
+    assert rows[-1][3] == ["ASHBY (HILL) - ES", "43790.5"]
 
 
 def test_ingest_and_reports(spark):
@@ -54,11 +56,11 @@ def test_ingest_and_reports(spark):
                                                         & ~rows.path.endswith("nonexempt.xlsx"))),
                        f["exempt_map"])
     got = {(r.facility, r.section): r.hours for r in ex.collect()}
-    assert got[("Brevard", "Total")] == 240.0 and got[("Total", "Total")] == 280.0
+    assert got[("Ashby", "Total")] == 240.0 and got[("Total", "Total")] == 280.0
 
     ne = nonexempt_report(layouts.nonexempt_hours(rows), f["nonexempt_map"])
     got = {(r.facility, r.section): r.hours for r in ne.collect()}
-    assert got[("Total", "Total")] == 231.0 and got[("Brevard", "Equipment Services")] is None
+    assert got[("Total", "Total")] == 231.0 and got[("Ashby", "Tool Care")] is None
 
     inc = incident_report(layouts.incidents(rows), f["location_map"], 2019, "November")
     got = {(r.facility, r.section): (r.or_cases, r.lt_cases) for r in inc.collect()}
@@ -88,7 +90,8 @@ def test_command_line_run(spark):
                    fx.EXEMPT_MAP)
     nm = write_csv("nonexempt_map.csv", ["Cost Center Desc.", "Facility", "Section"], fx.NONEXEMPT_MAP)
     lm = write_csv("location_map.csv", ["Location", "Facility", "Section"], fx.LOCATION_MAP)
-    rules = write_csv("rules.csv", ["Location", "Message"], [("HEADQUARTERS - HQ", "recode HQ")])
+    rules = write_csv("rules.csv", ["Column", "Value", "Message"],
+                      [("location", "HEADQUARTERS - HQ", "recode HQ")])
     out = os.path.join(folder, "out")
     args = parser().parse_args([
         "--exempt", os.path.join(folder, "exempt.xlsx"),
@@ -106,3 +109,48 @@ def test_command_line_run(spark):
     assert got == want
     with open(glob.glob(os.path.join(written["alerts"], "*.csv"))[0], encoding="utf-8") as fh:
         assert "HEADQUARTERS - HQ" in fh.read()
+
+
+def test_half_a_period_is_refused_and_month_numbers_work(spark):
+    from sitetally.__main__ import parser, run
+    from sitetally.functions.dates import month_number
+    args = parser().parse_args(["--exempt", "a", "--nonexempt", "b", "--incidents", "c", "--exempt-map", "d",
+                                "--nonexempt-map", "e", "--location-map", "f", "--out", "o", "--month", "11"])
+    with pytest.raises(ValueError, match="both --year and --month"):
+        run(spark, args)
+    assert month_number("11") == month_number("November") == 11
+
+
+def _raw(spark, rows):
+    return spark.createDataFrame(rows, "path string, sheet string, sheet_no int, row_index long, "
+                                       "cells array<string>")
+
+
+def test_repeated_headers_and_first_sheet(spark):
+    from sitetally.sources.sheets import project_fields, promote_header, sheet_table
+    raw = _raw(spark, [("p", "A", 0, 0, ["Location", "Notes", "Notes", ""]), ("p", "A", 0, 1, ["x", "1", "2"]),
+                       ("p", "A", 0, 2, ["y"]), ("p", "B", 1, 0, ["Location", "Other"]),
+                       ("p", "B", 1, 1, ["z", "9"])])
+    cols = {"location": "Location", "notes": "Notes", "none": "Missing"}
+    got = sorted(map(tuple, sheet_table(raw, cols, sheet=0).select("location", "notes", "none").collect()))
+    assert got == [("x", "1", None), ("y", None, None)]
+    steps = project_fields(promote_header(raw.where("sheet_no = 0")), cols)
+    assert sorted(map(tuple, steps.select("location", "notes", "none").collect())) == got
+    assert sheet_table(raw, {"location": "Location"}, sheet="B").count() == 1
+    assert sheet_table(raw, {"location": "Location"}).count() == 3
+
+
+def test_raw_rows_are_not_moved(spark):
+    """The sheet index is the build side, and raw rows go through no exchange."""
+    from sitetally.sources.sheets import sheet_table
+    raw = _raw(spark, [("p", "A", 0, i, ["h" if i == 0 else str(i)]) for i in range(50)])
+    for limit in (None, "1"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        try:
+            if limit:
+                spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            plan = sheet_table(raw, {"h": "h"})._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert "BroadcastHashJoin" in plan and "BuildRight" in plan
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
