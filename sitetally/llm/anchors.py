@@ -54,10 +54,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor hash) of every anchor of ``data``, in order."""
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, anchor hash, anchor position) of every anchor, in order."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    firsts, counts, keys = [], [], []
+    firsts, counts, keys, places = [], [], [], []
     for start in range(0, len(raw) - length + 1, _CHUNK):
         part = raw[start:start + _CHUNK + length - 1]
         h = gram_hashes(part)
@@ -67,7 +67,28 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         firsts.append(first + start)
         counts.append(np.diff(np.append(first, len(least))))
         keys.append((least[first] >> _POSITION_BITS).astype(np.int64))
+        places.append((least[first] & _MASK).astype(np.int64) + start)
     if not firsts:
         empty = np.empty(0, dtype=np.int64)
-        return empty, empty, empty
-    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(keys)
+        return empty, empty, empty, empty
+    return tuple(np.concatenate(x) for x in (firsts, counts, keys, places))
+
+
+SCREENS = 4
+
+
+def screens(data: bytes, first: int, n: int, place: int, length: int) -> list[int | None]:
+    """Hashes of ``SCREENS`` stretches around an anchor, NULL where the context ends before.
+
+    A window that starts ``a`` bytes left of the anchor covers the stretch number
+    a // step, counted from the one that starts at the anchor.  So two contexts
+    share a window only if they share one of their stretches.
+    """
+    step = (length - GRAM) // SCREENS
+    size, end = GRAM + (SCREENS - 1) * step, first + n + length - 1
+    out = []
+    for k in range(SCREENS):
+        at = place - k * step
+        out.append(xxhash.xxh32_intdigest(data[at:at + size]) - (1 << 31)
+                   if at >= first and at + size <= end else None)
+    return out

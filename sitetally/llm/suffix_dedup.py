@@ -7,8 +7,9 @@ Sharding.  A 400-byte window is dealt by its anchor hash (``anchors``), which
 depends on its bytes alone, so equal windows meet in one shard.  Anchors whose
 hash occurs once speak for no repeated window and are dropped.  Where all
 contexts of a hash are the same bytes, all their windows repeat; copies, however
-many, are thus settled by counting.  Where contexts differ, one of each sort goes
-to the hash's shard, which sorts the suffixes of all its contexts
+many, are thus settled by counting.  Where contexts differ, those that share one of
+four stretches around the anchor with another (every shared window covers one) go,
+one of each sort, to the hash's shard, which sorts the suffixes of all its contexts
 (``induced_sort``: priority queues in the shared folder once they outgrow memory)
 and reports the windows whose common prefix with a neighbour reaches 400.
 
@@ -31,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import anchors
+from .anchors import anchors, screens
 from .common import importable, new_folder, read_table, staged, whole_text
 from .induced_sort import Scratch, repeated_starts
 
 LENGTH = 400
 SHARD_BYTES = 8 << 20
 
-ANCHOR_SCHEMA = "t long, id string, first int, n int, key long, ctx long"
+ANCHOR_SCHEMA = "t long, id string, first int, n int, key long, ctx long, screens array<int>"
 CONTEXT_SCHEMA = "key long, ctx long, copies long, n int, bytes binary"
 WINDOW_SCHEMA = "key long, ctx long, start int, stop int"
 
@@ -55,11 +56,13 @@ def _find_anchors(length: int):
                 data = text.encode()
                 if len(data) < length:
                     continue
-                first, n, key = anchors(data, length)
+                first, n, key, place = anchors(data, length)
                 ctx = np.fromiter((xxhash.xxh3_64_intdigest(_context(data, a, b, length))
                                    for a, b in zip(first.tolist(), n.tolist())), np.uint64, len(first))
                 held.append(pd.DataFrame({"t": t, "id": row_id, "first": first, "n": n, "key": key,
-                                          "ctx": ctx.astype(np.int64)}))
+                                          "ctx": ctx.astype(np.int64), "screens": [
+                                              screens(data, a, b, p, length) for a, b, p in
+                                              zip(first.tolist(), n.tolist(), place.tolist())]}))
                 size += len(first)
                 if size > 50_000:
                     yield pd.concat(held)
@@ -90,7 +93,7 @@ def _sort_shard(length: int, scratch_uri: str):
                 rows.append((row.key, row.ctx, row.copies, row.n, len(row.bytes)))
         if not rows:
             return
-        key, ctx, copies, n, size = (np.array(x, dtype=np.int64) for x in zip(*rows))
+        key, ctx, copies, _, size = (np.array(x, dtype=np.int64) for x in zip(*rows))
         text = np.concatenate(parts)
         del parts
         scratch = Scratch(scratch_uri)
@@ -99,12 +102,11 @@ def _sort_shard(length: int, scratch_uri: str):
         finally:
             scratch.close()
         begin = 1 + np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-        # all windows of a context that occurs more than once repeat
-        for k in np.flatnonzero(copies > 1):
-            mask[begin[k]:begin[k] + n[k]] = True
         edge = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         of = np.searchsorted(begin, start, "right") - 1
+        asked = copies[of] == 1         # of contexts that occur twice all windows repeat anyway
+        start, stop, of = start[asked], stop[asked], of[asked]
         yield pd.DataFrame({"key": key[of], "ctx": ctx[of], "start": (start - begin[of]).astype(np.int32),
                             "stop": (stop - begin[of]).astype(np.int32)})
     return run
@@ -122,25 +124,37 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, shard_bytes: int =
     found = staged(texts.select("t", F.col("id").cast("string").alias("id"), "text")
                         .where(F.octet_length("text") >= length)
                         .mapInPandas(_find_anchors(length), ANCHOR_SCHEMA), "dedup-anchors")
-    shared = (found.groupBy("key").agg(F.count("*").alias("rows"), F.min("ctx").alias("low"),
-                                       F.max("ctx").alias("high"))
-                   .where("rows > 1").select("key", (F.col("low") != F.col("high")).alias("mixed")))
+    # staged by itself, so that the join deals both sides anew and can split a hot key
+    shared = staged(found.groupBy("key").agg(F.count("*").alias("rows"), F.min("ctx").alias("low"),
+                                             F.max("ctx").alias("high"))
+                         .where("rows > 1")
+                         .select("key", (F.col("low") != F.col("high")).alias("mixed")), "dedup-keys")
     shared = staged(found.join(shared, "key"), "dedup-shared")
     mixed = shared.where("mixed")
-    one_each = mixed.groupBy("key", "ctx").agg(
-        F.count("*").alias("copies"), F.min(F.struct("t", "id", "first", "n")).alias("at"))
-    wanted = staged(one_each.groupBy("at.t", "at.id").agg(
+    one_each = staged(mixed.groupBy("key", "ctx").agg(
+        F.count("*").alias("copies"), F.min(F.struct("t", "id", "first", "n")).alias("at"),
+        F.first("screens").alias("screens")), "dedup-contexts")
+    stretches = one_each.select("key", "ctx", "copies", F.posexplode("screens").alias("k", "stretch")) \
+        .where("stretch is not null")
+    met = (stretches.groupBy("key", "k", "stretch").agg(F.count("*").alias("rows"), F.min("copies").alias("least"))
+                    .where("rows > 1 and least = 1").drop("rows", "least"))
+    doubtful = stretches.join(met, ["key", "k", "stretch"]).select("key", "ctx").distinct()
+    wanted = staged(one_each.drop("screens").join(doubtful, ["key", "ctx"]).groupBy("at.t", "at.id").agg(
         F.collect_list(F.struct("key", "ctx", "copies", "at.first", "at.n")).alias("wanted"),
         F.sum(F.col("at.n") + (length - 1)).alias("size")), "dedup-wanted")
     total = wanted.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     same = F.col("w_t").eqNullSafe(F.col("t")) & F.col("w_id").eqNullSafe(F.col("id").cast("string"))
-    contexts = (texts.join(wanted.select(F.col("t").alias("w_t"), F.col("id").alias("w_id"), "wanted"), same)
+    # a merge join whatever the sizes: texts are dealt alike at every scale
+    contexts = (texts.join(wanted.select(F.col("t").alias("w_t"), F.col("id").alias("w_id"), "wanted")
+                                 .hint("merge"), same)
                      .select("text", "wanted").mapInPandas(_cut_contexts(length), CONTEXT_SCHEMA))
     windows = staged(contexts.repartition(shards, "key").mapInPandas(
         _sort_shard(length, new_folder(spark, "dedup-queues")), WINDOW_SCHEMA), "dedup-windows")
     settled = shared.where("not mixed").select(
         "t", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop"))
+    windows = windows.unionByName(one_each.where("copies > 1").select(
+        "key", "ctx", F.lit(0).alias("start"), F.col("at.n").alias("stop")))
     sorted_out = mixed.join(windows, ["key", "ctx"]).select(
         "t", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
     return settled.unionByName(sorted_out)
@@ -179,7 +193,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         F.concat(acc["out"], F.substring(data, acc["at"] + 1, s["start"] - acc["at"])).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(data, acc["at"] + 1, F.length(data))))
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    return texts.join(spans, texts["t"] == spans["s_t"], "left").select(
+    return texts.join(spans.hint("merge"), texts["t"] == spans["s_t"], "left").select(
         F.col("id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"),
         F.coalesce("spans", none).alias("spans"),
         F.when(F.col("spans").isNull(), data).otherwise(kept).alias("kept"))

@@ -58,7 +58,7 @@ def test_equal_windows_have_equal_anchors():
     texts += [b"ab" * 2000]
     seen = {}
     for text in texts:
-        first, n, key = anc.anchors(text, 400)
+        first, n, key, _ = anc.anchors(text, 400)
         assert first.tolist() == [0, *np.cumsum(n)[:-1].tolist()] and int(n.sum()) == len(text) - 399
         for a, c, k in zip(first.tolist(), n.tolist(), key.tolist()):
             for s in range(a, a + c, 7):
