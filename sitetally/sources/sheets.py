@@ -30,33 +30,50 @@ def skip_rows(rows: DataFrame, k: int) -> DataFrame:
 
 MAX_INDEX_ROWS = 50_000
 MAX_INDEX_BYTES = 32 * 1024 * 1024
+MAX_HEADER_PLACES = 100
 
 
-def _with_index(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """``rows`` joined to the index of their sheet, by broadcast if it is small."""
+def _small(index: DataFrame) -> list | None:
+    """Rows of a sheet index if it is small enough to send along, else None."""
     size = F.octet_length(F.to_json(F.struct(*index.columns)))
-    counted = index.withColumn("_size", size)
-    few = counted.limit(MAX_INDEX_ROWS + 1).collect()
+    few = index.withColumn("_size", size).limit(MAX_INDEX_ROWS + 1).collect()
     if len(few) > MAX_INDEX_ROWS or sum(r["_size"] for r in few) > MAX_INDEX_BYTES:
+        return None
+    return [tuple(r)[:-1] for r in few]
+
+
+def _with_index(rows: DataFrame, index: DataFrame, few: list | None) -> DataFrame:
+    """``rows`` joined to the index of their sheet: by broadcast of its rows ``few``,
+    or by a plain join if it was too large to collect."""
+    if few is None:
         return rows.join(index, on=list(FILE_KEYS))
-    local = rows.sparkSession.createDataFrame([tuple(r)[:-1] for r in few], index.schema)
+    local = rows.sparkSession.createDataFrame(few, index.schema)
     return rows.join(F.broadcast(local), on=list(FILE_KEYS))
 
 
+def _bounds(rows: DataFrame) -> DataFrame:
+    """One row per file: first and last row index (a hash aggregate that reads no cells)."""
+    return rows.groupBy(*FILE_KEYS).agg(F.min("row_index").alias("_first"),
+                                        F.max("row_index").alias("_last"))
+
+
 def drop_footer(rows: DataFrame, k: int) -> DataFrame:
     """Drop the last ``k`` rows of every file (``head(-k)``)."""
-    last = rows.groupBy(*FILE_KEYS).agg(F.max("row_index").alias("_last"))
-    return (_with_index(rows, last)
+    last = _bounds(rows).drop("_first")
+    return (_with_index(rows, last, _small(last))
             .filter(F.col("row_index") <= F.col("_last") - F.lit(k))
             .drop("_last"))
 
 
-def _file_bounds(rows: DataFrame) -> DataFrame:
-    """One row per file: header cells (first row, trimmed), first and last index."""
-    return rows.groupBy(*FILE_KEYS).agg(
-        F.min("row_index").alias("_first"),
-        F.max("row_index").alias("_last"),
-        F.transform(F.min_by("cells", "row_index"), F.trim).alias("_header"))
+def _headers(rows: DataFrame) -> DataFrame:
+    """One row per file: first and last index and the trimmed cells of the first row."""
+    bounds = _bounds(rows)
+    few = _small(bounds)
+    top = rows
+    if few is not None and len(firsts := {r[2] for r in few}) <= MAX_HEADER_PLACES:
+        top = rows.filter(F.col("row_index").isin(sorted(firsts)))      # pushed to the scan
+    return (_with_index(top, bounds, few).filter("row_index = _first")
+            .select(*FILE_KEYS, "_first", "_last", F.transform("cells", F.trim).alias("_header")))
 
 
 def promote_header(rows: DataFrame) -> DataFrame:
@@ -65,7 +82,8 @@ def promote_header(rows: DataFrame) -> DataFrame:
     Returns the rows after it with ``cells`` and the sheet's ``header``; each file
     may order its columns differently.
     """
-    data = _with_index(rows, _file_bounds(rows)).filter(F.col("row_index") > F.col("_first"))
+    index = _headers(rows)
+    data = _with_index(rows, index, _small(index)).filter(F.col("row_index") > F.col("_first"))
     return data.select(*FILE_KEYS, "row_index", F.col("_header").alias("header"), "cells")
 
 
@@ -91,8 +109,8 @@ def sheet_table(rows: DataFrame, columns: Mapping[str, str] | Sequence[str], ski
     rows, select ``columns``.
 
     Column positions, header row and last row come from one index row per sheet
-    (same result as ``skip_rows`` -> ``promote_header`` -> ``drop_footer``, one pass
-    over the rows for the index and one for the table).
+    (same result as ``skip_rows`` -> ``promote_header`` -> ``drop_footer``: a pass that
+    reads no cells, one over the header rows and one for the table).
     """
     from sitetally.sources.tables import snake
     if not isinstance(columns, Mapping):
@@ -103,8 +121,8 @@ def sheet_table(rows: DataFrame, columns: Mapping[str, str] | Sequence[str], ski
         rows = skip_rows(rows, skip)
     places = [F.nullif(F.array_position("_header", F.lit(h)), F.lit(0)).cast("int").alias(f"_at_{out}")
               for out, h in columns.items()]
-    index = _file_bounds(rows).select(*FILE_KEYS, "_first", "_last", *places)
-    return (_with_index(rows, index)
+    index = _headers(rows).select(*FILE_KEYS, "_first", "_last", *places)
+    return (_with_index(rows, index, _small(index))
             .filter((F.col("row_index") > F.col("_first"))
                     & (F.col("row_index") <= F.col("_last") - F.lit(footer)))
             .select(*FILE_KEYS, "row_index",
