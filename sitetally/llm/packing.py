@@ -134,10 +134,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     vocabulary = vocabulary or default_vocabulary()
     chosen_type = docs.schema[id_col].dataType
     chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = chosen.rdd.getNumPartitions()
     pieces = staged(chosen.mapInPandas(
         _pack_documents(vocabulary, end_id, window, open_windows), PIECE_SCHEMA), "pack")
     done, left, round_no = pieces.where("not open"), pieces.where("open"), 0
+    parts = (left.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         round_no, parts = round_no + 1, -(-parts // fan_in)
         merged = staged(left.withColumn("group", F.floor(F.col("part") / fan_in))
