@@ -65,8 +65,26 @@ def drop_footer(rows: DataFrame, k: int) -> DataFrame:
             .drop("_last"))
 
 
-def _headers(rows: DataFrame) -> DataFrame:
+def _expected_headers(rows: DataFrame, expected: int) -> DataFrame | None:
+    """The index of ``_headers`` in one pass, if every file's first row is ``expected``
+    (as it is unless that row is blank) and the index is small; else None."""
+    found = rows.groupBy(*FILE_KEYS).agg(
+        F.min("row_index").alias("_first"), F.max("row_index").alias("_last"),
+        F.collect_list(F.when(F.col("row_index") == F.lit(expected), F.col("cells"))).alias("_tops"))
+    few = _small(found)
+    if few is None or any(r[2] != expected for r in few):
+        return None
+    local = rows.sparkSession.createDataFrame(few, found.schema)
+    return local.select(*FILE_KEYS, "_first", "_last",
+                        F.transform(F.get("_tops", F.lit(0)), F.trim).alias("_header"))
+
+
+def _headers(rows: DataFrame, expected: int | None = None) -> DataFrame:
     """One row per file: first and last index and the trimmed cells of the first row."""
+    if expected is not None:
+        index = _expected_headers(rows, expected)
+        if index is not None:
+            return index
     bounds = _bounds(rows)
     few = _small(bounds)
     top = rows
@@ -109,8 +127,8 @@ def sheet_table(rows: DataFrame, columns: Mapping[str, str] | Sequence[str], ski
     rows, select ``columns``.
 
     Column positions, header row and last row come from one index row per sheet
-    (same result as ``skip_rows`` -> ``promote_header`` -> ``drop_footer``: a pass that
-    reads no cells, one over the header rows and one for the table).
+    (same result as ``skip_rows`` -> ``promote_header`` -> ``drop_footer``: one pass for
+    the index, and one for the table).
     """
     from sitetally.sources.tables import snake
     if not isinstance(columns, Mapping):
@@ -121,7 +139,7 @@ def sheet_table(rows: DataFrame, columns: Mapping[str, str] | Sequence[str], ski
         rows = skip_rows(rows, skip)
     places = [F.nullif(F.array_position("_header", F.lit(h)), F.lit(0)).cast("int").alias(f"_at_{out}")
               for out, h in columns.items()]
-    index = _headers(rows).select(*FILE_KEYS, "_first", "_last", *places)
+    index = _headers(rows, skip).select(*FILE_KEYS, "_first", "_last", *places)
     return (_with_index(rows, index, _small(index))
             .filter((F.col("row_index") > F.col("_first"))
                     & (F.col("row_index") <= F.col("_last") - F.lit(footer)))
