@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitetally.functions.measures import hours_measure, hours_to_double, null_to_zero, zero_to_null
+from sitetally.functions.measures import HOURS_SUM, hours_measure, hours_to_double, null_to_zero, zero_to_null
 from sitetally.operators.levels import label_levels, three_level
 from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, attach_pairs,
                                          finish_states, require_columns,
@@ -115,20 +115,22 @@ def combined_hour_sections(exempt: DataFrame, exempt_map: DataFrame,
     by = list(by)
     ne = nonexempt_sections(nonexempt, nonexempt_map, excluded_wage_types, by,
                             broadcast_rows=broadcast_rows)
+    require_columns(exempt, [*by, *EXEMPT_KEYS, "hours"], "exempt hours")
+    measure = hours_measure("hours", "hours", "lenient", exempt.schema["hours"].dataType)
+    ex_states = section_states(exempt, exempt_map, EXEMPT_KEYS, [measure], by,
+                               unmapped="keep", broadcast_rows=broadcast_rows)
+    complete = F.col(LABELS[0]).isNotNull() & F.col(LABELS[1]).isNotNull()
+    ex = finish_states(ex_states, [measure], by).withColumn("src_rank", F.lit(1))
     if not by:
-        ex = exempt_sections(exempt, exempt_map, by, broadcast_rows=broadcast_rows)
+        # the regroup below also merges the zero rows of the mapping's pairs
+        zero = (exempt_map.select(*LABELS).filter(F.col(LABELS[0]).isNotNull())
+                .withColumns({"hours": F.lit(0).cast(HOURS_SUM), "src_rank": F.lit(1)}))
         both = (ne.withColumn("src_rank", F.lit(0))
-                .unionByName(ex.withColumn("src_rank", F.lit(1))))
+                .unionByName(ex.filter(complete)).unionByName(zero))
     else:
         # every period of either population gets the exempt mapping's zero rows;
         # both populations are read once (pairs are attached in the same pass)
-        require_columns(exempt, [*by, *EXEMPT_KEYS, "hours"], "exempt hours")
-        measure = hours_measure("hours", "hours", "lenient", exempt.schema["hours"].dataType)
-        ex_states = section_states(exempt, exempt_map, EXEMPT_KEYS, [measure], by,
-                                   unmapped="keep", broadcast_rows=broadcast_rows)
-        ex = (finish_states(ex_states, [measure], by)
-              .withColumn("src_rank", F.lit(1))
-              .withColumn("_keep", F.col(LABELS[0]).isNotNull() & F.col(LABELS[1]).isNotNull()))
+        ex = ex.withColumn("_keep", complete)
         union = (ne.withColumn("src_rank", F.lit(0)).withColumn("_keep", F.lit(True))
                  .unionByName(ex))
         both = (attach_pairs(union, exempt_map, by, {"hours": F.lit(0), "src_rank": F.lit(1),
