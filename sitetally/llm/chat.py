@@ -13,7 +13,10 @@ Scale: rows are shuffled once, by conversation; participants come out of the
 same group.  A conversation of more than ``whole_turns`` rows is rendered in
 parts of at most that many rows instead (column ``part``; the rendering is the
 parts in order and a part's mask counts from the part's start), so no group is
-larger, however hot the conversation.  The list of such conversations is
+larger, however hot the conversation.  With ``whole`` the parts of a participant,
+a thousandth of the turns, are joined to one row like any other (``part`` 0, masks
+from the rendering's start); a row's task then holds one rendering, and Spark's
+limit of 2 GB a value holds for it.  The list of such conversations is
 broadcast while it has at most ``BROADCAST_ROWS`` rows and joined otherwise.
 
 Defined cases: a NULL conv_id is one conversation; a NULL turn comes first; a
@@ -24,7 +27,7 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table
@@ -75,8 +78,8 @@ def _gathered() -> Column:
 
 
 def rotate(turns: DataFrame, whole_turns: int = WHOLE_TURNS,
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One rendering per conversation and participant."""
+           broadcast_rows: int = BROADCAST_ROWS, whole: bool = False) -> DataFrame:
+    """One rendering per conversation and participant, long ones in parts unless ``whole``."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text"))
     long_ones = (rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > whole_turns)
@@ -86,8 +89,9 @@ def rotate(turns: DataFrame, whole_turns: int = WHOLE_TURNS,
         return _render(_whole(rows))
     listed = F.broadcast(long_ones) if n_long <= broadcast_rows else long_ones
     same = F.col("conv_id").eqNullSafe(F.col("long_id"))
+    parts = _render(_in_parts(rows.join(listed, same, "left_semi"), whole_turns))
     return _render(_whole(rows.join(listed, same, "left_anti"))).unionByName(
-        _render(_in_parts(rows.join(listed, same, "left_semi"), whole_turns)))
+        _joined(parts) if whole else parts)
 
 
 def _whole(rows: DataFrame) -> DataFrame:
@@ -109,9 +113,24 @@ def _in_parts(rows: DataFrame, whole_turns: int) -> DataFrame:
     return cut.join(speakers, F.col("conv_id").eqNullSafe(F.col("long_id"))).drop("long_id")
 
 
+def _joined(parts: DataFrame) -> DataFrame:
+    """Parts of a rendering to one row, spans moved by the parts before."""
+    before = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    placed = parts.withColumn("at", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    spans = F.transform(F.split("mask", ","), lambda span: F.array_join(
+        F.transform(F.split(span, "-"), lambda x: (x.cast("long") + F.col("at")).cast("string")), "-"))
+    moved = placed.withColumn("mask", F.when(F.col("mask") != "", F.array_join(spans, ",")))
+    listed = F.sort_array(F.collect_list(F.struct("part", "mask", "text")))
+    totals = [F.sum(c).alias(c) for c in ("n_turns", "n_own_turns", "n_masked")]
+    return moved.groupBy("conv_id", "speaker").agg(*totals, listed.alias("parts")).select(
+        "conv_id", "speaker", F.lit(0).cast("long").alias("part"), "n_turns", "n_own_turns", "n_masked",
+        F.array_join("parts.mask", ",").alias("mask"), F.array_join("parts.text", "").alias("text"))
+
+
 def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every perspective of every conversation."""
-    return rotate(read_table(spark, sf_dir, "conversations"))
+    return rotate(read_table(spark, sf_dir, "conversations"), whole=True)
 
 
 OP3_SQL = """

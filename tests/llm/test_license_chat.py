@@ -105,3 +105,18 @@ def test_long_conversations_come_in_parts(spark):
                 spans = [tuple(map(int, x.split("-"))) for x in p.mask.split(",") if x]
                 assert sum(b - a for a, b in spans) == p.n_masked
                 assert all(p.text[b - 7:b] == "<|end|>" for _, b in spans)
+
+
+def test_long_conversations_are_one_row_in_the_query(spark, tmp_path):
+    rows = [(c, i // 2, f"s{i % 3}", f"said é {i}") for c in (7, None) for i in range(2 * chat.WHOLE_TURNS + 99)]
+    rows += [(7, 0, "once", "hi"), (8, 0, "s0", "short")]
+    spark.createDataFrame([(*r, 0, "z") for r in rows], SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, chat.op3_chat_rotation(spark, str(tmp_path)).collect()), key=str)
+    want = []
+    for conv in (7, 8, None):
+        own = [(t, r, x) for c, t, r, x in rows if c == conv]
+        for speaker in {r for _, r, _ in own}:
+            said = [x for _, r, x in own if r == speaker]
+            text, mask = rendered(own, speaker)
+            want.append((conv, speaker, 0, len(own), len(said), sum(len(x) + 7 for x in said), mask, text))
+    assert got == sorted(want, key=str)
