@@ -133,12 +133,17 @@ def _word_table(piece_path: str, byte_path: str) -> _WordTable:
 def repeated_words(numbers: np.ndarray) -> int:
     """Words covered by 3-word windows that occur twice or more, first included.
 
-    ``numbers`` stand for words; they are below 2**21, so three fit in 63 bits.
+    ``numbers`` stand for words; where all are below 2**21, three fit in 63 bits,
+    else the pairs that begin a window are numbered first.
     """
     n = len(numbers)
     if n < 4:
         return 0
-    code = (numbers[:-2] << 42) | (numbers[1:-1] << 21) | numbers[2:]
+    if int(numbers.max()) >> 21:
+        pairs = np.unique((numbers[:-2] << 32) | numbers[1:-1], return_inverse=True)[1]
+        code = (pairs << 32) | numbers[2:]
+    else:
+        code = (numbers[:-2] << 42) | (numbers[1:-1] << 21) | numbers[2:]
     ordered = np.sort(code)
     if not (ordered[1:] == ordered[:-1]).any():
         return 0

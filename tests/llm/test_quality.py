@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 from sitetally.llm import quality
 
 from . import cases
@@ -57,3 +59,11 @@ def test_bands_reject_and_keep(spark):
 
 def test_empty_table(spark):
     assert quality.score(cases.documents(spark, []), into="q").count() == 0
+
+
+def test_repeated_words_of_very_many_distinct_words():
+    high = 1 << 21
+    apart = np.array([5, 0, high, 9, 5, 1, 0, 8], dtype=np.int64)       # equal when packed in 21 bits each
+    assert quality.repeated_words(apart) == 0
+    assert quality.repeated_words(np.concatenate((apart, [7], apart[:3]))) == 6
+    assert quality.repeated_words(np.array([high, high, high, high], dtype=np.int64)) == 4
