@@ -6,6 +6,7 @@ from corpus_pipeline import ORACLE_SQL, run
 
 from .chat import OP3_SQL, op3_chat_rotation
 from .decontaminate import op10_decontamination
+from .fill_middle import OP13_SQL, op13_fill_in_middle
 from .jaccard_join import op9_jaccard_join
 from .license_scan import op1_license_scan
 from .packing import op5_packing
@@ -27,9 +28,11 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 SQL: dict[str, str] = {
     "op3_chat_rotation": OP3_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
 if ORACLE_SQL:
     SQL["pipeline"] = ORACLE_SQL
