@@ -12,6 +12,7 @@ from .license_scan import op1_license_scan
 from .packing import op5_packing
 from .pii import op8_pii
 from .quality import op6_quality
+from .ranked_search import OP12_SQL, op12_ranked_search
 from .suffix_dedup import op7_suffix_dedup
 from .token_files import op2_token_files
 from .warc_zip import op4_warc_zip
@@ -28,10 +29,12 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op12_ranked_search": op12_ranked_search,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 SQL: dict[str, str] = {
     "op3_chat_rotation": OP3_SQL,
+    "op12_ranked_search": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
 if ORACLE_SQL:
