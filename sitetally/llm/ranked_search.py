@@ -161,26 +161,27 @@ class Block:
         self.most = (np.maximum.reduceat(self.gains, self.starts[:-1]) if len(self.terms)
                      else np.empty(0, dtype=np.int64))
 
-    def groups(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(documents, mask number of each, one row of bits a mask) of the terms ``asked``.
+    def groups(self, asked: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(documents with a term, mask number of each, maximum score of every mask).
 
-        Masks are compared 64 terms at a time; documents of equal masks keep one number.
+        Bitmaps are made and compared 64 terms at a time; documents of equal masks so
+        far keep one number.
         """
-        number, bits = np.zeros(self.n_docs, dtype=np.int64), []
+        number, most = np.zeros(self.n_docs, dtype=np.int64), np.zeros(self.n_docs, dtype=np.int64)
+        some = np.zeros(self.n_docs, dtype=bool)
         for at in range(0, len(asked), 64):
-            part = np.zeros((64, self.n_docs), dtype=np.uint8)
-            for row, t in enumerate(asked[at:at + 64].tolist()):
-                part[row, self.docs[self.starts[t]:self.starts[t + 1]]] = 1
-            word = np.ascontiguousarray(np.packbits(part, axis=0).T).view(np.uint64).ravel()
-            _, mask = np.unique(word, return_inverse=True)
+            part, gain = asked[at:at + 64], self.most[asked[at:at + 64]] * repeats[at:at + 64]
+            bits = np.zeros((64, self.n_docs), dtype=np.uint8)
+            for row, t in enumerate(part.tolist()):
+                bits[row, self.docs[self.starts[t]:self.starts[t + 1]]] = 1
+            words = np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.uint64).ravel()
+            masks, first, mask = np.unique(words, return_index=True, return_inverse=True)
+            most += (gain @ bits[:len(part), first].astype(np.int64))[mask]
+            some |= words != 0
             number = np.unique((number << 32) | mask, return_inverse=True)[1]
-            bits.append(part[:min(64, len(asked) - at)])
-        masks, first = np.unique(number, return_index=True)
-        rows = np.concatenate([b[:, first] for b in bits]).T
-        some = rows.any(axis=1)
-        docs = np.flatnonzero(some[number])
-        renumbered = np.cumsum(some) - 1
-        return docs, renumbered[number[docs]], rows[some]
+        docs = np.flatnonzero(some)
+        _, first, mask = np.unique(number[docs], return_index=True, return_inverse=True)
+        return docs, mask, most[docs[first]]
 
     def scores(self, docs: np.ndarray, asked: np.ndarray, repeats: np.ndarray) -> np.ndarray:
         """Exact scores of a few documents."""
@@ -199,8 +200,7 @@ class Block:
         asked, repeats = at[there], repeats[there]
         if not len(asked):
             return []
-        docs, mask, rows = self.groups(asked)
-        most = rows.astype(np.int64) @ (self.most[asked] * repeats)
+        docs, mask, most = self.groups(asked, repeats)
         order = np.argsort(-most, kind="stable")
         size = np.bincount(mask, minlength=len(most))
         rank_of = np.empty(len(most), dtype=np.int64)

@@ -47,7 +47,7 @@ def rows_of(df):
 
 ITEMS = [(0, "The and of thn The"), (1, None), (2, ""), (3, "... !!"), (4, "absentword"), (5, cases.prose(150, 1)),
          (6, "ÊTRE où NAÏVE 日本語のテキスト"), (6, "one"), (None, "erin hean the"), (7, " ".join(cases.texts()[8][1].split()[:300])),
-         (0, "The and of thn The")]
+         (0, "The and of thn The"), (8, cases.texts()[8][1])]
 
 
 @pytest.mark.parametrize("setting", ["whole", "small blocks", "groups"])
@@ -97,7 +97,7 @@ def test_masks_group_documents_and_stop_early(monkeypatch):
     real = rs.Block.scores
     monkeypatch.setattr(rs.Block, "scores", lambda self, d, *a: evaluated.append(len(d)) or real(self, d, *a))
     found = block.best(*items.items[0][2:], 5)
-    assert len(block.groups(np.arange(2))[2]) == 2 and sum(evaluated) == 6      # only the mask with both terms
+    assert len(block.groups(np.arange(2), np.ones(2, int))[2]) == 2 and sum(evaluated) == 6      # only the mask with both terms
     assert sorted((-s, docs[p][0]) for p, s in found) == [(-r[3], r[2]) for r in sorted(
         brute(docs, [(0, "common rare")], 5), key=lambda r: r[1])]
 
