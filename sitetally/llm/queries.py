@@ -9,6 +9,7 @@ from .decontaminate import op10_decontamination
 from .fill_middle import OP13_SQL, op13_fill_in_middle
 from .jaccard_join import op9_jaccard_join
 from .license_scan import op1_license_scan
+from .near_duplicates import op11_near_duplicates
 from .packing import op5_packing
 from .pii import op8_pii
 from .quality import op6_quality
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op11_near_duplicates": op11_near_duplicates,
     "op12_ranked_search": op12_ranked_search,
     "op13_fill_in_middle": op13_fill_in_middle,
 }

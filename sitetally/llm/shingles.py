@@ -11,17 +11,31 @@ WIDTH = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+WORD_TABLE_BYTES = 32 << 20
+
+
 class _WordHashes(dict):
-    """64-bit hash of a word; starts anew at ``capacity`` words."""
+    """64-bit hash of a word; bounded by bytes, and starts anew when full.
+
+    ``ENTRY`` is about what an entry takes besides its characters.
+    """
+
+    ENTRY, LONGEST = 180, 256
 
-    def __init__(self, capacity: int = 1_000_000):
+    def __init__(self, capacity: int = WORD_TABLE_BYTES):
         super().__init__()
-        self.capacity = capacity
+        self.capacity, self.size = capacity, 0
 
     def __missing__(self, word):
-        if len(self) >= self.capacity:
+        data = word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")
+        value = xxhash.xxh64_intdigest(data)
+        if len(data) > self.LONGEST:
+            return value
+        self.size += len(data) + self.ENTRY
+        if self.size > self.capacity:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+            self.size = len(data) + self.ENTRY
+        self[word] = value
         return value
 
 
@@ -50,6 +64,12 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_table().__getitem__, words), np.uint64, len(words))
 
 
+def ascii_word_hashes(data: bytes) -> np.ndarray:
+    """The same for UTF-8 bytes: only A-Z are lower-cased, only ASCII white space separates."""
+    words = data.lower().split()
+    return np.fromiter(map(_table().__getitem__, words), np.uint64, len(words))
+
+
 def shingle_hashes(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Hashes of all runs of ``width`` words; fewer words make one shingle of them all."""
     n = len(words)
