@@ -23,7 +23,7 @@ from .shingles import mix
 SLOTS = 320
 LOOKED_UP = 6                   # levels whose swaps are looked up
 ROWS_AT_ONCE = 1 << 16          # elements whose whole permutation is held at a time
-ELEMENTS_AT_ONCE = 1 << 19
+ELEMENTS_AT_ONCE = 1 << 18
 
 _SEEDS = mix(np.arange(1, 1 << 10, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
