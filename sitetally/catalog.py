@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetally.functions.dates import in_period, month_name
-from sitetally.functions.measures import hours_to_double, sum_hours
+from sitetally.functions.measures import count_measure, hours_measure, hours_to_double
 from sitetally.operators.levels import label_levels, order_report
-from sitetally.operators.mapping import validate_mapping
+from sitetally.operators.mapping import fact_states, finish_states, validate_mapping
 from sitetally.operators.reshape import to_long, to_wide
 from sitetally.plans.checks import coding_status, label_alerts, unmapped_report
 from sitetally.plans.expenditures import expenditure_report
@@ -48,9 +48,8 @@ def nonexempt_sections_strict(spark, d):
 
 def wage_exclusion_nulls(spark, d):
     kept = exclude_wage_types(R.nonexempt_facts(spark, d, null_wage=True), EXCL)
-    return kept.groupBy("wage_type").agg(
-        F.count(F.lit(1)).alias("kept_rows"),
-        hours_to_double(sum_hours("hours")).alias("hours"))
+    measures = [count_measure("kept_rows"), hours_measure("hours", "hours")]
+    return finish_states(fact_states(kept, ["wage_type"], measures), measures, (), ["wage_type"])
 
 
 def exempt_sections_grid(spark, d):
@@ -136,6 +135,11 @@ def sub_cent_expenditures(spark, d):
     return expenditure_report(rows, "cost_center", "hours").withColumn("hours", F.round("hours", 4))
 
 
+def expenditures_of_any_size(spark, d):
+    """Hours from 1e-12 to 1e300 that cancel, exceed 64-bit counts or hardly count."""
+    return expenditure_report(R.extreme_hours(spark, d), "cost_center", "hours")
+
+
 def exempt_report_null_section(spark, d):
     """A mapping pair without a section is shown, but empty."""
     return exempt_report(R.exempt_facts(spark, d), R.exempt_map_null_section(spark))
@@ -229,6 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_alerts": label_alerts_q,
     "expenditure_by_center": expenditure_by_center,
     "sub_cent_expenditures": sub_cent_expenditures,
+    "expenditures_of_any_size": expenditures_of_any_size,
     "exempt_report_null_section": exempt_report_null_section,
     "exempt_report_by_period_joined": exempt_report_by_period_joined,
     "nonexempt_report_blank_keys": nonexempt_report_blank_keys,

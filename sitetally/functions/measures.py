@@ -6,12 +6,12 @@ few partial columns before a shuffle:
 * ``partials``: aggregate expressions over fact rows (map-side combinable);
 * ``section``: the section value computed from the summed partials.
 
-Hours are summed exactly, at nine decimals (a nano-hour), as two integers per
-fact: whole milli-hours and the rest in nano-hours.  Sums of integers are
-independent of partition and row order, so a report is reproducible no matter
-how Spark splits the input, and nothing is rounded to the two digits of the
-display before it is added up.  Section values are ``decimal(38,9)``; hours turn
-into ``double`` only at the report edge, into two digits only in the display.
+Hours are summed exactly.  Doubles (and text read as such) become integer limbs by
+exponent (``exact``), so a measure of hours has one more grouping column, the bin;
+``section`` values are doubles, rounded once.  Decimals are summed as decimals.  Sums
+are independent of partition and row order, so a report is reproducible no matter how
+Spark splits the input, and no size of hours is left out.  Totals add up section values
+in the same way.
 
 Sum modes (reference semantics):
 
@@ -21,52 +21,30 @@ Sum modes (reference semantics):
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType
 
+from sitetally.functions.exact import bin_of, digit_struct, exact_value, finite, limb_columns, scaled
+
 HOURS_DECIMAL = "decimal(28,9)"
 HOURS_SUM = "decimal(38,9)"
-
-# Hours of a larger size are not hours; they read as NULL, as NaN does.
-MOST_HOURS = 1e15
+HOURS_VALUE = "double"              # type of section values and totals
 
 
-def hours_parts(col: Column | str, dtype: DataType | None = None) -> tuple[Column, Column]:
-    """Whole milli-hours and the remaining nano-hours (0..10**6) of a value, as longs.
+def sum_hours(col: Column | str, dtype: DataType | None = None) -> Column:
+    """Sum of hours as one aggregate, a decimal of nine digits (NULL values are skipped).
 
-    A decimal (``dtype``) is split in decimal arithmetic, anything else as a double;
-    both stay inside whole-stage codegen.  Text that is no number, NaN and values
-    beyond ``MOST_HOURS`` (infinity) give NULL.
+    Exact for decimals; doubles are read to nine decimals, and one that no such decimal
+    holds is an error.  ``hours_measure`` has neither limit.
     """
     c = F.col(col) if isinstance(col, str) else col
     if not isinstance(dtype, DecimalType):
-        c = c.try_cast("double")
-        c = F.when(~F.isnan(c) & (F.abs(c) <= F.lit(MOST_HOURS)), c)
-        thousand = F.lit(1000.0)
-    else:
-        c = F.when(F.abs(c) <= F.lit(int(MOST_HOURS)), c)
-        thousand = F.lit(1000)
-    milli = F.floor(c * thousand)
-    rest = (c * thousand - milli).cast("double")
-    return milli.cast("long"), F.floor(rest * F.lit(1e6) + F.lit(0.5)).cast("long")
-
-
-def parts_to_hours(milli: Column, rest: Column) -> Column:
-    """Summed parts as one exact decimal."""
-    # precisions that leave every product and the sum their nine decimals
-    whole = milli.cast("decimal(20,0)") * F.lit(Decimal("0.001"))
-    small = rest.cast("decimal(20,0)") * F.lit(Decimal("0.000000001"))
-    return (whole + small).cast(HOURS_SUM)
-
-
-def sum_hours(col: Column | str, dtype: DataType | None = None) -> Column:
-    """Exact sum of hours over a group (NULL values are skipped)."""
-    milli, rest = hours_parts(col, dtype)
-    return parts_to_hours(F.sum(milli), F.sum(rest))
+        c = finite(c)
+    return F.sum(c.cast(HOURS_DECIMAL)).cast(HOURS_SUM)
 
 
 def hours_to_double(col: Column | str) -> Column:
@@ -83,7 +61,7 @@ def zero_to_null(col: Column | str) -> Column:
 def null_to_zero(col: Column | str) -> Column:
     """``replace(is.na(.), 0)`` on a measure column (keys are never touched)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c, F.lit(0).cast(HOURS_SUM))
+    return F.coalesce(c, F.lit(0).cast(HOURS_VALUE))
 
 
 @dataclass(frozen=True)
@@ -91,14 +69,20 @@ class Measure:
     """A named measure: partial aggregates over facts and its section value.
 
     ``partials`` maps partial column name -> aggregate expression over fact
-    rows.  Every partial merges by ``sum`` so the same partials can be summed
-    again after a key-level pre-aggregation.  ``section`` builds the section
-    value from the merged partial columns.
+    rows.  Every partial merges by ``merge`` (``sum`` if not named there), so the same
+    partials can be merged again after a key-level pre-aggregation.  A
+    ``binned`` measure has one state a bin: ``prepared`` names, step by step, the columns
+    that its partials read (the bin among them), and ``gathered`` are aggregates that
+    bring a group's bins together.  ``value`` is the section value, from the partials or
+    what was gathered.
     """
 
     name: str
     partials: tuple[tuple[str, Column], ...]
     value: Column
+    prepared: tuple[dict[str, Column], ...] = ()
+    merge: tuple[tuple[str, Callable], ...] = ()
+    gathered: tuple[tuple[str, Column], ...] = ()
 
     @property
     def section(self) -> Column:
@@ -107,30 +91,50 @@ class Measure:
     def partial_names(self) -> list[str]:
         return [n for n, _ in self.partials]
 
+    @property
+    def binned(self) -> bool:
+        return bool(self.prepared)
+
+    def merged(self) -> list[Column]:
+        """Aggregates that merge partials of the same name."""
+        how = dict(self.merge)
+        return [how.get(n, F.sum)(n).alias(n) for n in self.partial_names()]
+
+
+BIN = "_bin"                        # column of a binned measure's states
+
 
 def hours_measure(name: str, value: Column | str, mode: str = "lenient",
                   dtype: DataType | None = None) -> Measure:
     """Exact sum of hours under a sum mode (``lenient`` or ``strict``).
 
     ``dtype`` is the type of the hours column; decimals are then never passed
-    through a double.
+    through a double before they are summed.
     """
     if mode not in ("lenient", "strict"):
         raise ValueError(f"unknown sum mode {mode!r}")
-    milli, rest = hours_parts(value, dtype)
+    c = F.col(value) if isinstance(value, str) else value
     rows, valued = f"{name}__rows", f"{name}__valued"
-    whole, small = f"{name}__milli", f"{name}__rest"
-    partials = (
-        (rows, F.count(F.lit(1))),
-        (valued, F.count(milli)),
-        (whole, F.sum(milli)),
-        (small, F.sum(rest)),
-    )
-    zero = F.lit(0).cast(HOURS_SUM)
-    total = F.coalesce(parts_to_hours(F.col(whole), F.col(small)), zero)
-    if mode == "strict":
-        total = F.when(F.col(rows) == F.col(valued), total)
-    return Measure(name, partials, total)
+
+    def finished(total: Column) -> Column:
+        return F.when(F.col(rows) == F.col(valued), total) if mode == "strict" else total
+
+    if isinstance(dtype, DecimalType):
+        total = f"{name}__total"
+        partials = ((rows, F.count(F.lit(1))), (valued, F.count(c)), (total, F.sum(c)))
+        return Measure(name, partials, finished(F.coalesce(F.col(total).cast("double"), F.lit(0.0))))
+    x, y = f"{name}__x", f"{name}__y"
+    prepared = ({x: finite(c)}, {BIN: bin_of(F.col(x))}, {y: scaled(F.col(x), F.col(BIN))})
+    limbs = limb_columns(F.col(x), F.col(y))
+    names = [f"{name}__limb{k}" for k in range(len(limbs))]
+    most, bins = f"{name}__most", f"{name}__bins"
+    partials = ((rows, F.count(F.lit(1))), (valued, F.count(x)), (most, F.max(F.abs(x))),
+                *((n, F.sum(limb)) for n, limb in zip(names, limbs)))
+    digits = digit_struct(F.col(BIN), [F.col(n) for n in names])
+    gathered = ((rows, F.sum(rows)), (valued, F.sum(valued)), (most, F.max(most)),
+                (bins, F.collect_list(F.when(F.col(BIN).isNotNull(), digits))))
+    return Measure(name, partials, finished(exact_value(bins, valued, most)),
+                   prepared, ((most, F.max),), gathered)
 
 
 def count_measure(name: str, condition: Column | None = None,

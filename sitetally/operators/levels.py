@@ -14,6 +14,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from sitetally.functions.measures import BIN, hours_measure
 
 SECTION, FACILITY, GRAND = "section", "facility", "grand"
 
@@ -50,6 +53,8 @@ def three_level(sections: DataFrame, measures: Sequence[str] | Mapping[str, str]
     for empty input, so without ``by`` one marker row is added that only
     the grand set sees: the report always has exactly one grand row.
 
+    A measure of doubles is summed exactly (``exact``), in any order.
+
     ``sections`` holds one row per (by, facility, section).  ``rank_col``, if
     given, is an integer column rolled up with ``min`` (the source rank used
     by ``order_report``); the grand row gets 0.
@@ -57,23 +62,40 @@ def three_level(sections: DataFrame, measures: Sequence[str] | Mapping[str, str]
     rules = dict(measures) if isinstance(measures, Mapping) else {m: "lenient" for m in measures}
     by = list(by)
     names = list(rules)
+    types = {f.name: f.dataType for f in sections.schema.fields}
+    exact = [n for n in names if isinstance(types[n], DoubleType)]
+    if len(exact) > 1:
+        raise ValueError(f"one measure of doubles at a time, not {exact}")
     extra = [rank_col] if rank_col else []
     cols = [facility, section, *names, *extra]
     base = sections.select(*by, *cols, F.lit(False).alias("_pad"))
     if not by:
-        types = {f.name: f.dataType for f in base.schema.fields}
         pad = base.sparkSession.range(1).select(
             *[F.lit(None).cast(types[c]).alias(c) for c in cols], F.lit(True).alias("_pad"))
         base = base.unionByName(pad)
-    sets = [[*by, facility, section, "_pad"], [*by, facility, "_pad"], list(by)]
-    agg = base.groupingSets(sets, *by, facility, section, "_pad").agg(
-        *[F.sum(n).alias(n) for n in names],
+    # section values that are doubles are added as limbs, one row a level and exponent bin
+    plain = [n for n in names if n not in exact]
+    measure = hours_measure(exact[0], exact[0]) if exact else None
+    bins = [BIN] if exact else []
+    for columns in measure.prepared if measure else ():
+        base = base.withColumns(columns)
+    sets = [[*by, facility, section, "_pad", *bins], [*by, facility, "_pad", *bins], [*by, *bins]]
+    agg = base.groupingSets(sets, *by, facility, section, "_pad", *bins).agg(
+        *[F.sum(n).alias(n) for n in plain],
+        *[c.alias(n) for n, c in (measure.partials if measure else ())],
         *[F.min(c).alias(c) for c in extra],
         F.grouping(section).alias("_gs"),
         F.grouping(facility).alias("_gf"))
     kind = (F.when(F.col("_gs") == 0, F.lit(SECTION))
             .when(F.col("_gf") == 0, F.lit(FACILITY)).otherwise(F.lit(GRAND)))
     kept = agg.filter((F.col("_gf") == 1) | ~F.col("_pad")).withColumn("row_kind", kind)
+    if exact:
+        # the section, facility and period keys of a row name it together with its kind
+        kept = kept.groupBy(*by, facility, section, "row_kind").agg(
+            *[F.sum(n).alias(n) for n in plain], *[F.min(c).alias(c) for c in extra],
+            *[c.alias(n) for n, c in measure.gathered])
+        some = F.col(f"{exact[0]}__valued") > 0
+        kept = kept.withColumn(exact[0], F.when(some, measure.value))
     k = F.col("row_kind")
     return kept.select(
         *by, facility, section, "row_kind",

@@ -18,12 +18,13 @@ Neither strategy drops rows: unmapped facts are kept under a NULL facility
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitetally.functions.measures import Measure
+from sitetally.functions.measures import BIN, Measure
 
 LABELS = ("facility", "section")
 
@@ -37,12 +38,19 @@ def _value_bytes(df: DataFrame) -> Column:
     return sum(width[1:], width[0]) + F.lit(8 * len(df.columns))
 
 
+def _text_bytes(values) -> int:
+    return sum(len(str(v).encode()) for v in values if v is not None) + 8 * len(values)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                    max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """Size check for configuration tables (mappings, rules): one partially
-    aggregated pass measures the row count and the data size (UTF-8 bytes of every
-    value as text); both must be within bounds.  Nothing is remembered between
-    calls, so a table overwritten in place is measured anew."""
+    """Size check for configuration tables (mappings, rules): row count and data size
+    (UTF-8 bytes of every value as text) must be within bounds.  A local table is
+    measured as it is, any other in one partially aggregated pass.  Nothing is
+    remembered between calls, so a table overwritten in place is measured anew."""
+    if df.isLocal():
+        rows = df.collect()
+        return len(rows) <= max_rows and sum(map(_text_bytes, rows)) <= max_bytes
     m = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_value_bytes(df)).alias("b")).first()
     return m["n"] <= max_rows and (m["b"] or 0) <= max_bytes
 
@@ -66,23 +74,33 @@ def usable_keys(mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def check_mapping(mapping: DataFrame, keys: Sequence[str],
                   max_rows: int = DEFAULT_BROADCAST_ROWS,
-                  max_bytes: int = DEFAULT_BROADCAST_BYTES, unique: bool = True) -> bool:
+                  max_bytes: int = DEFAULT_BROADCAST_BYTES, unique: bool = True,
+                  local: bool = False) -> bool:
     """Refuse duplicate keys and tell whether the mapping may be broadcast.
 
     A key with several rows would repeat every fact of that key and silently
     inflate its totals.  Row count, bytes and the most frequent key come from one
-    aggregation per call.
+    aggregation per call, or from the rows of a ``local`` table, which needs no job.
     """
     keys = list(keys)
-    per_key = mapping.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                         F.sum(_value_bytes(mapping)).alias("b"))
-    key = F.struct(*keys)
-    m = per_key.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("n").alias("most"),
-                    F.max_by(key, F.col("n")).alias("key")).first()
-    if unique and (m["most"] or 0) > 1:
-        raise ValueError(f"mapping has several rows for key {m['key'].asDict()}; "
+    if local:
+        rows = mapping.collect()
+        counts = Counter(tuple(r[k] for k in keys) for r in rows)
+        size = (len(rows), sum(map(_text_bytes, rows)))
+        most = max(counts.items(), key=lambda kn: kn[1], default=(None, 0))
+        repeated = dict(zip(keys, most[0])) if most[1] > 1 else None
+    else:
+        per_key = mapping.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                             F.sum(_value_bytes(mapping)).alias("b"))
+        key = F.struct(*keys)
+        m = per_key.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("n").alias("most"),
+                        F.max_by(key, F.col("n")).alias("key")).first()
+        size = (m["n"] or 0, m["b"] or 0)
+        repeated = m["key"].asDict() if (m["most"] or 0) > 1 else None
+    if unique and repeated is not None:
+        raise ValueError(f"mapping has several rows for key {repeated}; "
                          "run validate_mapping() and fix the mapping")
-    return (m["n"] or 0) <= max_rows and (m["b"] or 0) <= max_bytes
+    return size[0] <= max_rows and size[1] <= max_bytes
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], what: str = "input") -> None:
@@ -100,6 +118,26 @@ def _partial_names(measures: Sequence[Measure]) -> list[str]:
     return [name for m in measures for name in m.partial_names()]
 
 
+def _bins(measures: Sequence[Measure]) -> list[str]:
+    """The bin column's name if a measure has bins (one measure at most)."""
+    return [BIN for m in measures if m.binned]
+
+
+def _merged(measures: Sequence[Measure]) -> list[Column]:
+    return [c for m in measures for c in m.merged()]
+
+
+def fact_states(facts: DataFrame, keys: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
+    """Partial states of fact rows per (keys and, for a binned measure, bin)."""
+    bins = _bins(measures)
+    if len(bins) > 1:
+        raise ValueError("one binned measure at a time")
+    for m in measures:
+        for columns in m.prepared:
+            facts = facts.withColumns(columns)
+    return facts.groupBy(*keys, *bins).agg(*_partials(measures))
+
+
 def section_states(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
                    measures: Sequence[Measure], by: Sequence[str] = (),
                    unmapped: str = "keep", labels: Sequence[str] = LABELS,
@@ -107,7 +145,7 @@ def section_states(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
                    check_keys: bool = True) -> DataFrame:
     """Partial measure states per (by, facility, section).
 
-    Returns columns ``[*by, *labels, *partials]``.  Fact rows whose key has no
+    Returns columns ``[*by, *labels, (bin,) *partials]``.  Fact rows whose key has no
     mapping get NULL labels (``keep``) or are excluded (``drop``).  A NULL key
     never matches.  A mapping with duplicate keys is refused (``check_keys``).
     """
@@ -118,26 +156,29 @@ def section_states(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
     require_columns(facts, [*by, *keys], "facts")
     require_columns(mapping, [*keys, *labels], "mapping")
     m = usable_keys(mapping.select(*keys, *labels), keys)
-    if check_mapping(m, keys, broadcast_rows, unique=check_keys):
+    if check_mapping(m, keys, broadcast_rows, unique=check_keys, local=mapping.isLocal()):
         joined = facts.join(F.broadcast(m), on=keys, how=how)
-        return joined.groupBy(*by, *labels).agg(*_partials(measures))
-    per_key = facts.groupBy(*by, *keys).agg(*_partials(measures))
-    joined = per_key.join(m, on=keys, how=how)
-    return joined.groupBy(*by, *labels).agg(
-        *[F.sum(n).alias(n) for n in _partial_names(measures)])
+        return fact_states(joined, [*by, *labels], measures)
+    per_key = fact_states(facts, [*by, *keys], measures)
+    return merge_states(per_key.join(m, on=keys, how=how), measures, by, labels)
 
 
 def merge_states(states: DataFrame, measures: Sequence[Measure], by: Sequence[str] = (),
                  labels: Sequence[str] = LABELS) -> DataFrame:
-    """Sum partial states again per (by, labels) (after a union)."""
-    return states.groupBy(*by, *labels).agg(
-        *[F.sum(n).alias(n) for n in _partial_names(measures)])
+    """Merge partial states again per (by, labels, bin) (after a union)."""
+    return states.groupBy(*by, *labels, *_bins(measures)).agg(*_merged(measures))
 
 
 def finish_states(states: DataFrame, measures: Sequence[Measure], by: Sequence[str] = (),
-                  labels: Sequence[str] = LABELS, keep: Sequence[str] = ()) -> DataFrame:
-    """Section values from partial states: ``[*by, *labels, *keep, *measures]``."""
-    return states.select(*by, *labels, *keep, *[m.section for m in measures])
+                  labels: Sequence[str] = LABELS) -> DataFrame:
+    """Section values from partial states: ``[*by, *labels, *measures]``.
+
+    States of a binned measure are first brought together, one row per section."""
+    if _bins(measures):
+        together = [(n, agg) for m in measures for n, agg in
+                    (m.gathered if m.binned else zip(m.partial_names(), m.merged()))]
+        states = states.groupBy(*by, *labels).agg(*[agg.alias(n) for n, agg in together])
+    return states.select(*by, *labels, *[m.section for m in measures])
 
 
 def mapping_pairs(mapping: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -168,7 +209,8 @@ def attach_pairs(frame: DataFrame, mapping: DataFrame, by: Sequence[str],
         return [(get(c) if c in labels else fill.get(c, F.lit(None))).cast(types[c]).alias(c)
                 for c in rest]
 
-    if not fits_broadcast(pairs, broadcast_rows):
+    # there are no more pairs than mapping rows
+    if not (fits_broadcast(mapping, broadcast_rows) or fits_broadcast(pairs, broadcast_rows)):
         periods = frame.select(*by).distinct()
         added = periods.crossJoin(pairs).select(*by, *pair_columns(F.col))
         return frame.select(*by, *rest).unionByName(added)
@@ -204,13 +246,16 @@ def scaffold_states(states: DataFrame, mapping: DataFrame, measures: Sequence[Me
     for c in labels:
         complete = complete & F.col(c).isNotNull()
     if not by:
-        zero = [F.lit(None).cast("long").alias(n) for n in names]
+        types = {f.name: f.dataType for f in states.schema.fields}
+        zero = [F.lit(None).cast(types[n]).alias(n) for n in [*_bins(measures), *names]]
         empty = mapping_pairs(mapping, labels).select(*labels, *zero)
-        return merge_states(states.filter(complete).unionByName(empty), measures, by, labels)
-    marked = states.withColumn("_own", F.lit(True))
-    carried = attach_pairs(marked, mapping, by, {"_own": F.lit(False)}, labels, broadcast_rows)
-    kept = carried.filter(complete | ~F.col("_own")).drop("_own")
-    return merge_states(kept, measures, by, labels)
+        kept = states.filter(complete).unionByName(empty)
+    else:
+        marked = states.withColumn("_own", F.lit(True))
+        carried = attach_pairs(marked, mapping, by, {"_own": F.lit(False)}, labels, broadcast_rows)
+        kept = carried.filter(complete | ~F.col("_own")).drop("_own")
+    # a binned measure's states come together in finish_states
+    return kept if _bins(measures) else merge_states(kept, measures, by, labels)
 
 
 def map_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
@@ -219,7 +264,8 @@ def map_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
     """Row-level mapping join (``left_join`` / inner); labels added to facts."""
     how = "left" if unmapped == "keep" else "inner"
     m = usable_keys(mapping.select(*keys, *labels), keys)
-    return facts.join(sized_broadcast(m, broadcast_rows), on=list(keys), how=how)
+    fits = fits_broadcast(mapping if mapping.isLocal() else m, broadcast_rows)
+    return facts.join(F.broadcast(m) if fits else m, on=list(keys), how=how)
 
 
 def unmapped_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
@@ -235,7 +281,7 @@ def unmapped_keys(facts: DataFrame, mapping: DataFrame, keys: Sequence[str],
     keys = list(keys)
     m = usable_keys(mapping.select(*keys), keys)  # an anti join needs no distinct build side
     present = facts.select(*keys).dropna(how="any", subset=keys)
-    if fits_broadcast(m, broadcast_rows):
+    if fits_broadcast(mapping if mapping.isLocal() else m, broadcast_rows):
         return present.join(F.broadcast(m), on=keys, how="left_anti").distinct()
     return present.distinct().join(m, on=keys, how="left_anti")
 

@@ -286,6 +286,21 @@ FROM (SELECT l_returnflag || '-' || CAST(l_linenumber AS VARCHAR) AS cost_center
 GROUP BY cost_center"""
 
 
+def expenditures_of_any_size() -> str:
+    # each line's exact sum in closed form; a product of a count and a double is rounded once
+    return """
+SELECT CAST(l_linenumber AS VARCHAR) AS cost_center,
+       CASE l_linenumber
+         WHEN 1 THEN count(*) * CAST(9e14 AS DOUBLE)
+         WHEN 2 THEN CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE)
+         WHEN 3 THEN count(*) * CAST(1e-12 AS DOUBLE)
+         WHEN 4 THEN count(*) * CAST(-1e300 AS DOUBLE)
+         WHEN 5 THEN CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE)
+         WHEN 6 THEN CAST(0 AS DOUBLE)
+         ELSE CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) END AS hours
+FROM lineitem GROUP BY l_linenumber"""
+
+
 def exempt_report_null_section() -> str:
     rows = [(a, b, f, None if (a, b) == R.NO_SECTION_KEY else s) for a, b, f, s in R.EXEMPT_MAP]
     no_section = _values("map_a", ("l4_org_unit", "personnel_area", "facility", "section"), rows)
@@ -529,6 +544,7 @@ SQL = {
     "label_alerts": label_alerts(),
     "expenditure_by_center": expenditure_by_center(),
     "sub_cent_expenditures": sub_cent_expenditures(),
+    "expenditures_of_any_size": expenditures_of_any_size(),
     "exempt_report_null_section": exempt_report_null_section(),
     "exempt_report_by_period_joined": exempt_report_by_period(),
     "nonexempt_report_blank_keys": nonexempt_report_blank_keys(),

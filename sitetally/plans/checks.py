@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sitetally.operators.mapping import DEFAULT_BROADCAST_ROWS, sized_broadcast, unmapped_keys
+from sitetally.operators.mapping import DEFAULT_BROADCAST_ROWS, fits_broadcast, unmapped_keys
 from sitetally.plans.incidents import INCIDENT_KEY, period_incidents
 from sitetally.sources.literal import literal_table
 
@@ -72,6 +72,8 @@ def label_alerts(incidents: DataFrame, rules: DataFrame | None = None, year: int
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in texts]) \
         if texts else F.array().cast("array<struct<column:string,value:string>>")
     seen = inc.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null")
-    r = sized_broadcast(all_rules, broadcast_rows)
+    # the default rules are a handful, so the given ones decide
+    fits = fits_broadcast(all_rules if rules is None else rules, broadcast_rows)
+    r = F.broadcast(all_rules) if fits else all_rules
     return (seen.join(r, on=["column", "value"], how="inner")
             .select("column", "value", "message").distinct())

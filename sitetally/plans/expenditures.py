@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from sitetally.functions.measures import hours_measure, hours_to_double
+from sitetally.operators.mapping import fact_states, finish_states
 
 
 def expenditure_report(facts: DataFrame, key: str = "cost_center", hours_col: str = "hours",
@@ -14,5 +15,5 @@ def expenditure_report(facts: DataFrame, key: str = "cost_center", hours_col: st
     """``cost_center, hours``: one row per cost centre; NULL when any row of the
     centre has no hours."""
     m = hours_measure("hours", hours_col, mode="strict", dtype=facts.schema[hours_col].dataType)
-    states = facts.groupBy(*by, key).agg(*[agg.alias(n) for n, agg in m.partials])
-    return states.select(*by, key, hours_to_double(m.value).alias("hours"))
+    states = fact_states(facts, [*by, key], [m])
+    return finish_states(states, [m], by, [key]).select(*by, key, hours_to_double("hours").alias("hours"))

@@ -22,7 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitetally.functions.measures import HOURS_SUM, hours_measure, hours_to_double, null_to_zero, zero_to_null
+from sitetally.functions.exact import snapped
+from sitetally.functions.measures import HOURS_VALUE, hours_measure, hours_to_double, null_to_zero, zero_to_null
 from sitetally.operators.levels import label_levels, three_level
 from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, attach_pairs,
                                          finish_states, require_columns,
@@ -78,7 +79,7 @@ def exempt_sections(facts: DataFrame, mapping: DataFrame, by: Sequence[str] = ()
 
 def finish_hours(levels: DataFrame, by: Sequence[str] = (), zero_as_null: bool = True,
                  labels: bool = True, extra: Sequence[str] = ()) -> DataFrame:
-    """Exact hours -> double; zero -> NULL for per-population reports."""
+    """Hours as shown; zero -> NULL for per-population reports."""
     exact = zero_to_null("hours") if zero_as_null else F.col("hours")
     out = levels.select(*by, *LABELS, "row_kind", *extra,
                         hours_to_double(exact).alias("hours"))
@@ -124,7 +125,7 @@ def combined_hour_sections(exempt: DataFrame, exempt_map: DataFrame,
     if not by:
         # the regroup below also merges the zero rows of the mapping's pairs
         zero = (exempt_map.select(*LABELS).filter(F.col(LABELS[0]).isNotNull())
-                .withColumns({"hours": F.lit(0).cast(HOURS_SUM), "src_rank": F.lit(1)}))
+                .withColumns({"hours": F.lit(0).cast(HOURS_VALUE), "src_rank": F.lit(1)}))
         both = (ne.withColumn("src_rank", F.lit(0))
                 .unionByName(ex.filter(complete)).unionByName(zero))
     else:
@@ -137,8 +138,10 @@ def combined_hour_sections(exempt: DataFrame, exempt_map: DataFrame,
                                                      "_keep": F.lit(True)},
                              broadcast_rows=broadcast_rows)
                 .filter("_keep").drop("_keep"))
+    # at most one value of each population, so the plain sum does not depend on an order
+    total = snapped(F.sum("hours"), 2, F.max(F.abs("hours")))
     return (both.groupBy(*by, *LABELS)
-            .agg(null_to_zero(F.sum("hours")).alias("hours"),
+            .agg(null_to_zero(total).alias("hours"),
                  F.min("src_rank").alias("src_rank")))
 
 

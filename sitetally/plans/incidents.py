@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitetally.functions.dates import in_period
-from sitetally.functions.measures import HOURS_SUM, count_measure, hours_to_double, zero_to_null
+from sitetally.functions.measures import HOURS_VALUE, count_measure, hours_to_double, zero_to_null
 from sitetally.operators.levels import label_levels, three_level
 from sitetally.operators.mapping import (LABELS, DEFAULT_BROADCAST_ROWS, finish_states,
                                          require_columns, section_states)
@@ -92,7 +92,7 @@ def _with_hours(inc_sections: DataFrame, hours_sections: DataFrame,
     by = list(by)
     hs = hours_sections.select(*by, *LABELS, "hours", "src_rank",
                                *[F.lit(None).cast("long").alias(c) for c in COUNTS])
-    ins = inc_sections.select(*by, *LABELS, F.lit(None).cast(HOURS_SUM).alias("hours"),
+    ins = inc_sections.select(*by, *LABELS, F.lit(None).cast(HOURS_VALUE).alias("hours"),
                               F.lit(2).alias("src_rank"), *COUNTS)
     return (hs.unionByName(ins).groupBy(*by, *LABELS)
             .agg(F.sum("hours").alias("hours"),

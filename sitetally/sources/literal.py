@@ -1,38 +1,18 @@
-"""Small literal tables (mappings, rule tables) as inline SQL ``VALUES``.
+"""Small literal tables (mappings, rule tables) as local relations.
 
-An inline table is a ``LocalRelation``: exact row count and size statistics
-for the optimizer, no Python worker to scan it, and it can be broadcast or
-inlined.  The rows are rendered as escaped SQL literals and parsed once.
+A local relation has exact row count and size statistics for the optimizer, needs no
+Python worker to scan it, can be broadcast or inlined, and is collected without a job.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def sql_literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "TRUE" if v else "FALSE"
-    if isinstance(v, (int, decimal.Decimal)):
-        return str(v)
-    if isinstance(v, float):
-        return f"CAST('{v!r}' AS DOUBLE)"
-    if isinstance(v, dt.datetime):
-        return f"TIMESTAMP '{v.isoformat(sep=' ')}'"
-    if isinstance(v, dt.date):
-        return f"DATE '{v.isoformat()}'"
-    s = str(v).replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{s}'"
-
-
 def literal_table(spark: SparkSession, rows: Sequence[Sequence],
                   schema: T.StructType | str) -> DataFrame:
     if isinstance(schema, str):
@@ -40,12 +20,8 @@ def literal_table(spark: SparkSession, rows: Sequence[Sequence],
     fields = schema.fields
     if not rows:
         return spark.createDataFrame([], schema)
-    tuples = []
     for i, row in enumerate(rows):
         if len(row) != len(fields):
             raise ValueError(f"row {i} has {len(row)} values, expected {len(fields)}")
-        tuples.append("(" + ", ".join(sql_literal(v) for v in row) + ")")
-    cols = ", ".join(f"c{j}" for j in range(len(fields)))
-    df = spark.sql(f"SELECT * FROM VALUES {', '.join(tuples)} AS t({cols})")
-    return df.select(*[F.col(f"c{j}").cast(f.dataType).alias(f.name)
-                       for j, f in enumerate(fields)])
+    columns = [pa.array(list(column)) for column in zip(*rows)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, [f.name for f in fields]), schema)

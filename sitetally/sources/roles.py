@@ -147,6 +147,23 @@ def sub_cent_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(nan, F.lit(float("nan"))).otherwise(third).alias("hours"))
 
 
+# Hours of any size: what a line item of each line number books (NULL: its quantity).
+EXTREME_HOURS = ((1, (9e14,)), (2, (1e300, None, -1e300)), (3, (1e-12,)), (4, (-1e300, 0.25)),
+                 (5, (1e17, None, -1e17, 5e-324)), (6, (0.1, 0.2, -0.3)), (7, (None,)))
+
+
+def extreme_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookings by line number, three to one a line item, sizes from 5e-324 to 1e300."""
+    li = table(spark, sf_dir, "lineitem")
+    booked = None
+    for line, values in EXTREME_HOURS:
+        row = F.array(*[F.col("l_quantity") if v is None else F.lit(v) for v in values])
+        booked = (F.when(F.col("l_linenumber") == line, row) if booked is None
+                  else booked.when(F.col("l_linenumber") == line, row))
+    return li.select(F.col("l_linenumber").cast("string").alias("cost_center"),
+                     F.explode(booked).alias("hours"))
+
+
 def exempt_map_null_section(spark: SparkSession) -> DataFrame:
     rows = [(a, b, f, None if (a, b) == NO_SECTION_KEY else s) for a, b, f, s in EXEMPT_MAP]
     return literal_table(spark, rows, "l4_org_unit string, personnel_area string, "
