@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,24 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+# Tables that this worker process holds, least recently used first.  Workers are
+# reused by stage after stage, so what an earlier one needed has to go.
+_TABLES: OrderedDict = OrderedDict()
+LIVE_TABLES = 2
+
+
+def worker_table(key, make):
+    """The worker's table for ``key``, made when it is not there; the ``LIVE_TABLES`` used
+    last are held.  Each table bounds its own bytes."""
+    table = _TABLES.get(key)
+    if table is None:
+        while len(_TABLES) >= LIVE_TABLES:
+            _TABLES.popitem(last=False)
+        table = _TABLES[key] = make()
+    _TABLES.move_to_end(key)
+    return table
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, importable, read_table
+from .common import fresh, importable, read_table, worker_table
 from .shingles import WIDTH, member, shingle_hashes, word_hashes
 
 RADIUS = 19
@@ -155,9 +155,10 @@ class Matcher:
                     best[i] = (value, start, start + min(size, n))
 
 
-@lru_cache(maxsize=4)
-def _matcher(items, similarity, radius) -> Matcher:
-    return Matcher(items, similarity, radius)
+def _matchers(groups: list, similarity: float, radius: int) -> list[Matcher]:
+    """The matchers of a block of items, kept by the block's hash while the stage runs."""
+    key = ("matchers", hash(tuple(groups)), similarity, radius)
+    return worker_table(key, lambda: [Matcher(g, similarity, radius) for g in groups])
 
 
 def _matches_of(items: tuple, similarity: float, radius: int):
@@ -165,7 +166,7 @@ def _matches_of(items: tuple, similarity: float, radius: int):
 
     @F.pandas_udf(MATCHES)
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matchers = [_matcher(g, similarity, radius) for g in groups]
+        matchers = _matchers(groups, similarity, radius)
         for texts in batches:
             yield pd.Series([
                 [dict(zip(("item_id", "similarity", "start_word", "stop_word"), m))

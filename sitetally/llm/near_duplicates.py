@@ -8,19 +8,10 @@ linked if 100 * intersection >= 85 * union; groups are the components of the lin
    they are.  A set's signature has ``SLOTS`` = 320 SuperMinHash slots, kept as one
    byte each; 40 bands of 8 slots name its buckets.  Sets at 0.85 share a band with
    odds of 300,000 to 1, sets at 0.3 with odds of 1 to 400.
-2. *First links.*  In the buckets of the first 8 bands every set is tied to one set
-   that the signatures hold similar: in buckets of up to ``SMALL`` sets the first such
-   one, in larger ones up to ``PIVOTS`` sets of the bucket.  These pairs are compared
-   on their full sets; true links are united.
-3. *The rest.*  Buckets of all bands that lie within one group need nothing more.  In
-   the others each pair of different groups whose signatures come near is compared on
-   the full sets, inside the bucket, best estimates first; pairs whose groups meet on
-   the way are skipped, and a pair is compared in the first of its buckets only.
-   Buckets of more than ``SMALL`` sets are split by ``SPLIT_SLOTS`` more slots a level,
-   ``SPLITS`` ways each, at most ``DEPTH`` times; what is still large (sets that agree in
-   20 slots and more, yet are in several groups) is compared in pairs of parts: those
-   outside the bucket's largest group against all.
-   Buckets whose sets are large in bytes give pairs instead, which are joined.
+2. *Links* (``set_links``): pairs that the signatures hold near are compared on their
+   full sets, first a few of each bucket of the first 8 bands, then those that still
+   lie between groups in the buckets of all bands.  Buckets of more than ``SMALL`` sets
+   are split by ``SPLIT_SLOTS`` more slots a level, ``SPLITS`` ways each.
 
 Only links confirmed on full sets unite documents.  The components of all links
 come from ``components`` (staged rounds), never from one task.
@@ -35,7 +26,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -45,19 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import importable, read_table, staged
-from .components import components
-from .shingles import ascii_word_hashes, member, shingle_hashes
+from .set_links import HEAVY_BYTES, SMALL, Rule, link_groups
+from .shingles import ascii_word_hashes, shingle_hashes
 from .superminhash import SLOTS, signatures
 
 WIDTH = 3
 PERCENT = 85
 ROWS, BANDS, FIRST_BANDS = 8, SLOTS // 8, 8
 MARGIN = 0.08                   # estimates of links lie lower than this with odds of about 1 to 30,000
-SMALL = 1024
-PIVOTS = 8
-SPLIT_SLOTS, SPLITS, DEPTH = 4, 6, 3
-HEAVY_BYTES = 64 << 20          # full sets of a bucket that one task takes in
-BROADCAST_ROWS = 200_000        # rows of 24 bytes
+SPLIT_SLOTS, SPLITS = 4, 6
 GROUP_TEXTS, GROUP_BYTES = 2048, 4 << 20
 
 DESCRIBED = "id long, t1 long, t2 long, s1 long, s2 long, size long, sketch binary"
@@ -122,214 +109,19 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _unpacked(sketches) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, SLOTS)
-
-
-def _whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames that end with a bucket's last row; rows come sorted by node."""
-    rest = None
-    for batch in batches:
-        frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        node = frame["node"].to_numpy()
-        cut = int(np.searchsorted(node, node[-1], "left")) if len(node) else 0
-        rest = frame.iloc[cut:]
-        if cut:
-            yield frame.iloc[:cut]
-    if rest is not None and len(rest):
-        yield rest
-
-
-def _near_pairs(frame: pd.DataFrame, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, estimate) of near rows of the same bucket and different groups, i < j."""
-    node, group = frame["node"].to_numpy(), frame["group"].to_numpy()
-    side = frame["side"].to_numpy()
-    rows = _unpacked(frame["sketch"])
-    i, step = np.arange(len(node)), 1
-    while True:
-        i = i[i + step < len(node)]
-        i = i[node[i] == node[i + step]]
-        if not len(i):
-            return
-        use = i[(group[i] != group[i + step]) & ((side[i] != side[i + step]) | (side[i] == 0))]
-        for at in range(0, len(use), 1 << 15):
-            a = use[at:at + (1 << 15)]
-            found = estimate(rows[a], rows[a + step])
-            near = found >= least
-            if near.any():
-                yield a[near], a[near] + step, found[near]
-        step += 1
-
-
-def _least(percent: int) -> float:
-    """Estimate from which on a pair is looked at."""
-    return percent / 100 - MARGIN
-
-
-def _tie_small(percent: int):
-    """Every row's first near row of its bucket."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_buckets(batches):
-            first = np.full(len(frame), len(frame), dtype=np.int64)
-            for i, j, _ in _near_pairs(frame, _least(percent)):
-                np.minimum.at(first, j, i)
-            j = np.flatnonzero(first < len(frame))
-            if len(j):
-                s = frame["s"].to_numpy()
-                yield pd.DataFrame({"a": s[j], "b": s[first[j]]}).drop_duplicates()
-    return run
-
-
-def _flag(percent: int):
-    """Rows that have a near row in their bucket."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_buckets(batches):
-            flagged = np.zeros(len(frame), dtype=bool)
-            for i, j, _ in _near_pairs(frame, _least(percent)):
-                flagged[i] = flagged[j] = True
-            if flagged.any():
-                yield frame.loc[flagged, ["node", "s"]]
-    return run
-
-
-def _pairs(percent: int):
-    """All near pairs of buckets whose full sets are too large for one task."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_buckets(batches):
-            s = frame["s"].to_numpy()
-            for i, j, _ in _near_pairs(frame, _least(percent)):
-                yield pd.DataFrame({"a": s[j], "b": s[i]})
-    return run
-
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets have 100 * intersection >= percent * union."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < percent * len(large):
-        return False
-    both = int(np.count_nonzero(member(small, large)))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _unite(percent: int):
-    """Links between groups of a bucket, on full sets; best estimates first."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_buckets(batches):
-            found = list(_near_pairs(frame, _least(percent)))
-            if not found:
-                continue
-            i, j, near = (np.concatenate(x) for x in zip(*found))
-            first = _first_bucket(frame, i, j)
-            i, j, near = i[first], j[first], near[first]
-            s, sets = frame["s"].to_numpy(), [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-            group, root = frame["group"].to_numpy().tolist(), {}
-
-            def top(g):
-                while g in root:
-                    g = root[g]
-                return g
-
-            links = []
-            for k in np.argsort(-near, kind="stable").tolist():
-                a, b = int(i[k]), int(j[k])
-                one, two = top(group[a]), top(group[b])
-                if one != two and linked(sets[a], sets[b], percent):
-                    root[max(one, two)] = min(one, two)
-                    links.append((int(s[a]), int(s[b])))
-            if links:
-                yield pd.DataFrame(links, columns=["a", "b"])
-    return run
-
-
 def _first_bucket(frame: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs have no earlier band in common that is compared as a small bucket.
 
     ``bits`` marks a set's bands of that kind (0 in parts of split buckets)."""
     bits, band = frame["bits"].to_numpy().astype(np.uint64), frame["band"].to_numpy()
     both, out = bits[i] & bits[j], np.ones(len(i), dtype=bool)
-    words = _unpacked(frame["sketch"]).view(np.uint64)
+    words = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(frame), -1)
     for k in range(BANDS):
         earlier = (both >> np.uint64(k)) & np.uint64(1) == 1
         out &= ~(earlier & (k < band[i]) & (words[i, k] == words[j, k]))
     return out
 
 
-def _by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.repartition("node").sortWithinPartitions("node", "s")
-
-
-# ---- full sets ---------------------------------------------------------------
-
-def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(s, shingles) of the wanted sets, from the text of one document each."""
-    wanted = staged(wanted.select("s").distinct().join(sets.select("s", "t1", "t2"), "s"), "near-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-
-    @F.arrow_udf("binary")
-    def shingled(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), width).tobytes() for t in texts], pa.binary())
-
-    texts = docs.join(wanted, ["t1", "t2"]).dropDuplicates(["s"])
-    return staged(texts.select("s", shingled("text").alias("shingles")), "near-shingles")
-
-
-def _true_links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by a join of both full sets."""
-    @F.arrow_udf("boolean")
-    def is_link(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)
-                         for x, y in zip(a, b)], pa.bool_())
-
-    both = pairs.join(full.select(F.col("s").alias("a"), F.col("shingles").alias("x")), "a").join(
-        full.select(F.col("s").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.where(is_link("x", "y")).select("a", "b")
-
-
-# ---- the two rounds ----------------------------------------------------------
-
-def _pivot_pairs(large: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a set and the pivots of its large buckets that come near; large: s, node, sketch."""
-    pivots = (large.groupBy("node", F.pmod(F.xxhash64("s"), F.lit(PIVOTS)).alias("class"))
-                   .agg(F.min(F.struct(F.xxhash64("s", F.lit(1)), "s", "sketch")).alias("pivot"))
-                   .groupBy("node").agg(F.collect_list(F.struct("pivot.s", "pivot.sketch")).alias("pivots")))
-
-    @F.pandas_udf("array<long>")
-    def near_pivots(s: pd.Series, sketch: pd.Series, ids: pd.Series, sketches: pd.Series) -> pd.Series:
-        out = []
-        for own, mine, who, rows in zip(s, sketch, ids, sketches):
-            rows = _unpacked(rows)
-            near = estimate(rows, np.broadcast_to(np.frombuffer(mine, np.uint8), rows.shape)) >= _least(percent)
-            out.append([int(p) for p, ok in zip(who, near) if ok and p != own])
-        return pd.Series(out)
-
-    tied = large.join(pivots, "node").select(
-        "s", near_pivots("s", "sketch", "pivots.s", "pivots.sketch").alias("to"))
-    return (tied.groupBy("s").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
-                .select(F.col("s").alias("a"), F.explode("to").alias("b")))
-
-
-def _first_links(docs, sets, width: int, percent: int, small: int) -> DataFrame:
-    rows = _in_buckets(sets, FIRST_BANDS).select("s", "node")
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    met = staged(rows.join(sizes, "node").join(sets.select("s", "sketch"), "s"), "near-first")
-    met = met.withColumn("group", F.col("s")).withColumn("side", F.lit(0))
-    pairs = _by_bucket(met.where(F.col("n") <= small)).mapInPandas(_tie_small(percent), "a long, b long")
-    large = met.where(F.col("n") > small)
-    if not large.isEmpty():
-        pairs = pairs.unionByName(_pivot_pairs(large, percent))
-    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    full = _full_sets(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("s")), width)
-    return staged(_true_links(pairs, full, percent), "near-links")
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one group, with their bucket's size in sets and bytes."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"),
-                                     F.min("group").alias("low"), F.max("group").alias("high"))
-    return rows.join(sizes.where("low < high").select("node", "n", "shingles"), "node")
-
-
 def _split(rows: DataFrame, depth: int) -> DataFrame:
     """Rows of large buckets in finer ones: ``SPLITS`` ways of ``SPLIT_SLOTS`` more equal slots."""
     way = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("way")
@@ -339,58 +131,6 @@ def _split(rows: DataFrame, depth: int) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("node", "way", *slots)).drop("way")
 
 
-def _parts(rows: DataFrame, small: int) -> DataFrame:
-    """Large buckets as pairs of parts: sets outside the largest group against all.
-
-    Side 1 and 2 of a pair are compared with each other, side 0 within itself."""
-    sizes = rows.groupBy("node", "group").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("node").agg(F.max_by("group", "n").alias("main"), F.sum("n").alias("n"))
-    rows = rows.drop("n", "shingles").join(main, "node")
-    count = F.ceil(F.col("n") / F.lit(small)).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("s", F.lit(5)), count).cast("int"))
-    rows = rows.withColumn("outside", F.col("group") != F.col("main"))
-    # an outside part o meets every part p as (o, p); o = p is compared within itself
-    own = F.when(F.col("outside"), F.transform(
-        F.sequence(F.lit(0), count - 1), lambda p: F.struct(F.col("part").alias("o"), p.alias("p"), F.lit(1).alias("side"))))
-    met = F.transform(F.sequence(F.lit(0), count - 1),
-                      lambda o: F.struct(o.alias("o"), F.col("part").alias("p"), F.lit(2).alias("side")))
-    dealt = rows.withColumn("pair", F.explode(F.concat(F.coalesce(own, F.array().cast("array<struct<o:int,p:int,side:int>>")), met)))
-    return dealt.withColumn("node", F.xxhash64("node", "pair.o", "pair.p")).withColumn("side", F.col("pair.side")).select(
-        "s", "node", "band", "group", "size", "sketch", "side")
-
-
-def _other_links(docs, sets, width: int, percent: int, small: int, heavy: int) -> DataFrame:
-    """Links between the groups of ``sets`` (s, t1, t2, size, sketch, group)."""
-    met = staged(_mixed(_in_buckets(sets, BANDS)).join(sets.select("s", "sketch"), "s"), "near-mixed")
-    one = met.where(F.col("n") <= small).withColumn("side", F.lit(0))
-    bits = one.groupBy("s").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("bits"))
-    buckets, large = [one.join(bits, "s")], met.where(F.col("n") > small)
-    for depth in range(DEPTH + 1):
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            parts = _parts(large, small).withColumn("bits", F.lit(0).cast("long"))
-            of = parts.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-            buckets.append(parts.join(of, "node"))
-            break
-        met = staged(_mixed(_split(large, depth)), "near-split")
-        buckets.append(met.where(F.col("n") <= small).withColumn("side", F.lit(0)).withColumn(
-            "bits", F.lit(0).cast("long")))
-        large = met.where(F.col("n") > small)
-    columns = ["node", "s", "band", "group", "side", "bits", "sketch", "shingles"]
-    rows = staged(reduce(DataFrame.unionByName, [b.select(*columns) for b in buckets]), "near-buckets")
-    flagged = staged(_by_bucket(rows).mapInPandas(_flag(percent), "node long, s long"), "near-flagged")
-    full = _full_sets(docs, sets, flagged, width)
-    rows = rows.withColumnRenamed("shingles", "held").join(flagged.distinct(), ["node", "s"])
-    light = rows.where(F.col("held") <= heavy // 8).join(full, "s")
-    links = _by_bucket(light.drop("held")).mapInPandas(_unite(percent), "a long, b long")
-    large = rows.where(F.col("held") > heavy // 8)
-    if not large.isEmpty():
-        pairs = _by_bucket(large.drop("held")).mapInPandas(_pairs(percent), "a long, b long").distinct()
-        links = links.unionByName(_true_links(pairs, full, percent))
-    return links
-
-
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                           percent: int = PERCENT, small: int = SMALL, heavy: int = HEAVY_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
@@ -403,14 +143,10 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.min("id").alias("rep"), F.min(F.struct("t1", "t2")).alias("t"), F.first("size").alias("size"),
         F.first("sketch").alias("sketch")).select(
         "s1", "s2", "rep", "t.*", "size", "sketch", F.monotonically_increasing_id().alias("s")), "near-sets")
-    texts = docs.drop("id")
-    first = _first_links(texts, sets.withColumn("group", F.col("s")), width, percent, small)
-    tree = components(first.select(F.col("b").alias("child"), F.col("a").alias("parent")), "near-groups")
-    grouped = staged(sets.join(tree.withColumnRenamed("child", "s"), "s", "left").select(
-        *sets.columns, F.coalesce("parent", "s").alias("group")), "near-grouped")
-    other = _other_links(texts, grouped, width, percent, small, heavy)
-    links = first.unionByName(other).select(F.col("b").alias("child"), F.col("a").alias("parent"))
-    tree = components(links, "near-components")
+    rule = Rule(percent, percent / 100 - MARGIN, estimate, partial(shingle_set, width=width), _first_bucket,
+                small, heavy)
+    first = _in_buckets(sets.withColumn("group", F.col("s")), FIRST_BANDS)
+    tree = link_groups(docs.drop("id"), sets, first, lambda grouped: _in_buckets(grouped, BANDS), _split, rule)
     named = sets.join(tree.withColumnRenamed("child", "s"), "s", "left").select(
         "s1", "s2", "rep", F.coalesce("parent", "s").alias("group"))
     smallest = named.groupBy("group").agg(F.min("rep").alias("least"))

@@ -25,7 +25,6 @@ import base64
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, importable, read_table
+from .common import fresh, importable, read_table, worker_table
 from .tokens import default_vocabulary
 
 _WORDS = re.compile("[^\x20\x09-\x0D]+")
@@ -76,11 +75,14 @@ def _rank_encoding(path: str):
 class _WordTable:
     """Token figures of single words under both vocabularies, numbered in order of arrival.
 
-    ``prepare`` sends the words that are new through the libraries in one call;
-    the table starts anew once it holds ``capacity`` words.
+    ``prepare`` sends the words that are new through the libraries in one call; the
+    table starts anew once its words, at ``ENTRY`` bytes besides their characters,
+    reach ``capacity`` bytes.
     """
 
-    def __init__(self, piece_path: str, byte_path: str, capacity: int = 1_000_000):
+    ENTRY = 220
+
+    def __init__(self, piece_path: str, byte_path: str, capacity: int = 64 << 20):
         import sentencepiece
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.bytes = _rank_encoding(byte_path)
@@ -90,16 +92,21 @@ class _WordTable:
 
     def _empty(self):
         self.number: dict[str, int] = {}
+        self.size = 0
         self.ids = np.empty(0, dtype=np.uint16)
         self.stops = np.zeros(1, dtype=np.int64)       # ids of word i: ids[stops[i]:stops[i + 1]]
         self.byte_tokens = np.empty(0, dtype=np.int32)
 
     def prepare(self, words: set[str]):
-        if len(self.number) + len(words) > self.capacity:
-            self._empty()
         new = [w for w in words if w not in self.number]
+        more = sum(map(len, new)) + self.ENTRY * len(new)
+        if self.number and self.size + more > self.capacity:
+            self._empty()
+            new = list(words)
+            more = sum(map(len, new)) + self.ENTRY * len(new)
         if not new:
             return
+        self.size += more
         found = self.pieces.encode(new, num_threads=1)
         self.byte_tokens = np.concatenate((self.byte_tokens, np.fromiter(
             (len(self.bytes.encode_ordinary(" " + w)) for w in new), np.int32, len(new))))
@@ -125,9 +132,8 @@ class _WordTable:
                 float(counts[self.is_byte].sum() / total), float(-(p * np.log2(p)).sum() / most))
 
 
-@lru_cache(maxsize=2)
 def _word_table(piece_path: str, byte_path: str) -> _WordTable:
-    return _WordTable(piece_path, byte_path)
+    return worker_table(("words", piece_path, byte_path), lambda: _WordTable(piece_path, byte_path))
 
 
 def repeated_words(numbers: np.ndarray) -> int:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
+from .common import worker_table
+
 WIDTH = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,9 +39,8 @@ class _WordHashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def _table() -> _WordHashes:
-    return _WordHashes()
+    return worker_table("word hashes", _WordHashes)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

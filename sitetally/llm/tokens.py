@@ -12,10 +12,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from .common import worker_table
+
 # Letters whose class is the same for ``re`` as for the tokenizer's \p{L}.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(f"[^\\t\\n\\r\\x20-\\x7e{_LETTERS}]")
@@ -35,17 +36,27 @@ def _byte_chars() -> dict[int, int]:
     return {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+CACHE_BYTES = 32 << 20
+
+
 class _Cache(dict):
-    """Bytes of a piece's ids; forgets everything when ``capacity`` is reached."""
+    """Bytes of a piece's ids; forgets everything when ``capacity`` pieces or
+    ``CACHE_BYTES`` are reached (``ENTRY``: what an entry takes besides its content)."""
+
+    ENTRY = 220
 
     def __init__(self, encode_one, capacity):
         super().__init__()
-        self.encode_one, self.capacity = encode_one, capacity
+        self.encode_one, self.capacity, self.size = encode_one, capacity, 0
 
     def __missing__(self, piece):
-        if len(self) >= self.capacity:
+        value = self.encode_one(piece)
+        size = self.ENTRY + 2 * len(piece) + len(value)
+        if len(self) >= self.capacity or self.size + size > CACHE_BYTES:
             self.clear()
-        value = self[piece] = self.encode_one(piece)
+            self.size = 0
+        self.size += size
+        self[piece] = value
         return value
 
 
@@ -92,7 +103,6 @@ class PieceEncoder:
         return np.frombuffer(self.encode(text), dtype=self.dtype)
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
     """One encoder per vocabulary file and Python worker."""
-    return PieceEncoder(path)
+    return worker_table(("encoder", path), lambda: PieceEncoder(path))
