@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetally.llm.common import fresh, read_table, staged
+from sitetally.llm.common import read_table, staged
 from sitetally.llm.decontaminate import keep_clean
-from sitetally.llm.jaccard_join import join_similar
+from sitetally.llm.jaccard_join import keep_one
 from sitetally.llm.packing import pack
 from sitetally.llm.pii import redact
 from sitetally.llm.quality import keep_good
@@ -24,18 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every class of similar documents.
-
-    Rows are known by a hash of id and text; of rows equal in both, one stays.
-    """
-    row = fresh(docs, "row")
-    known = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    classes = join_similar(known, id_col=row).withColumnRenamed("class_id", "class")
-    ids = known.select(row, "doc_id").distinct()
-    kept = (classes.select(row, "class").distinct().join(ids, row).groupBy("class")
-                   .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
-                   .select(F.col(f"first.{row}").alias(row)))
-    return known.join(kept, row).dropDuplicates([row]).select(*docs.columns)
+    """The document with the smallest id of every class of similar documents."""
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
