@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections import OrderedDict
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,18 +34,29 @@ _TABLES: OrderedDict = OrderedDict()
 LIVE_TABLES = 2
 
 
-def worker_table(key, make):
-    """The worker's table for ``key``, made when it is not there; the ``LIVE_TABLES`` used
-    last are held.  Each table bounds its own bytes."""
+def worker_table(key, make, alone: bool = False):
+    """The worker's table for ``key``, made when it is not there.  The ``LIVE_TABLES`` used
+    last are held, and only this one if its stage uses it ``alone``.  Each table bounds
+    its own bytes; memory of those that go is given back to the system."""
     table = _TABLES.get(key)
     if table is None:
-        while len(_TABLES) >= LIVE_TABLES:
+        while len(_TABLES) >= (1 if alone else LIVE_TABLES):
             _TABLES.popitem(last=False)
+        _give_back()
         table = _TABLES[key] = make()
     _TABLES.move_to_end(key)
     return table
 
 
+def _give_back() -> None:
+    """Return memory that this process no longer uses (glibc keeps it otherwise)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

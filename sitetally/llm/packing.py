@@ -113,7 +113,7 @@ def _pack_documents(vocabulary: str, end_id: int, window: int, open_windows: int
 
 
 def _merge_group(round_no: int, window: int, open_windows: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
         packer = _Packer(window, open_windows, _first_id(round_no, part))
         frame = frame.sort_values(["part", "sequence_id", "offset"], kind="stable")

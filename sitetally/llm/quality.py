@@ -133,7 +133,8 @@ class _WordTable:
 
 
 def _word_table(piece_path: str, byte_path: str) -> _WordTable:
-    return worker_table(("words", piece_path, byte_path), lambda: _WordTable(piece_path, byte_path))
+    return worker_table(("words", piece_path, byte_path), lambda: _WordTable(piece_path, byte_path),
+                        alone=True)
 
 
 def repeated_words(numbers: np.ndarray) -> int:

@@ -105,4 +105,4 @@ class PieceEncoder:
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder per vocabulary file and Python worker."""
-    return worker_table(("encoder", path), lambda: PieceEncoder(path))
+    return worker_table(("encoder", path), lambda: PieceEncoder(path), alone=True)

@@ -82,6 +82,6 @@ def test_empty_documents(spark, sf_dir):
 def test_queries_are_registered():
     import __spark_entry__ as e
     names = [n for n in e.queries() if n == "pipeline" or n.startswith("op")]
-    assert sorted(names) == sorted(["pipeline", *(n for n in names if n.startswith("op"))]) and len(names) == 11
+    assert sorted(names) == sorted(["pipeline", *(n for n in names if n.startswith("op"))]) and len(names) == 14
     assert {n[2:].split("_")[0] for n in names if n != "pipeline"} == {str(k) for k in range(1, 14)}
     assert jaccard_join.SIMILARITY == 0.8 and pii.BASE_KINDS == ["email", "ip", "card", "phone"]
