@@ -32,11 +32,16 @@ _SPAN = _CHUNK + (1 << 12)
 _UP, _DOWN = _powers(_B, _SPAN), _powers(_B_INVERSE, _SPAN)
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of every run of ``gram`` bytes (a polynomial by prefix sums, scrambled)."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial in the bytes, by which any stretch is hashed."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUES[data] * _UP[:len(data)], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * _DOWN[:len(data) - gram + 1]
+    return sums
+
+
+def gram_hashes(sums: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of every run of ``gram`` bytes, scrambled."""
+    h = (sums[gram:] - sums[:-gram]) * _DOWN[:len(sums) - gram]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -54,41 +59,57 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor hash, anchor position) of every anchor, in order."""
+SCREENS = 4
+
+
+def _screens(sums: np.ndarray, first: np.ndarray, end: np.ndarray, place: np.ndarray,
+             length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``SCREENS`` stretches around each anchor, a column each, and where a
+    stretch leaves its context (no hash).
+
+    A window that starts ``a`` bytes left of the anchor covers the stretch number
+    a // step, counted from the one that starts at the anchor.  So two contexts
+    share a window only if they share one of their stretches.  ``sums`` are the prefix
+    sums of ``gram_hashes``; equal stretches of different bytes only cost work.
+    """
+    step = (length - GRAM) // SCREENS
+    size = GRAM + (SCREENS - 1) * step
+    at = place[:, None] - step * np.arange(SCREENS)
+    outside = (at < first[:, None]) | (at + size > end[:, None])
+    at = np.where(outside, 0, at)
+    h = (sums[np.where(outside, 0, at + size)] - sums[at]) * _DOWN[at]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32), outside
+
+
+def screened_anchors(data: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """First window, windows, anchor hash, anchor position, screens and screens outside
+    of every anchor, in order."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    firsts, counts, keys, places = [], [], [], []
+    firsts, counts, keys, places, screens, outside = [], [], [], [], [], []
     for start in range(0, len(raw) - length + 1, _CHUNK):
         part = raw[start:start + _CHUNK + length - 1]
-        h = gram_hashes(part)
+        sums = prefix_sums(part)
+        h = gram_hashes(sums)
         h = (h & ~_MASK) | np.arange(len(h), dtype=np.uint64)
         least = sliding_min(h, length - GRAM + 1)
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         firsts.append(first + start)
         counts.append(np.diff(np.append(first, len(least))))
         keys.append((least[first] >> _POSITION_BITS).astype(np.int64))
-        places.append((least[first] & _MASK).astype(np.int64) + start)
+        place = (least[first] & _MASK).astype(np.int64)
+        places.append(place + start)
+        own, out = _screens(sums, first, first + counts[-1] + length - 1, place, length)
+        screens.append(own)
+        outside.append(out)
     if not firsts:
-        empty = np.empty(0, dtype=np.int64)
-        return empty, empty, empty, empty
-    return tuple(np.concatenate(x) for x in (firsts, counts, keys, places))
-
-
-SCREENS = 4
+        empty, none = np.empty(0, dtype=np.int64), np.empty((0, SCREENS), dtype=np.int32)
+        return empty, empty, empty, empty, none, none.astype(bool)
+    return tuple(np.concatenate(x) for x in (firsts, counts, keys, places, screens, outside))
 
 
-def screens(data: bytes, first: int, n: int, place: int, length: int) -> list[int | None]:
-    """Hashes of ``SCREENS`` stretches around an anchor, NULL where the context ends before.
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """(first window, windows, anchor hash, anchor position) of every anchor, in order."""
+    return screened_anchors(data, length)[:4]
 
-    A window that starts ``a`` bytes left of the anchor covers the stretch number
-    a // step, counted from the one that starts at the anchor.  So two contexts
-    share a window only if they share one of their stretches.
-    """
-    step = (length - GRAM) // SCREENS
-    size, end = GRAM + (SCREENS - 1) * step, first + n + length - 1
-    out = []
-    for k in range(SCREENS):
-        at = place - k * step
-        out.append(xxhash.xxh32_intdigest(data[at:at + size]) - (1 << 31)
-                   if at >= first and at + size <= end else None)
-    return out

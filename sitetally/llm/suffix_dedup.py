@@ -32,14 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import anchors, screens
+from .anchors import SCREENS, screened_anchors
 from .common import importable, new_folder, read_table, staged, whole_text
 from .induced_sort import Scratch, repeated_starts
 
 LENGTH = 400
 SHARD_BYTES = 8 << 20
 
-ANCHOR_SCHEMA = "t long, id string, first int, n int, key long, ctx long, screens array<int>"
+ANCHOR_SCHEMA = "t long, id string, first int, n int, key long, ctx long, " + ", ".join(
+    f"screen{k} int" for k in range(SCREENS))
 CONTEXT_SCHEMA = "key long, ctx long, copies long, n int, bytes binary"
 WINDOW_SCHEMA = "key long, ctx long, start int, stop int"
 
@@ -56,13 +57,14 @@ def _find_anchors(length: int):
                 data = text.encode()
                 if len(data) < length:
                     continue
-                first, n, key, place = anchors(data, length)
+                first, n, key, _, screens, outside = screened_anchors(data, length)
                 ctx = np.fromiter((xxhash.xxh3_64_intdigest(_context(data, a, b, length))
                                    for a, b in zip(first.tolist(), n.tolist())), np.uint64, len(first))
                 held.append(pd.DataFrame({"t": t, "id": row_id, "first": first, "n": n, "key": key,
-                                          "ctx": ctx.astype(np.int64), "screens": [
-                                              screens(data, a, b, p, length) for a, b, p in
-                                              zip(first.tolist(), n.tolist(), place.tolist())]}))
+                                          "ctx": ctx.astype(np.int64),
+                                          **{f"screen{k}": pd.arrays.IntegerArray(
+                                              np.ascontiguousarray(screens[:, k]), outside[:, k].copy())
+                                             for k in range(SCREENS)}}))
                 size += len(first)
                 if size > 50_000:
                     yield pd.concat(held)
@@ -133,13 +135,14 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, shard_bytes: int =
     mixed = shared.where("mixed")
     one_each = staged(mixed.groupBy("key", "ctx").agg(
         F.count("*").alias("copies"), F.min(F.struct("t", "id", "first", "n")).alias("at"),
-        F.first("screens").alias("screens")), "dedup-contexts")
-    stretches = one_each.select("key", "ctx", "copies", F.posexplode("screens").alias("k", "stretch")) \
+        *[F.first(f"screen{k}").alias(f"screen{k}") for k in range(SCREENS)]), "dedup-contexts")
+    stretches = one_each.select("key", "ctx", "copies", F.posexplode(F.array(
+        *[f"screen{k}" for k in range(SCREENS)])).alias("k", "stretch")) \
         .where("stretch is not null")
     met = (stretches.groupBy("key", "k", "stretch").agg(F.count("*").alias("rows"), F.min("copies").alias("least"))
                     .where("rows > 1 and least = 1").drop("rows", "least"))
     doubtful = stretches.join(met, ["key", "k", "stretch"]).select("key", "ctx").distinct()
-    wanted = staged(one_each.drop("screens").join(doubtful, ["key", "ctx"]).groupBy("at.t", "at.id").agg(
+    wanted = staged(one_each.select("key", "ctx", "copies", "at").join(doubtful, ["key", "ctx"]).groupBy("at.t", "at.id").agg(
         F.collect_list(F.struct("key", "ctx", "copies", "at.first", "at.n")).alias("wanted"),
         F.sum(F.col("at.n") + (length - 1)).alias("size")), "dedup-wanted")
     total = wanted.agg(F.sum("size")).first()[0] or 0
