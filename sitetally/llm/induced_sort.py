@@ -26,6 +26,7 @@ import numpy as np
 
 BASE_NAMES = 1 << 24
 QUEUE_ITEMS = 1 << 25
+BLOCK = 1 << 18                     # tuples handled at once
 
 
 class Scratch:
@@ -56,6 +57,11 @@ class Scratch:
             self.system.delete_dir(self.path)
 
 
+def places(n: int) -> np.dtype:
+    """The narrowest type that holds positions in ``n`` symbols."""
+    return np.dtype(np.int32 if n < (1 << 31) - 16 else np.int64)
+
+
 TUPLE = np.dtype([("pos", "<i8"), ("lcp", "<i4")])
 
 
@@ -92,14 +98,27 @@ class BucketQueue:
         self.items -= sum(len(p) for p, _ in chunks)
         for path in files:
             for rows in self.scratch.blocks(path, TUPLE, self.most // 4 + 1):
-                yield rows["pos"].astype(np.int64), rows["lcp"].astype(np.int64)
-        if chunks:
-            yield np.concatenate([p for p, _ in chunks]), np.concatenate([x for _, x in chunks])
+                yield rows["pos"].copy(), rows["lcp"].copy()
+        yield from _blocks(chunks)
 
     def filled(self, bucket: int) -> bool:
         return bool(self.files[bucket] or self.held[bucket])
 
 
+def _blocks(chunks: list):
+    """The tuples of ``chunks`` in order, some ``BLOCK`` at a time; ``chunks`` is used up."""
+    chunks.reverse()
+    own, size = [], 0
+    while chunks:
+        pos, lcp = chunks.pop()
+        for at in range(0, len(pos), BLOCK):
+            own.append((pos[at:at + BLOCK], lcp[at:at + BLOCK]))
+            size += len(own[-1][0])
+            if size >= BLOCK or (not chunks and at + BLOCK >= len(pos)):
+                yield np.concatenate([p for p, _ in own]), np.concatenate([x for _, x in own])
+                own, size = [], 0
+
+
 class RunHeap:
     """Priority queue of (key, order, position); overflow becomes sorted runs on disk."""
 
@@ -128,12 +147,11 @@ class RunHeap:
 def s_types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one.  The last is S."""
     n = len(text)
-    grows = np.zeros(n, dtype=np.int8)
-    grows[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    grows[-1] = 1
-    where = np.where(grows != 0, np.arange(n), n)
-    following = np.minimum.accumulate(where[::-1])[::-1]
-    return grows[following] > 0
+    grows = np.append(text[1:] > text[:-1], True)
+    where = np.arange(n, dtype=places(n))
+    where[:-1][text[1:] == text[:-1]] = n
+    following = np.minimum.accumulate(where[::-1], out=where[::-1])[::-1]
+    return grows[following]
 
 
 def lms_positions(s_type: np.ndarray) -> np.ndarray:
@@ -144,28 +162,33 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     """Dense ranks of int64 keys."""
     order = np.argsort(keys)
     ordered = keys[order]
+    new = np.append(False, ordered[1:] != ordered[:-1])
+    del ordered
     out = np.empty(len(keys), dtype=np.int64)
-    out[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
+    out[order] = np.cumsum(new)
     return out
 
 
 def _names(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, unique_zero: bool) -> np.ndarray:
     """Ranks of LMS substrings, symbols compared with their types, in text order."""
     stop = np.append(lms[1:], len(text) - 1)
-    symbols = np.zeros(len(text) + 8, dtype=np.int64)
-    symbols[:len(text)] = (text.astype(np.int64) << 1) | s_type
+    wider = np.uint16 if text.dtype == np.uint8 else np.int64
+    symbols = np.zeros(len(text) + 8, dtype=wider)
+    np.left_shift(text, 1, out=symbols[:len(text)], dtype=wider)
+    symbols[:len(text)] |= s_type
     wide = int(symbols.max()) + 1
     per_key = max(1, min(7, int(40 / np.log2(wide + 1))))
     rank, at = np.zeros(len(lms), dtype=np.int64), 0
     open_ones = np.arange(len(lms))
     while len(open_ones):
-        key = rank[open_ones]
-        for k in range(per_key):
-            place = np.minimum(lms[open_ones] + at + k, len(text))
-            key = key * wide + np.where(place <= stop[open_ones], symbols[place], 0)
-        full = rank * (wide ** per_key)
-        full[open_ones] = key
-        rank = _ranks(full)
+        rank *= wide ** per_key
+        for own in np.array_split(open_ones, len(open_ones) // BLOCK + 1):
+            key = np.zeros(len(own), dtype=np.int64)
+            for k in range(per_key):
+                place = np.minimum(lms[own] + at + k, len(text))
+                key = key * wide + np.where(place <= stop[own], symbols[place], 0)
+            rank[own] += key
+        rank = _ranks(rank)
         at += per_key
         again = lms[open_ones] + at <= stop[open_ones]
         open_ones = open_ones[again]
@@ -180,7 +203,7 @@ def _names(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, unique_zero: b
 def _doubling(names: np.ndarray, cap: int) -> np.ndarray:
     """Order of the suffixes of ``names``, exact on their first ``cap`` names at least."""
     n = len(names)
-    rank, h = _ranks(names) + 1, 1
+    rank, h = (_ranks(names) + 1).astype(places(n)), 1
     while True:
         # only suffixes that still tie need a new rank
         count = np.bincount(rank)
@@ -188,18 +211,23 @@ def _doubling(names: np.ndarray, cap: int) -> np.ndarray:
         if not len(ties) or h >= cap:
             return np.argsort(rank, kind="stable")
         following = np.where(ties + h < n, rank[np.minimum(ties + h, n - 1)], 0)
-        base = np.concatenate(([0], np.cumsum(count)[:-1]))      # ranks leave room for their ties
-        key = rank[ties] * (n + 2) + following
+        # ranks leave room for their ties
+        base = np.append(0, np.cumsum(count)[:-1]).astype(rank.dtype)
+        del count
+        key = rank[ties].astype(np.int64) * (n + 2) + following
+        del following
         order = np.argsort(key)
-        ordered = key[order]
-        group = rank[ties][order]
-        first_of_group = np.concatenate(([True], group[1:] != group[:-1]))
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        index = np.arange(len(order))
-        group_start = np.maximum.accumulate(np.where(first_of_group, index, 0))
-        key_start = np.maximum.accumulate(np.where(new, index, 0))
+        key = key[order]
+        ties = ties[order]
+        del order
+        new = np.append(True, key[1:] != key[:-1])
+        del key
+        group = rank[ties]
+        first_of_group = np.append(True, group[1:] != group[:-1])
+        index = np.arange(len(ties), dtype=rank.dtype)
         spread = base[rank] + 1
-        spread[ties[order]] = base[group] + 1 + key_start - group_start
+        spread[ties] = (base[group] + 1 + np.maximum.accumulate(np.where(new, index, 0))
+                        - np.maximum.accumulate(np.where(first_of_group, index, 0)))
         rank = spread
         h *= 2
 
@@ -264,10 +292,13 @@ def _order(names: np.ndarray, cap: int, scratch: Scratch, base_names: int, heap_
 
 def common_prefixes(text: np.ndarray, room: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of suffixes a[k] and b[k], at most ``cap`` and up to the next separator."""
+    if len(a) > BLOCK:
+        return np.concatenate([common_prefixes(text, room, a[k:k + BLOCK], b[k:k + BLOCK], cap)
+                               for k in range(0, len(a), BLOCK)])
     padded = np.concatenate((text, np.zeros(16, dtype=text.dtype)))
     eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
     most = np.minimum(np.minimum(room[a], room[b]), cap)
-    out, left, done = np.zeros(len(a), dtype=np.int64), np.arange(len(a)), 0
+    out, left, done = np.zeros(len(a), dtype=np.int32), np.arange(len(a), dtype=places(len(a))), 0
     while len(left):
         x, y = a[left] + done, b[left] + done
         equal = eight[np.minimum(x, len(text))] == eight[np.minimum(y, len(text))]
@@ -279,21 +310,22 @@ def common_prefixes(text: np.ndarray, room: np.ndarray, a: np.ndarray, b: np.nda
 
 
 class _RangeMin:
-    """Smallest of x[lo..hi] for many ranges, by a sparse table."""
+    """Smallest of x[lo..hi] for many ranges: a sparse table of which one level, the
+    minima of 2**k neighbours, is held at a time."""
 
     def __init__(self, x: np.ndarray):
-        self.levels = [x]
-        while 2 * (1 << (len(self.levels) - 1)) <= len(x):
-            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.minimum(last[:-half], last[half:]))
+        self.x = x
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        out = np.empty(len(lo), dtype=np.int64)
-        level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            own = level == k
-            table = self.levels[k]
-            out[own] = np.minimum(table[lo[own]], table[hi[own] - (1 << int(k)) + 1])
+        out = np.empty(len(lo), dtype=self.x.dtype)
+        level = (np.frexp((hi - lo + 1).astype(np.float64))[1] - 1).astype(np.int8)
+        table = self.x
+        for k in range(int(level.max(initial=-1)) + 1):
+            if k:
+                half = 1 << (k - 1)
+                table = np.minimum(table[:-half], table[half:])
+            own = np.flatnonzero(level == k)
+            out[own] = np.minimum(table[lo[own]], table[hi[own] - (1 << k) + 1])
         return out
 
 
@@ -343,13 +375,16 @@ def repeated_starts(text: np.ndarray, cap: int, scratch: Scratch, base_names: in
     n = len(text)
     s_type = s_types(text)
     zeros = np.flatnonzero(text == 0)
-    room = zeros[np.searchsorted(zeros, np.arange(n))] - np.arange(n)
+    room = np.repeat(zeros.astype(places(n)), np.diff(zeros, prepend=-1))
+    room -= np.arange(n, dtype=places(n))
     lms = lms_positions(s_type)
     out = np.zeros(n, dtype=bool)
     if not len(lms):
         return out
+    lms = lms.astype(places(n))
     seeds = lms[_order(_names(text, s_type, lms, True), cap // 2 + 1, scratch, base_names, queue_items)]
-    seed_lcp = np.zeros(len(seeds), dtype=np.int64)
+    del lms
+    seed_lcp = np.zeros(len(seeds), dtype=np.int32)
     seed_lcp[1:] = common_prefixes(text, room, seeds[:-1], seeds[1:], cap)
     seed_bounds = np.searchsorted(text[seeds], np.arange(258))
 
@@ -372,11 +407,12 @@ def repeated_starts(text: np.ndarray, cap: int, scratch: Scratch, base_names: in
                 last = int(pos[-1])
         a, b = seed_bounds[c], seed_bounds[c + 1]
         if a < b:
-            lcp = seed_lcp[a:b].copy()
-            lcp[0] = 0 if last is None else between(last, int(seeds[a]))
-            inducer.feed(seeds[a:b], lcp)
+            seed_lcp[a] = 0 if last is None else between(last, int(seeds[a]))
+            for own in _blocks([(seeds[a:b], seed_lcp[a:b])]):
+                inducer.feed(*own)
 
     # downwards: S suffixes, after each bucket its L suffixes; both from large to small
+    del seeds, seed_lcp
     queue = BucketQueue(257, scratch, queue_items)
     inducer = _Inducer(text, s_type, queue, cap)
     for c in range(256, -1, -1):
@@ -394,7 +430,7 @@ def repeated_starts(text: np.ndarray, cap: int, scratch: Scratch, base_names: in
         chunks = list(kept.take(c))
         carried = None              # common prefix with the next larger L suffix
         for pos, lcp in reversed(chunks):
-            down = np.concatenate(([0], lcp[:0:-1]))
+            down = np.append(np.zeros(1, dtype=lcp.dtype), lcp[:0:-1])
             pos_down = pos[::-1]
             if carried is not None:
                 down[0] = carried
