@@ -10,8 +10,8 @@ the previous calendar month is reported.  Output folders under ``OUT``:
 ``hours``, ``incidents``, ``combined`` (single CSV files with the display
 columns), ``unmapped``, ``status``, ``alerts`` and, with ``--expenditures``,
 ``expenditures``;
-``_raw`` holds the decoded workbook rows (Parquet), written once and read by
-every report.
+``_raw`` holds the decoded workbook rows and sheet indexes (Parquet), written once
+and read by every report.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from sitetally.session import build_session
 from sitetally.sinks import display_view, write_report
 from sitetally.sources import layouts
 from sitetally.sources.tables import blank_to_null, read_table
-from sitetally.sources.workbook import ingest_workbooks
+from sitetally.sources.workbook import land_workbooks
 
 MAP_SCHEMAS = {
     "exempt": schemas.EXEMPT_MAP,
@@ -58,9 +58,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
     raw = {}
     for k in ("exempt", "nonexempt", "incidents", *(["expenditures"] if args.expenditures else [])):
         # decode each workbook once; every report reads the written raw rows
-        landed = os.path.join(args.out, "_raw", k)
-        ingest_workbooks(spark, getattr(args, k)).write.mode("overwrite").parquet(landed)
-        raw[k] = spark.read.parquet(landed)
+        raw[k] = land_workbooks(spark, getattr(args, k), os.path.join(args.out, "_raw", k))
     m = monthly_reports(
         layouts.exempt_hours(raw["exempt"]), read_mapping(spark, args.exempt_map, "exempt"),
         layouts.nonexempt_hours(raw["nonexempt"]),

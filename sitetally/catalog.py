@@ -157,7 +157,7 @@ def nonexempt_report_blank_keys(spark, d):
 
 
 def sheet_header_footer(spark, d):
-    return sheet_table(R.sheet_rows(spark, d),
+    return sheet_table(R.indexed_sheet_rows(spark, d),
                        {"priority": "Priority", "status": "Status", "customer": "Customer"},
                        skip=2, footer=3)
 

@@ -20,6 +20,9 @@ ALERT_RULES = "column string, value string, message string"
 # Raw sheet rows written by the workbook ingest.
 RAW_SHEET = ("path string, sheet string, sheet_no int, row_index bigint, "
              "cells array<string>")
+# What the ingest knows of a sheet when it has decoded it: its last row and first rows.
+SHEET_INDEX = ("path string, sheet string, sheet_no int, last bigint, "
+               "tops array<struct<row_index:bigint,cells:array<string>>>")
 
 # Reports (labelled form; a leading period column is added with ``by``).
 HOURS_REPORT = "facility string, section string, row_kind string, hours double"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitetally.functions.measures import HOURS_DECIMAL
-from sitetally.sources.sheets import sheet_table
+from sitetally.sources.sheets import SheetRows, sheet_table
 from sitetally.sources.tables import blank_to_null, typed_incidents
 
 
@@ -40,7 +40,7 @@ EXPENDITURES = Layout(0, 1, 3, {"cost_center": "Cost Center",
                                    "hours": "View Billable Hours [ST/Hr]"})
 
 
-def read_layout(rows: DataFrame, layout: Layout) -> DataFrame:
+def read_layout(rows: DataFrame | SheetRows, layout: Layout) -> DataFrame:
     t = sheet_table(rows, layout.columns, layout.skip, layout.footer, layout.sheet)
     return blank_to_null(t, list(layout.columns))
 
@@ -49,17 +49,17 @@ def _hours(df: DataFrame) -> DataFrame:
     return df.withColumn("hours", F.col("hours").try_cast(HOURS_DECIMAL))
 
 
-def exempt_hours(rows: DataFrame) -> DataFrame:
+def exempt_hours(rows: DataFrame | SheetRows) -> DataFrame:
     return _hours(read_layout(rows, EXEMPT))
 
 
-def nonexempt_hours(rows: DataFrame) -> DataFrame:
+def nonexempt_hours(rows: DataFrame | SheetRows) -> DataFrame:
     return _hours(read_layout(rows, NONEXEMPT))
 
 
-def incidents(rows: DataFrame) -> DataFrame:
+def incidents(rows: DataFrame | SheetRows) -> DataFrame:
     return typed_incidents(read_layout(rows, INCIDENTS))
 
 
-def expenditures(rows: DataFrame) -> DataFrame:
+def expenditures(rows: DataFrame | SheetRows) -> DataFrame:
     return _hours(read_layout(rows, EXPENDITURES))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetally.sources.literal import literal_table
+from sitetally.sources.sheets import SheetRows
 
 # Fixed values for the test roles (invented labels).
 FACILITIES = ("Ashby", "Birchley", "Oakdene", "Thornby")
@@ -228,31 +229,58 @@ HEADERS = (["Priority", "Status", "Customer"], ["Status", "Priority", "Customer"
            ["Customer", "Priority", "Status"])
 
 
+def _sheet_path():
+    file_no = (F.col("o_orderkey") % SHEET_FILES).cast("int")
+    return F.concat(F.lit("orders_"), file_no.cast("string"), F.lit(".xlsx"))
+
+
+def _sheet_row():
+    return (F.floor(F.col("o_orderkey") / SHEET_FILES) + 3).cast("long")
+
+
+def _cells(xs):
+    return F.array(*[F.lit(x).cast("string") for x in xs])
+
+
+def _header_cells():
+    return F.element_at(F.array(*[_cells(h) for h in HEADERS]), F.substring("path", 8, 1).cast("int") + 1)
+
+
+def indexed_sheet_rows(spark: SparkSession, sf_dir: str) -> SheetRows:
+    """``sheet_rows`` with the sheet index that an ingest writes; it has ``SHEET_FILES`` rows,
+    so it may be broadcast."""
+    files = table(spark, sf_dir, "orders").groupBy(_sheet_path().alias("path")).agg(
+        F.max(_sheet_row()).alias("last"))
+    top = lambda i, cells: F.struct(F.lit(i).cast("long").alias("row_index"), cells.alias("cells"))
+    tops = [top(i, _cells(c)) for i, c in enumerate(PREAMBLE)]
+    index = files.select("path", F.lit("Data").alias("sheet"), F.lit(0).alias("sheet_no"),
+                         (F.col("last") + len(FOOTER)).alias("last"),
+                         F.array(*tops, top(len(PREAMBLE), _header_cells())).alias("tops"))
+    return SheetRows(sheet_rows(spark, sf_dir), F.broadcast(index))
+
+
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as raw rows of three sheet files: ``path, sheet, row_index,
     cells array<string>``; two preamble rows, a header row whose column order
     differs per file, the data, three footer rows."""
     o = table(spark, sf_dir, "orders")
     file_no = (F.col("o_orderkey") % SHEET_FILES).cast("int")
-    path = F.concat(F.lit("orders_"), file_no.cast("string"), F.lit(".xlsx"))
     pr, st, cu = (F.col("o_orderpriority"), F.col("o_orderstatus"),
                   F.col("o_custkey").cast("string"))
     cells = (F.when(file_no == 0, F.array(pr, st, cu))
              .when(file_no == 1, F.array(st, pr, cu))
              .otherwise(F.array(cu, pr, st)))
-    data = o.select(path.alias("path"), F.lit("Data").alias("sheet"),
-                    (F.floor(F.col("o_orderkey") / SHEET_FILES) + 3).cast("long").alias("row_index"),
+    data = o.select(_sheet_path().alias("path"), F.lit("Data").alias("sheet"),
+                    _sheet_row().alias("row_index"),
                     cells.alias("cells"))
-    lit_arr = lambda xs: F.array(*[F.lit(x).cast("string") for x in xs])
     files = data.groupBy("path", "sheet").agg(F.max("row_index").alias("last"))
-    fixed = [(i, lit_arr(c)) for i, c in enumerate(PREAMBLE)]
+    fixed = [(i, _cells(c)) for i, c in enumerate(PREAMBLE)]
     top = [files.select("path", "sheet", F.lit(i).cast("long").alias("row_index"),
                         c.alias("cells")) for i, c in fixed]
     header = files.select("path", "sheet", F.lit(2).cast("long").alias("row_index"),
-                          F.element_at(F.array(*[lit_arr(h) for h in HEADERS]),
-                                       F.substring("path", 8, 1).cast("int") + 1).alias("cells"))
+                          _header_cells().alias("cells"))
     foot = [files.select("path", "sheet", (F.col("last") + 1 + i).alias("row_index"),
-                         lit_arr(c).alias("cells")) for i, c in enumerate(FOOTER)]
+                         _cells(c).alias("cells")) for i, c in enumerate(FOOTER)]
     out = data
     for part in top + [header] + foot:
         out = out.unionByName(part)

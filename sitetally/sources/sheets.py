@@ -8,6 +8,8 @@ rows (partially, before a shuffle of one row per sheet and task) and collected
 when they have at most ``MAX_INDEX_ROWS`` rows and ``MAX_INDEX_BYTES`` bytes; the
 index is then broadcast and the raw rows are neither shuffled nor sorted, however
 many a sheet holds.  A larger index is joined instead.
+Rows that come with the index written at ingest (``SheetRows``) need none of that:
+``sheet_table`` reads them once, with no job while the plan is built.
 Columns are read by position, ``cells[n]``: repeated or blank headers are harmless
 (the first of equal headers counts).
 """
@@ -15,11 +17,25 @@ Columns are read by position, ``cells[n]``: repeated or blank headers are harmle
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILE_KEYS = ("path", "sheet")
+TOP_ROWS = 32
+
+
+class SheetRows(NamedTuple):
+    """Raw rows and the index of their sheets: number, last row and the first ``TOP_ROWS``
+    rows of each (``schemas.SHEET_INDEX``).
+
+    The first row at or after row ``skip`` is among the first ``skip`` + 1, as no more
+    than ``skip`` rows come before it: the index holds every header for ``skip`` < ``TOP_ROWS``.
+    """
+
+    rows: DataFrame
+    index: DataFrame
 
 
 def skip_rows(rows: DataFrame, k: int) -> DataFrame:
@@ -120,7 +136,22 @@ def project_fields(rows: DataFrame, columns: Mapping[str, str] | Sequence[str],
     return rows.select(*keep, *[_cell("header", h).alias(out) for out, h in columns.items()])
 
 
-def sheet_table(rows: DataFrame, columns: Mapping[str, str] | Sequence[str], skip: int = 0,
+def _of_sheet(df: DataFrame, sheet: str | int | None) -> DataFrame:
+    if sheet is None:
+        return df
+    return df.filter(F.col("sheet_no" if isinstance(sheet, int) else "sheet") == F.lit(sheet))
+
+
+def _indexed_headers(index: DataFrame, skip: int) -> DataFrame:
+    """The index of ``_headers`` from the one written at ingest."""
+    top = F.get(F.filter("tops", lambda r: r["row_index"] >= F.lit(skip)), F.lit(0))
+    return (index.select(*FILE_KEYS, F.col("last").alias("_last"), top.alias("_top"))
+            .filter("_top is not null")
+            .select(*FILE_KEYS, F.col("_top.row_index").alias("_first"), "_last",
+                    F.transform("_top.cells", F.trim).alias("_header")))
+
+
+def sheet_table(rows: DataFrame | SheetRows, columns: Mapping[str, str] | Sequence[str], skip: int = 0,
                 footer: int = 0, sheet: str | int | None = None) -> DataFrame:
     """Raw rows -> a table: keep one sheet (by name, by number in workbook order, or
     all), skip ``skip`` rows, use the next row as header, drop ``footer`` trailing
@@ -128,19 +159,28 @@ def sheet_table(rows: DataFrame, columns: Mapping[str, str] | Sequence[str], ski
 
     Column positions, header row and last row come from one index row per sheet
     (same result as ``skip_rows`` -> ``promote_header`` -> ``drop_footer``: one pass for
-    the index, and one for the table).
+    the index, and one for the table).  With ``SheetRows`` the index is the one written at
+    ingest: the rows are read once, and Spark chooses the join by the index's size.
     """
     from sitetally.sources.tables import snake
     if not isinstance(columns, Mapping):
         columns = {snake(h): h for h in columns}
-    if sheet is not None:
-        rows = rows.filter(F.col("sheet_no" if isinstance(sheet, int) else "sheet") == F.lit(sheet))
+    known = None
+    if isinstance(rows, SheetRows):
+        rows, known = rows
+        known = _of_sheet(known, sheet) if skip < TOP_ROWS else None
+    rows = _of_sheet(rows, sheet)
     if skip:
         rows = skip_rows(rows, skip)
     places = [F.nullif(F.array_position("_header", F.lit(h)), F.lit(0)).cast("int").alias(f"_at_{out}")
               for out, h in columns.items()]
-    index = _headers(rows, skip).select(*FILE_KEYS, "_first", "_last", *places)
-    return (_with_index(rows, index, _small(index))
+    if known is not None:
+        index = _indexed_headers(known, skip).select(*FILE_KEYS, "_first", "_last", *places)
+        joined = rows.join(index, on=list(FILE_KEYS))
+    else:
+        index = _headers(rows, skip).select(*FILE_KEYS, "_first", "_last", *places)
+        joined = _with_index(rows, index, _small(index))
+    return (joined
             .filter((F.col("row_index") > F.col("_first"))
                     & (F.col("row_index") <= F.col("_last") - F.lit(footer)))
             .select(*FILE_KEYS, "row_index",

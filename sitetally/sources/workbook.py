@@ -5,7 +5,9 @@ Each workbook is read with the ``binaryFile`` source and decoded inside
 Rows are emitted in chunks, so a large sheet never builds one huge batch.
 The output ``path, sheet, sheet_no, row_index, cells array<string>`` is the input of
 ``sitetally.sources.sheets``; write it once as Parquet and every later report
-reads typed columns from it.
+reads typed columns from it.  ``land_workbooks`` writes it together with a sheet
+index (last row and first rows of every sheet), which the decoder knows anyway, so
+that reports need no pass over the rows to find headers and footers.
 
 Cells are kept as the text the workbook stores (shared or inline strings,
 numbers as written, booleans as TRUE/FALSE); typing is done later with
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import itertools
 import re
 import zipfile
 import xml.etree.ElementTree as ET
@@ -24,10 +27,15 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from sitetally.schemas import RAW_SHEET as RAW_SCHEMA
+from sitetally.schemas import SHEET_INDEX
+from sitetally.sources.sheets import TOP_ROWS, SheetRows
 
 CHUNK_ROWS = 10_000
+LANDED_SCHEMA = RAW_SCHEMA + ", last bigint, tops array<struct<row_index:bigint,cells:array<string>>>, part string"
+_NULLABLE = {"sheet_no": "Int32", "row_index": "Int64", "last": "Int64"}
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -145,3 +153,59 @@ def ingest_workbooks(spark: SparkSession, path: str, sheets: Sequence[str] | Non
              .option("recursiveFileLookup", "true").load(path))
     wanted = list(sheets) if sheets is not None else None
     return files.select("path", "content").mapInPandas(_decode(wanted), RAW_SCHEMA)
+
+
+def _index_rows(path: str, seen: dict) -> pd.DataFrame:
+    return pd.DataFrame([(path, sheet, number, last, tops, "index")
+                         for sheet, (number, last, tops) in seen.items()],
+                        columns=["path", "sheet", "sheet_no", "last", "tops", "part"])
+
+
+def _land(sheets: Sequence[str] | None):
+    names = StructType.fromDDL(LANDED_SCHEMA).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                seen: dict = {}
+
+                def noted():
+                    for sheet, number, idx, cells in sheet_rows(content, sheets):
+                        number, last, tops = seen.get(sheet, (number, -1, []))
+                        if len(tops) < TOP_ROWS:
+                            tops.append({"row_index": idx, "cells": cells})
+                        seen[sheet] = (number, max(last, idx), tops)
+                        yield path, sheet, number, idx, cells
+
+                rows = noted()
+                while chunk := list(itertools.islice(rows, CHUNK_ROWS)):
+                    part = pd.DataFrame(chunk, columns=["path", "sheet", "sheet_no", "row_index", "cells"])
+                    yield part.assign(last=None, tops=None, part="rows").astype(_NULLABLE)[names]
+                if seen:
+                    yield _index_rows(path, seen).assign(row_index=None, cells=None).astype(_NULLABLE)[names]
+    return run
+
+
+def land_workbooks(spark: SparkSession, path: str, out: str, sheets: Sequence[str] | None = None,
+                   glob: str = "*.xlsx") -> SheetRows:
+    """Decode every workbook under ``path`` once and write its rows and sheet index below
+    ``out`` (one job, committed together); returns both, read back.
+
+    An empty folder gives empty rows and an empty index.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(path))
+    wanted = list(sheets) if sheets is not None else None
+    (files.select("path", "content").mapInPandas(_land(wanted), LANDED_SCHEMA)
+          .write.mode("overwrite").partitionBy("part").parquet(out))
+    return landed(spark, out)
+
+
+def landed(spark: SparkSession, out: str) -> SheetRows:
+    """Rows and sheet index that ``land_workbooks`` wrote below ``out``."""
+    both = spark.read.schema(LANDED_SCHEMA).parquet(out)
+
+    def part(name: str, schema: str) -> DataFrame:
+        return both.where(both["part"] == name).select(*StructType.fromDDL(schema).names)
+
+    return SheetRows(part("rows", RAW_SCHEMA), part("index", SHEET_INDEX))

@@ -154,3 +154,36 @@ def test_raw_rows_are_not_moved(spark):
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         assert "BroadcastHashJoin" in plan and "BuildRight" in plan
         assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_index_written_at_ingest(spark):
+    """Rows and sheet index from one decode give the tables that the row passes give, with one
+    scan of the rows and no job while the plan is built."""
+    from sitetally.sources.sheets import TOP_ROWS, sheet_table
+    from sitetally.sources.workbook import land_workbooks, landed
+    folder, out = tempfile.mkdtemp(prefix="sitetally-wb-"), tempfile.mkdtemp(prefix="sitetally-raw-")
+    _books(folder)
+    late = [[None, None]] * 2 + [["note", None]] + [[None, None]] * 40 + [["Location", "Count"], ["x", 1], ["y", 2]]
+    write_xlsx(os.path.join(folder, "late.xlsx"), {"Data": late, "Blank": [[None]]})
+    both = land_workbooks(spark, folder, os.path.join(out, "landed"))
+    plain = ingest_workbooks(spark, folder)
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(both.rows) == order(plain)
+    assert both.index.groupBy("path", "sheet").count().where("count > 1").count() == 0
+    assert both.index.where("sheet = 'Blank'").count() == 0
+    columns = {"location": "Location", "count": "Count", "hours": "Hours", "missing": "Missing"}
+    for skip, footer, sheet in [(0, 0, None), (3, 0, "Data"), (1, 3, 0), (2, 1, 1), (TOP_ROWS - 1, 0, None),
+                                (TOP_ROWS, 1, None), (100, 0, None)]:
+        assert order(sheet_table(both, columns, skip, footer, sheet)) == \
+            order(sheet_table(plain, columns, skip, footer, sheet)), (skip, footer, sheet)
+    from sitetally.sources import sheets
+    refused, sheets._small = sheets._small, None        # any use while the plan is built fails
+    try:
+        plan = sheet_table(landed(spark, os.path.join(out, "landed")), columns, 3, 0, "Data")
+    finally:
+        sheets._small = refused
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 2 and text.count("= rows") == text.count("= index") == 1
+    empty = tempfile.mkdtemp(prefix="sitetally-wb-")
+    none = land_workbooks(spark, empty, os.path.join(out, "none"))
+    assert none.rows.count() == none.index.count() == sheet_table(none, columns).count() == 0
