@@ -2,10 +2,10 @@
 
 The text is lower-cased (A-Z), cut into words and joined by single spaces.  A
 text that has none of the rules' keywords is done.  Otherwise every rule whose
-keyword occurs is matched; detections are word intervals.  They are resolved in
-order of start, longest first: of two that overlap, the one with the stronger
-evidence stays, and at equal strength the earlier, which contains or precedes
-the other.  Labels of the base phrases always stay.
+keyword occurs is matched; detections are word intervals.  They are resolved by
+strength of evidence, at equal strength by start, longest first: a detection stays if
+it overlaps none that stays, so one is never lost to a detection that goes itself.
+Labels of the base phrases always stay.
 
 Everything happens within a row: one scan, no shuffle, so hot sources or copies
 cost no more than other rows.
@@ -51,41 +51,92 @@ def _rule_array(table) -> Column:
         for i, (label, priority, confidence, keyword, pattern) in enumerate(table)])
 
 
+_OPEN, _CLOSE = "\x01", "\x02"      # no characters of words
+CHAIN_STEP, PART = 32, 4096
 DETECTION = ("array<struct<start:int,neg_stop:int,priority:int,rule:int,label:string,"
              "confidence:double>>")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut(items: Column, size: int) -> Column:
+    """A filled array as arrays of ``size`` items, in order."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")),
+                       lambda i: F.slice(items, i * size + 1, F.lit(size)))
+
+
 def _detections(norm: Column, rule: Column) -> Column:
-    """Word intervals where one rule matches, in order of place."""
-    hits = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
-    none = F.struct(F.lit(-1).alias("at"), F.array().cast(DETECTION).alias("found"))
+    """Word intervals where one rule matches, in order of place: matches are marked in the
+    text, so that the numbers of its marked words are their places."""
+    none = F.array().cast(DETECTION)
 
-    def step(acc, pair):
-        start = acc["at"] + _spaces(pair["gap"])
-        stop = start + _spaces(pair["hit"]) + 1
-        one = F.struct(start.alias("start"), (-stop).alias("neg_stop"),
-                       rule["priority"].alias("priority"), rule["rule"].alias("rule"),
-                       rule["label"].alias("label"), rule["confidence"].alias("confidence"))
-        return F.when(pair["hit"].isNull(), acc).otherwise(F.struct(
-            (stop - 1).alias("at"), F.concat(acc["found"], F.array(one)).alias("found")))
+    def numbered(words, is_edge, shift):
+        return F.filter(F.transform(words, lambda w, i: F.when(is_edge(w), i - shift)), F.isnotnull)
 
-    pairs = F.zip_with(F.split(norm, rule["pattern"], -1), hits,
-                       lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, none, step, lambda acc: acc["found"])) \
-        .otherwise(F.array().cast(DETECTION))
+    def placed(words):
+        starts = numbered(words, lambda w: F.startswith(w, F.lit(_OPEN)), 1)
+        stops = numbered(words, lambda w: F.endswith(w, F.lit(_CLOSE)), 0)
+        return F.zip_with(starts, stops, lambda start, stop: F.struct(
+            start.alias("start"), (-stop).alias("neg_stop"), rule["priority"].alias("priority"),
+            rule["rule"].alias("rule"), rule["label"].alias("label"),
+            rule["confidence"].alias("confidence")))
 
+    marked = F.regexp_replace(norm, rule["pattern"], F.lit(f"{_OPEN}$0{_CLOSE}"))
+    return _bound(marked, lambda m: F.when(
+        F.contains(m, F.lit(_OPEN)), _bound(F.split(m, " "), placed)).otherwise(none))
 
-def _resolved(found: Column) -> Column:
-    """Detections without overlaps.  The kept ones never overlap each other, so the
-    next one in order can only overlap the last kept."""
+
+def _strongest(found: Column) -> Column:
+    """The detections that stay, the strongest first, then by place: each stays if it
+    overlaps none that stays."""
     def step(kept, one):
-        last = F.element_at(kept, -1)
-        apart = (F.size(kept) == 0) | (one["start"] >= -last["neg_stop"])
-        return F.when(apart, F.concat(kept, F.array(one))) \
-            .when(one["priority"] < last["priority"],
-                  F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(one))).otherwise(kept)
+        clash = F.exists(kept, lambda k: (one["start"] < -k["neg_stop"]) & (k["start"] < -one["neg_stop"]))
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(one)))
+
+    ranked = F.transform(F.array_sort(F.transform(found, lambda d: F.struct(
+        d["priority"].alias("priority"), d.alias("d")))), lambda r: r["d"])
+    return F.aggregate(ranked, F.array().cast(DETECTION), step)
 
-    return F.aggregate(F.array_sort(found), F.array().cast(DETECTION), step)
+
+def _resolved(found: Column) -> Column:
+    """Detections without overlaps, in order of place.
+
+    In order of start they fall into chains of overlaps, which do not touch each other.
+    ``CHAIN_STEP`` at a time are taken up; the chains that ended are resolved, the last
+    waits for more.  So the work is in proportion to the detections, but for the square
+    of a single unbroken chain.
+    """
+    none = F.array().cast(DETECTION)
+
+    def last_chain(ordered):
+        """Number of detections before the last chain."""
+        at = F.aggregate(
+            ordered, F.struct(F.lit(0).alias("n"), F.lit(0).alias("stop"), F.lit(0).alias("before")),
+            lambda acc, d: F.struct(
+                (acc["n"] + 1).alias("n"), F.greatest(acc["stop"], -d["neg_stop"]).alias("stop"),
+                F.when(d["start"] >= acc["stop"], acc["n"]).otherwise(acc["before"]).alias("before")))
+        return at["before"]
+
+    def step(acc, some):
+        # what is bound is copied: the chains that are done stay outside
+        joined = F.concat(acc["open"], some)
+        return F.struct(
+            _bound(joined, lambda o: F.slice(o, last_chain(o) + 1, F.size(o))).alias("open"),
+            F.concat(acc["done"], F.array(_bound(
+                joined, lambda o: _strongest(F.slice(o, F.lit(1), last_chain(o)))))).alias("done"))
+
+    def chains(ordered):
+        # a slice costs as much as the array it is cut from, so steps are cut from larger parts
+        some = F.flatten(F.transform(_cut(ordered, PART), lambda part: _cut(part, CHAIN_STEP)))
+        return F.aggregate(
+            some, F.struct(none.alias("open"), F.array().cast(f"array<{DETECTION}>").alias("done")), step,
+            lambda acc: F.array_sort(F.flatten(F.concat(acc["done"], F.array(_strongest(acc["open"]))))))
+
+    return _bound(F.array_sort(found), lambda ordered: F.when(
+        F.size(ordered) == 0, none).otherwise(chains(ordered)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=None) -> DataFrame:
