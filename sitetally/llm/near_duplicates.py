@@ -122,13 +122,15 @@ def _first_bucket(frame: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarr
     return out
 
 
-def _split(rows: DataFrame, depth: int) -> DataFrame:
+def _split(sets: DataFrame):
     """Rows of large buckets in finer ones: ``SPLITS`` ways of ``SPLIT_SLOTS`` more equal slots."""
-    way = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("way")
-    rows = rows.select("s", "node", "band", "group", "size", "sketch", way)
-    slots = [F.substring("sketch", F.pmod(F.xxhash64(F.col("band"), F.col("way"), F.lit(depth), F.lit(k)), F.lit(SLOTS))
-                         .cast("int") + 1, F.lit(1)) for k in range(SPLIT_SLOTS)]
-    return rows.withColumn("node", F.xxhash64("node", "way", *slots)).drop("way")
+    def split(rows: DataFrame, depth: int) -> DataFrame:
+        way = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("way")
+        rows = rows.hint("merge").join(sets.select("s", "sketch"), "s").select("s", "node", "band", "group", "size", "sketch", way)
+        slots = [F.substring("sketch", F.pmod(F.xxhash64(F.col("band"), F.col("way"), F.lit(depth), F.lit(k)),
+                                              F.lit(SLOTS)).cast("int") + 1, F.lit(1)) for k in range(SPLIT_SLOTS)]
+        return rows.withColumn("node", F.xxhash64("node", "way", *slots)).drop("way", "sketch")
+    return split
 
 
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -146,7 +148,7 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rule = Rule(percent, percent / 100 - MARGIN, estimate, partial(shingle_set, width=width), _first_bucket,
                 small, heavy)
     first = _in_buckets(sets.withColumn("group", F.col("s")), FIRST_BANDS)
-    tree = link_groups(docs.drop("id"), sets, first, lambda grouped: _in_buckets(grouped, BANDS), _split, rule)
+    tree = link_groups(docs.drop("id"), sets, first, lambda grouped: _in_buckets(grouped, BANDS), _split(sets), rule)
     named = sets.join(tree.withColumnRenamed("child", "s"), "s", "left").select(
         "s1", "s2", "rep", F.coalesce("parent", "s").alias("group"))
     smallest = named.groupBy("group").agg(F.min("rep").alias("least"))
