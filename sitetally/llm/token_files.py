@@ -170,8 +170,8 @@ def _read_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             view = DacView(row.levels, row.bitmaps, row.ranks)
             stops = np.cumsum(np.asarray(row.doc_tokens, dtype=np.int64))
             starts = stops - np.asarray(row.doc_tokens, dtype=np.int64)
-            crcs = [zlib.crc32(view.slice(a, b).astype("<u4").tobytes())
-                    for a, b in zip(starts.tolist(), stops.tolist())]
+            ids = memoryview(view.slice(0, int(stops[-1])).astype("<u4").tobytes())
+            crcs = [zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(starts.tolist(), stops.tolist())]
             yield pd.DataFrame({"doc_id": pd.array([None if x is None else int(x) for x in row.doc_ids],
                                                    dtype="Int64"),
                                 "start": starts + row.start, "n_tokens": stops - starts,

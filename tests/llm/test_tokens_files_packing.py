@@ -28,6 +28,19 @@ def test_pieces_give_the_library_ids(library):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library(text), text[:40]
 
 
+def test_frequent_pieces_outlive_a_full_cache(monkeypatch):
+    """Pieces that come again stay when others fill the cache, and the bytes stay bounded."""
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 40_000)
+    enc, asked = tokens.PieceEncoder(tokens.default_vocabulary()), []
+    one = enc.cache.encode_one
+    enc.cache.encode_one = lambda piece: asked.append(piece) or one(piece)
+    for n in range(2000):
+        enc.encode(f"same word{n}")
+        held = len(enc.cache) + len(enc.cache.old)
+        assert held * enc.cache.ENTRY <= 40_000
+    assert asked.count("same") == 1
+
+
 def test_dac_random_access():
     rng = np.random.default_rng(1)
     for ids in ([0], [255, 256, 65535, 65536, 2**32 - 1], rng.integers(0, 50_257, 5000), rng.integers(0, 256, 700)):
