@@ -2,11 +2,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sitetally.llm import anchors as anc
 from sitetally.llm import suffix_dedup as sd
-from sitetally.llm.induced_sort import RunHeap, Scratch, repeated_starts
+from sitetally.llm.induced_sort import RunHeap, Scratch, common_prefixes, eight_bytes, repeated_starts
 
 from . import cases
 
@@ -93,5 +94,49 @@ def test_removal_against_counting(spark, shard_bytes):
         brute(rows, 400)
 
 
+def test_common_prefixes_against_bytes():
+    """Over more places than are compared at once, to the separator and to the cap."""
+    rng = random.Random(4)
+    core = bytes(rng.choice(b"ab") for _ in range(90))
+    strings = [core[:rng.randrange(90)] + bytes(rng.choice(b"ab\xfe") for _ in range(rng.randrange(4)))
+               for _ in range(60)] + [b"", b"a"]
+    text = mask_text(strings)
+    raw, stop = text.tobytes(), {}
+    for i in range(len(raw) - 1, -1, -1):
+        stop[i] = i if raw[i] == 0 else stop[i + 1]
+    room = np.array([stop[i] - i for i in range(len(raw))], dtype=np.int32)
+    a, b = (np.array([rng.randrange(len(raw)) for _ in range(20_000)], dtype=np.int32) for _ in range(2))
+    for cap in (1, 7, 8, 9, 64, 400):
+        want = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            n = 0
+            while n < min(cap, room[x], room[y]) and raw[x + n] == raw[y + n]:
+                n += 1
+            want.append(n)
+        assert common_prefixes(eight_bytes(text), room, a, b, cap).tolist() == want
+
+
+def test_no_frame_for_each_text(monkeypatch):
+    """A batch's anchors and contexts come in few frames; a frame a text was most of the time."""
+    texts = [cases.prose(90, 300 + i) for i in range(80)] + ["short"]
+    batch = pd.DataFrame({"t": range(81), "id": [None] + [str(i) for i in range(80)], "text": texts})
+    made, frame = [], pd.DataFrame
+    monkeypatch.setattr(sd.pd, "DataFrame", lambda *a, **k: made.append(1) or frame(*a, **k))
+    found = list(sd._find_anchors(400)([batch]))
+    assert len(made) == len(found) == 1
+    rows = found[0]
+    for t, own in rows.groupby("t"):
+        data = texts[t].encode()
+        first, n, key, _, screens, outside = anc.screened_anchors(data, 400)
+        assert own["first"].tolist() == first.tolist() and own["n"].tolist() == n.tolist()
+        assert own["key"].tolist() == key.tolist()
+        assert own["screen2"].isna().tolist() == outside[:, 2].tolist()
+        assert set(own["id"]) == {batch["id"][t]}
+    wanted = [[{"key": 1, "ctx": i, "copies": 1, "first": 3, "n": 5}] * 2 for i in range(81)]
+    cut = list(sd._cut_contexts(400)([frame({"text": texts, "wanted": wanted})]))
+    assert len(made) == 2 and len(cut) == 1
+    assert cut[0]["bytes"].tolist() == [t.encode()[3:407] for t in texts for _ in range(2)]
+
+
 def test_empty_table(spark):
     assert sd.remove_repeats(cases.documents(spark, [])).count() == 0
