@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -6,6 +7,7 @@ import pandas as pd
 import pytest
 
 from sitetally.llm import anchors as anc
+from sitetally.llm import induced_sort as ind
 from sitetally.llm import suffix_dedup as sd
 from sitetally.llm.induced_sort import RunHeap, Scratch, common_prefixes, eight_bytes, repeated_starts
 
@@ -116,6 +118,18 @@ def test_common_prefixes_against_bytes():
         assert common_prefixes(eight_bytes(text), room, a, b, cap).tolist() == want
 
 
+def test_ranks_take_few_bytes_a_key():
+    keys = np.random.default_rng(3).integers(0, 100_000, 200_000)
+    tracemalloc.start()
+    try:
+        ranks = ind._ranks(keys)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert ranks.tolist() == np.unique(keys, return_inverse=True)[1].tolist()
+    assert peak < 24 * len(keys)
+
+
 def test_no_frame_for_each_text(monkeypatch):
     """A batch's anchors and contexts come in few frames; a frame a text was most of the time."""
     texts = [cases.prose(90, 300 + i) for i in range(80)] + ["short"]
