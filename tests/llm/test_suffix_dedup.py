@@ -1,6 +1,9 @@
 import random
+import subprocess
+import sys
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -130,6 +133,30 @@ def test_ranks_take_few_bytes_a_key():
     assert peak < 24 * len(keys)
 
 
+HELD = """
+import numpy as np, sys
+from sitetally.llm import suffix_dedup as sd
+def held():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+list(sd._sort_shard(400, "")([]))
+np.ones(24 << 20, dtype=np.uint8)       # a dropped one of 24 MB would raise the bound to that
+before, kept = held(), []
+for _ in range(20):
+    large = np.ones(8 << 20, dtype=np.uint8)
+    kept += [large, np.ones(100_000, dtype=np.uint8)]
+kept = kept[1::2]
+del large
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_dropped_arrays_go_back_to_the_system():
+    out = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True,
+                         cwd=str(Path(sd.__file__).resolve().parents[2]))
+    assert int(out.stdout) < 40
+
+
 def test_no_frame_for_each_text(monkeypatch):
     """A batch's anchors and contexts come in few frames; a frame a text was most of the time."""
     texts = [cases.prose(90, 300 + i) for i in range(80)] + ["short"]
