@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import importable, read_table, staged
-from .set_links import HEAVY_BYTES, SMALL, Rule, link_groups
-from .shingles import ascii_word_hashes, shingle_hashes
+from .set_links import HEAVY_BYTES, SMALL, Rule, link_groups, zero_bytes
+from .shingles import ascii_word_hashes, ascii_words_of_all, distinct, in_groups, shingle_hashes
 from .superminhash import SLOTS, signatures
 
 WIDTH = 3
@@ -56,7 +56,12 @@ def shingle_set(data: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle hashes of a UTF-8 text."""
     if not data:
         return np.empty(0, np.uint64)
-    return np.unique(shingle_hashes(ascii_word_hashes(data), width))
+    return distinct(shingle_hashes(ascii_word_hashes(data), width))
+
+
+def shingle_sets(data: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
+    """``shingle_set`` of every text."""
+    return [distinct(shingle_hashes(x, width)) for x in ascii_words_of_all(data)]
 
 
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -67,14 +72,9 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, start = batch.column("text"), 0
-            while start < len(texts):
-                stop, held, sets = start, 0, []
-                while stop < len(texts) and stop - start < GROUP_TEXTS and held < GROUP_BYTES:
-                    data = texts[stop].as_py()
-                    sets.append(shingle_set(data, width))
-                    held += len(data or b"")
-                    stop += 1
+            start = 0
+            for texts in in_groups(batch.column("text").to_pylist(), GROUP_TEXTS, GROUP_BYTES):
+                stop, sets = start + len(texts), shingle_sets(texts, width)
                 some = [x for x in sets if len(x)]
                 sketches = iter(signatures(some).astype(np.uint8)) if some else iter(())
                 keys = [_set_key(x) if len(x) else (None, None) for x in sets]
@@ -103,9 +103,17 @@ def _in_buckets(sets: DataFrame, bands: int) -> DataFrame:
         "s", "band", _bucket(F.col("band")).alias("node"), "group", "size")
 
 
+def prepared(rows: np.ndarray) -> np.ndarray:
+    """Sketch rows as 64-bit words."""
+    return np.ascontiguousarray(rows).view(np.uint64)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal slots of sketch rows, less what equal bytes make by chance."""
-    same = (a == b).mean(axis=1)
+    """Share of equal slots of sketch rows (as they are, or ``prepared``), less what equal
+    bytes make by chance."""
+    if a.dtype == np.uint8:
+        a, b = prepared(a), prepared(b)
+    same = zero_bytes(a ^ b) / SLOTS
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
@@ -145,7 +153,7 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.min("id").alias("rep"), F.min(F.struct("t1", "t2")).alias("t"), F.first("size").alias("size"),
         F.first("sketch").alias("sketch")).select(
         "s1", "s2", "rep", "t.*", "size", "sketch", F.monotonically_increasing_id().alias("s")), "near-sets")
-    rule = Rule(percent, percent / 100 - MARGIN, estimate, partial(shingle_set, width=width), _first_bucket,
+    rule = Rule(percent, percent / 100 - MARGIN, estimate, prepared, partial(shingle_sets, width=width), False, _first_bucket,
                 small, heavy)
     first = _in_buckets(sets.withColumn("group", F.col("s")), FIRST_BANDS)
     tree = link_groups(docs.drop("id"), sets, first, lambda grouped: _in_buckets(grouped, BANDS), _split(sets), rule)
