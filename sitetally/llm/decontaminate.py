@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, importable, read_table, worker_table
-from .shingles import WIDTH, member, shingle_hashes, word_hashes
+from .shingles import WIDTH, in_groups, member, shingle_hashes, word_hashes, words_of_all
 
 RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
@@ -116,7 +116,11 @@ class Matcher:
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """Best window per matched item: (item_id, similarity, start word, stop word)."""
-        words, best = word_hashes(text), {}
+        return self.find_words(word_hashes(text))
+
+    def find_words(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """The same from the hashes of a text's words."""
+        best = {}
         if not len(words):
             return []
         for width, known in self.widths.items():
@@ -170,7 +174,8 @@ def _matches_of(items: tuple, similarity: float, radius: int):
         for texts in batches:
             yield pd.Series([
                 [dict(zip(("item_id", "similarity", "start_word", "stop_word"), m))
-                 for matcher in matchers for m in matcher.find(text)] for text in texts])
+                 for matcher in matchers for m in matcher.find_words(words)]
+                for group in in_groups(texts.tolist()) for words in words_of_all(group)])
     return matches.asNondeterministic()
 
 

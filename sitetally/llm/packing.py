@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import importable, read_table, staged
-from .tokens import default_vocabulary, encoder
+from .shingles import in_groups
+from .tokens import GROUP_CHARS, default_vocabulary, encoder
 
+GROUP_TEXTS = 4096
 PIECE_COLS = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
 PIECE_SCHEMA = ("doc_id string, start long, length long, doc_tokens long, ids binary, "
                 "sequence_id long, offset long, open boolean, part long")
@@ -96,14 +98,16 @@ def _pack_documents(vocabulary: str, end_id: int, window: int, open_windows: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
+        end = np.array([end_id], dtype="<u4")
         packer = _Packer(window, open_windows, _first_id(0, part))
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.frombuffer(enc.encode(text) + end, dtype=enc.dtype).astype("<u4")
-                packer.add(doc_id, 0, len(ids), ids)
-                if len(packer.out) >= 4096:
-                    yield packer.drain(part)
+            doc_ids = iter(batch["doc_id"])
+            for texts in in_groups(batch["text"].tolist(), GROUP_TEXTS, GROUP_CHARS):
+                for ids in enc.encode_all(texts):
+                    ids = np.concatenate((ids, end), dtype="<u4", casting="same_kind")
+                    packer.add(next(doc_ids), 0, len(ids), ids)
+                    if len(packer.out) >= 4096:
+                        yield packer.drain(part)
             if packer.out:
                 yield packer.drain(part)
         packer.close()

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table, whole_text
+from .common import fresh, read_table, staged, whole_text
 
 KINDS = ["email", "ip", "card", "phone", "secret", "iban", "ssn", "local_phone"]
 BASE_KINDS = KINDS[:4]
@@ -264,8 +264,12 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     """The span classifier, from counts over all candidates of ``docs``."""
     name = fresh(docs, "pii")
     rows = _with_candidates(docs.select(F.col(text_col)), text_col, name)
-    seen = rows.select(F.explode(F.col(f"{name}.found")).alias("c")).select(
-        F.col("c.span.kind").alias("kind"), "c.seen.*")
+    return _fit_found(rows.select(F.col(f"{name}.found").alias("found")))
+
+
+def _fit_found(rows: DataFrame) -> dict[str, float]:
+    """The same, from the candidates in ``found``."""
+    seen = rows.select(F.explode("found").alias("c")).select(F.col("c.span.kind").alias("kind"), "c.seen.*")
     counts = seen.groupBy("kind", *LABELERS, *FEATURES).count().collect()
     return train(sorted(tuple(r) for r in counts))
 
@@ -275,6 +279,11 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
 def detect(docs: DataFrame, model: dict[str, float], into: str = "spans", text_col: str = "text") -> DataFrame:
     """``docs`` with the array ``into`` of (start, kind_no, stop, kind, base), in order."""
     rows = _with_candidates(docs, text_col, into)
+    return _chosen(rows.withColumn(into, F.col(f"{into}.found")), model, into)
+
+
+def _chosen(rows: DataFrame, model: dict[str, float], into: str) -> DataFrame:
+    """``rows`` with the spans that stand among the candidates in ``into``."""
     odds = F.create_map(*[F.lit(x) for pair in sorted(model.items()) for x in pair]) if model else None
 
     def weight(c, name, value):
@@ -289,7 +298,7 @@ def detect(docs: DataFrame, model: dict[str, float], into: str = "spans", text_c
             total = total + weight(c, name, c["seen"][name])
         return total > 0
 
-    found = F.col(f"{into}.found")
+    found = F.col(into)
     base = F.filter(found, lambda c: c["span"]["base"])
     strip = lambda c: F.struct(*[c["span"][x].alias(x) for x in ("start", "kind_no", "stop", "kind", "base")])
     rows = rows.withColumn(into, F.struct(
@@ -302,9 +311,12 @@ def detect(docs: DataFrame, model: dict[str, float], into: str = "spans", text_c
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans
-    become one.  A NULL text stays NULL."""
+    become one.  A NULL text stays NULL.  Candidates are looked for once and written with
+    their rows; the classifier is fitted and applied to what was written."""
     name = fresh(docs, "spans")
-    rows = detect(docs, fit(docs, text_col), name, text_col)
+    rows = _with_candidates(docs, text_col, name)
+    rows = staged(rows.withColumn(name, F.col(f"{name}.found")), "pii-candidates")
+    rows = _chosen(rows, _fit_found(rows.select(F.col(name).alias("found"))), name)
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
