@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, read_table, staged
+from .common import importable, no_tables, read_table, staged
 from .set_links import HEAVY_BYTES, SMALL, Rule, link_groups, zero_bytes
 from .shingles import ascii_word_hashes, ascii_words_of_all, distinct, in_groups, shingle_hashes
 from .superminhash import SLOTS, signatures
@@ -71,6 +71,7 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_tables()
         for batch in batches:
             start = 0
             for texts in in_groups(batch.column("text").to_pylist(), GROUP_TEXTS, GROUP_BYTES):
